@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, quality
+from . import exact_dedup, language_id, line_dedup, mixing, quality, secrets
 from .common import documents
 
 HELD_OUT = "pmod(crc32(cast(coalesce(cast(doc_id as string), '') as binary)), 3) = 1"
@@ -60,8 +60,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "epoch", "domain", "language", "origin", "tokens", "leaf_budget", F.col("before").cast("long").alias("before"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.line_dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    cuts = F.col("_mm_cuts")
+    return out.select("doc_id", F.coalesce(F.size(cuts), F.lit(0)).cast("long").alias("n_passages"), line_dedup.cut_lines(cuts).alias("n_removed_lines"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.find_secrets(documents(spark, sf_dir))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.sha2(F.encode(secrets.as_text(F.col("base")), "UTF-8"), 256).alias("base_sha256")
+    return out.select(F.col("id").alias("doc_id"), count("assign"), count("access"), count("hex"), base, secrets.as_text(F.sort_array(F.concat("base", "added"))).alias("spans"))
+
+
+QUERIES = (op1_exact_dedup, op3_line_dedup, op4_secret_scan, op6_language_id, op9_quality_rules, op10_mixing)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op6_language_id, op9_quality_rules, op10_mixing)}
+    return {f.__name__: f for f in QUERIES}
 
 
 ORACLE_SQL = {
@@ -75,6 +91,35 @@ select doc_id,
        row_number() over (partition by norm order by chars desc, doc_id) = 1 as kept,
        sha256(norm) as text_sha256
 from d
+""",
+    "op3_line_dedup": r"""
+with docs as (select doc_id, text from documents where text is not null),
+lines as (
+  select doc_id, ln - 1 as ln, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as words
+  from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as ln from docs)
+),
+placed as (
+  select *, sum(words) over (partition by doc_id order by ln) - words as wat from lines where words > 0
+),
+runs as (
+  select doc_id, ln, max(ln) over w as last_ln, sum(words) over w as total, list(line) over w as body from placed
+  window w as (partition by doc_id order by wat range between current row and 49 following)
+),
+later as (
+  select doc_id, ln, last_ln from (select *, row_number() over (partition by body order by doc_id, ln) as nth from runs where total >= 50) where nth > 1
+),
+gone as (
+  select distinct doc_id, unnest(generate_series(ln, last_ln)) as ln from later
+),
+passages as (
+  select doc_id, count(*) as n from (select doc_id, ln, lag(ln) over (partition by doc_id order by ln) as before from gone) where before is null or before < ln - 1 group by doc_id
+),
+kept as (
+  select l.doc_id, string_agg(l.line, chr(10) order by l.ln) filter (where g.ln is null) as body, count(g.ln) as removed
+  from lines l left join gone g on l.doc_id = g.doc_id and l.ln = g.ln group by l.doc_id
+)
+select d.doc_id, coalesce(p.n, 0) as n_passages, coalesce(k.removed, 0) as n_removed_lines, sha256(coalesce(k.body, '')) as kept_sha256
+from documents d left join kept k on d.doc_id = k.doc_id left join passages p on d.doc_id = p.doc_id
 """,
 }
 
