@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, line_dedup, mixing, quality, secrets
-from .common import documents
+from . import exact_dedup, language_id, line_dedup, mixing, packing, quality, secrets, token_files, tokens
+from .common import documents, fresh_path
 
 HELD_OUT = "pmod(crc32(cast(coalesce(cast(doc_id as string), '') as binary)), 3) = 1"
 
@@ -73,7 +73,31 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), count("assign"), count("access"), count("hex"), base, secrets.as_text(F.sort_array(F.concat("base", "added"))).alias("spans"))
 
 
-QUERIES = (op1_exact_dedup, op3_line_dedup, op4_secret_scan, op6_language_id, op9_quality_rules, op10_mixing)
+def byte_bpe():
+    import public_tokenizers as public
+
+    args = public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN
+    return lambda texts: [tokens.opened(tokens.ByteBPE, *args).encode(t) for t in texts]
+
+
+def word_bpe():
+    import public_tokenizers as public
+
+    path = public.path("word_bpe_49k.json")
+    return lambda texts: tokens.opened(tokens.WordBPE, path).encode_many(texts)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), byte_bpe(), end_id=0, seed=SEED)
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "token-ids")
+    token_files.write_ids(documents(spark, sf_dir), path, word_bpe(), end_id=1)
+    return token_files.checked(spark, path)
+
+
+QUERIES = (op1_exact_dedup, op3_line_dedup, op4_secret_scan, op5_packing, op6_language_id, op7_token_files, op9_quality_rules, op10_mixing)
 
 
 def queries() -> dict:
