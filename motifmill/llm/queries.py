@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, line_dedup, mixing, packing, quality, secrets, token_files, tokens
+from . import exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing, quality, secrets, token_files, tokens
 from .common import documents, fresh_path
 
 HELD_OUT = "pmod(crc32(cast(coalesce(cast(doc_id as string), '') as binary)), 3) = 1"
@@ -60,6 +60,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "epoch", "domain", "language", "origin", "tokens", "leaf_budget", F.col("before").cast("long").alias("before"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard_join.jaccard_join(documents(spark, sf_dir), measure=jaccard_join.Measure(4, 85, 100))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(documents(spark, sf_dir).select("doc_id", "text"))
     cuts = F.col("_mm_cuts")
@@ -97,7 +102,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.checked(spark, path)
 
 
-QUERIES = (op1_exact_dedup, op3_line_dedup, op4_secret_scan, op5_packing, op6_language_id, op7_token_files, op9_quality_rules, op10_mixing)
+QUERIES = (op1_exact_dedup, op2_jaccard_join, op3_line_dedup, op4_secret_scan, op5_packing, op6_language_id, op7_token_files, op9_quality_rules, op10_mixing)
 
 
 def queries() -> dict:
