@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing, quality, secrets, token_files, tokens
+from . import exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing, quality, secrets, suffix_dedup, token_files, tokens
 from .common import documents, fresh_path
 
 HELD_OUT = "pmod(crc32(cast(coalesce(cast(doc_id as string), '') as binary)), 3) = 1"
@@ -102,7 +102,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.checked(spark, path)
 
 
-QUERIES = (op1_exact_dedup, op2_jaccard_join, op3_line_dedup, op4_secret_scan, op5_packing, op6_language_id, op7_token_files, op9_quality_rules, op10_mixing)
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = (op1_exact_dedup, op2_jaccard_join, op3_line_dedup, op4_secret_scan, op5_packing, op6_language_id, op7_token_files, op8_suffix_dedup, op9_quality_rules, op10_mixing)
 
 
 def queries() -> dict:
