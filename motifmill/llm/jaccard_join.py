@@ -6,8 +6,8 @@ differ by at most one element in some first-level partition, hence agree on all
 subsets of SECOND - 1 second-level partitions are the signatures, and similar sets share one. No similar pair is missed.
 
 Sets that are equal are joined by their digest first. Of the sets that share a signature the smallest is compared with the others, which
-joins most of a group of near copies. Only sets that share a signature but not yet a component are compared pairwise, behind
-a parity sketch that bounds the Hamming distance from below, and only until their components are joined.
+joins many of a group of near copies. For components that still share a signature, parity sketches bound the Hamming distance from
+below: a forest of the links they allow is verified on the sets themselves, until no allowed link between components is left.
 """
 
 from __future__ import annotations
@@ -27,12 +27,15 @@ from .components import components
 SECOND = 3
 #: Signatures of subsets with fewer elements than this are left out where a set has partitions to spare.
 LEAST_COVERED = 2
+#: Words of a sketch at least.
 SKETCH_WORDS = 16
 #: Signatures that one reducing group is meant to hold.
 BUCKET_SIGNATURES = 1_000_000
 FLUSH = 2_000_000
-#: Rounds in which each set tries its nearest candidates before all that are left are compared.
-TRIES = 3
+
+#: Rounds that verify trees of allowed pairs; after them each member's EACH nearest pairs a round.
+TREES = 2
+EACH = 64
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -124,9 +127,13 @@ def signatures(s: np.ndarray, ends: np.ndarray, bound: np.ndarray) -> np.ndarray
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """Parity of the elements that fall on each of SKETCH_WORDS * 64 bits: two sketches differ in no more bits than the sets in elements."""
-    bit = (K.mix64(s ^ np.uint64(0xD1B54A32D192ED03)) >> np.uint64(20)).astype(np.int64) % (SKETCH_WORDS * 64)
-    odd = (np.bincount(bit, minlength=SKETCH_WORDS * 64) & 1).astype(np.uint8)
+    """Parity of the elements that fall on each bit: two sketches differ in no more bits than the sets in elements.
+
+    With two bits an element or more, few linkable distances are hidden by elements that meet on a bit.
+    """
+    bits = max(SKETCH_WORDS * 64, 1 << (2 * len(s) - 1).bit_length())
+    bit = (K.mix64(s ^ np.uint64(0xD1B54A32D192ED03)) >> np.uint64(20)).astype(np.int64) & (bits - 1)
+    odd = (np.bincount(bit, minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.uint64)
 
 
@@ -228,71 +235,150 @@ def _verify(pairs: DataFrame, store: DataFrame, measure: Measure) -> DataFrame:
     return kernel(rows, run, "a long, b long, linked boolean")
 
 
-def _cross_pairs(members: DataFrame, measure: Measure) -> DataFrame:
-    """a < b, distance: pairs of different components under a signature that the sketch lets pass. members: sig, node, comp, n, sketch."""
-    rows = members.repartition("sig").sortWithinPartitions("sig", "comp", "node")
+def fold(sk: np.ndarray, words: int) -> np.ndarray:
+    """The same sketch over fewer bits."""
+    while len(sk) > words:
+        sk = sk[: len(sk) // 2] ^ sk[len(sk) // 2 :]
+    return sk
+
+
+class Forest:
+    """Pairs of different components that the sketches allow and nobody has rejected, from the members of one signature after another.
 
-    def pairs(c: dict[str, np.ndarray], lo: int, hi: int) -> Iterator[pa.RecordBatch]:
-        node, comp, n, sk = (c[k][lo:hi] for k in ("node", "comp", "n", "sketch"))
-        for k in range(len(node) - 1):
-            # Sorted by component: only what follows the own component.
-            first = int(np.searchsorted(comp, comp[k], "right"))
-            for at in range(first, len(node), 65536):
-                to = slice(at, at + 65536)
-                d = np.bitwise_count(sk[to] ^ sk[k]).sum(1)
-                ok = d <= measure.reach(n[to], n[k])
-                if ok.any():
-                    other = node[to][ok]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, node[k])), pa.array(np.maximum(other, node[k])), pa.array(d[ok].astype(np.int32))], names=["a", "b", "distance"])
+    ``each`` None: one pair for each join of components, so that a group of near copies gives a tree. Else: each member's ``each``
+    nearest pairs. Either way the pairs are as many as the members at most, times a constant. A signature with an allowed pair stays alive.
+    """
+
+    def __init__(self, measure: Measure, each: int | None):
+        self.measure = measure
+        self.each = each
+        self.parent: dict[int, int] = {}
+        self.out: dict[tuple[int, int], int] = {}
+        self.alive: list[int] = []
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    def put(self, a: int, b: int, d: int) -> None:
+        self.out[(a, b) if a < b else (b, a)] = d
+
+    def add(self, sig: int, node: list[int], comp: list[int], n: np.ndarray, sketches: list[bytes], no: list[list[int] | None]) -> None:
+        label = np.array([self.root(c) for c in comp] if self.each is None else comp)
+        if (label == label[0]).all():
+            self.alive.append(sig)  # joined here, but not verified yet
+            return
+        sks = [np.frombuffer(x, np.uint64) for x in sketches]
+        words = min(map(len, sks))
+        sk = np.stack([fold(x, words) for x in sks])
+        rest = np.arange(len(node))
+        found = False
+
+        def allowed(k: int, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            d = np.bitwise_count(sk[among] ^ sk[k]).sum(1)
+            ok = np.flatnonzero(d <= self.measure.reach(n[among], n[k]))
+            if no[k] and len(ok):
+                banned = set(no[k])
+                ok = np.array([x for x in ok if node[among[x]] not in banned], int)
+            return ok[np.argsort(d[ok], kind="stable")], d
+
+        if self.each is not None:
+            for k in range(len(node) - 1):
+                among = rest[k + 1 :][label[k + 1 :] != label[k]]
+                if len(among):
+                    ok, d = allowed(k, among)
+                    found |= len(ok) > 0
+                    for x in ok[: self.each]:
+                        self.put(node[k], node[among[x]], int(d[x]))
+        while self.each is None and len(rest):
+            queue = [k for k in rest if label[k] == label[rest[0]]]
+            rest = rest[label[rest] != label[rest[0]]]
+            while queue and len(rest):
+                k = queue.pop()
+                ok, d = allowed(k, rest)
+                if not len(ok):
+                    continue
+                found = True
+                joined = []
+                for x in ok:
+                    if label[rest[x]] not in joined:
+                        joined.append(label[rest[x]])
+                        self.put(node[k], node[rest[x]], int(d[x]))
+                        self.parent[self.root(int(label[rest[x]]))] = self.root(int(label[k]))
+                hit = np.isin(label[rest], joined)
+                queue += list(rest[hit])
+                rest = rest[~hit]
+        if found:
+            self.alive.append(sig)
+
+
+def _allowed(members: DataFrame, measure: Measure, each: int | None) -> DataFrame:
+    """sig of each signature that stays alive; a < b and distance of pairs to verify. members: sig, node, comp, n, sketch, no (rejected partners)."""
+    rows = members.repartition("sig").sortWithinPartitions("sig", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] | None = None
-        for b in batches:
-            now = {k: b[k].to_numpy() for k in ("sig", "node", "comp", "n")}
-            now["sketch"] = np.frombuffer(b"".join(b["sketch"].to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS)
-            held = now if held is None else {k: np.concatenate([held[k], now[k]]) for k in now}
-            start = np.append(np.flatnonzero(np.append(True, held["sig"][1:] != held["sig"][:-1])), len(held["sig"]))
-            for lo, hi in zip(start[:-2], start[1:-1], strict=True):
-                yield from pairs(held, lo, hi)
-            held = {k: v[start[-2] :] for k, v in held.items()}
-        if held is not None:
-            yield from pairs(held, 0, len(held["sig"]))
+        forest = Forest(measure, each)
+        held: list[tuple] = []
 
-    return kernel(rows.select("sig", "node", "comp", "n", "sketch"), run, "a long, b long, distance int")
+        def close() -> None:
+            sig, node, comp, n, sk, no = zip(*held, strict=True)
+            forest.add(sig[0], list(node), list(comp), np.array(n), list(sk), list(no))
 
+        for b in batches:
+            for row in zip(*(b[c].to_pylist() for c in ("sig", "node", "comp", "n", "sketch", "no")), strict=True):
+                if held and held[0][0] != row[0]:
+                    close()
+                    held = []
+                held.append(row)
+        if held:
+            close()
+        alive, pairs = forest.alive, forest.out
+        none, no_sig = [None] * len(alive), [None] * len(pairs)
+        columns = [
+            pa.array(alive + no_sig, pa.int64()),
+            pa.array(none + [a for a, _ in pairs], pa.int64()),
+            pa.array(none + [b for _, b in pairs], pa.int64()),
+            pa.array(none + list(pairs.values()), pa.int32()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["sig", "a", "b", "distance"])
 
-def _labelled(table: DataFrame, comp: DataFrame, on: str, name: str) -> DataFrame:
-    c = comp.select(F.col("node").alias(on), F.col("comp").alias("_c"))
-    return table.join(c, on, "left").withColumn(name, F.coalesce("_c", on)).drop("_c")
+    return kernel(rows.select("sig", "node", "comp", "n", "sketch", "no"), run, "sig long, a long, b long, distance int")
 
 
 def linked_nodes(shared: DataFrame, store: DataFrame, measure: Measure) -> DataFrame:
-    """node, comp for every node that is linked to another."""
+    """node, comp for every node that shares a signature: equal comp if linked, directly or not."""
+    nodes = store.select("node", "n", "sketch")
     nearest = shared.where("leader != node").groupBy("leader", "node").count().groupBy("node").agg(F.max_by("leader", F.struct("count", F.negative("leader"))).alias("a"))
-    done = materialise(_verify(nearest.select("a", F.col("node").alias("b")), store, measure), "verified")
-    edges = done.where("linked").select("a", "b")
-    comp = components(edges)
-    members = _labelled(shared.select("sig", "node"), comp, "node", "comp")
-    mixed = members.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("sig")
-    members = members.join(mixed, "sig", "left_semi").join(store.select("node", "n", "sketch"), "node")
-    pairs = _cross_pairs(members, measure).groupBy("a", "b").agg(F.min("distance").alias("distance"))
-    pairs = materialise(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti").join(done.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "pairs")
+    checked = materialise(_verify(nearest.select("a", F.col("node").alias("b")), store, measure), "verified")
+    comp = store.select("node", F.col("node").alias("comp"))
+    shared = shared.select("sig", "node")
+    rejected = None
     tries = 0
-    while pairs.limit(1).count():
-        now = pairs
-        if tries < TRIES:
-            near = pairs.groupBy("b").agg(F.min_by("a", F.struct("distance", "a")).alias("a"))
-            now = near.select("a", "b")
-        checked = materialise(_verify(now, store, measure), "verified")
-        edges = edges.union(checked.where("linked").select("a", "b"))
-        new = checked.where("linked").select("a", "b")
-        if new.limit(1).count():
-            comp = components(materialise(edges, "edges"))
-        left = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        left = _labelled(_labelled(left, comp, "a", "ca"), comp, "b", "cb").where("ca != cb").select("a", "b", "distance")
-        pairs = materialise(left, "pairs")
+    while True:
+        linked = checked.where("linked").select("a", "b")
+        if linked.limit(1).count():
+            edges = linked.join(comp.toDF("a", "ca"), "a").join(comp.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+            roots = components(edges).toDF("comp", "root")
+            comp = materialise(comp.join(roots, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "components")
+        failed = checked.where("not linked").select("a", "b")
+        rejected = failed if rejected is None else rejected.union(failed)
+        partners = rejected.union(rejected.select("b", "a")).groupBy("a").agg(F.collect_list("b").alias("no")).withColumnRenamed("a", "node")
+        members = shared.join(comp, "node")
+        mixed = members.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("sig")
+        members = members.join(mixed, "sig", "left_semi").join(nodes, "node").join(partners, "node", "left")
+        found = materialise(_allowed(members, measure, None if tries < TREES else EACH), "allowed")
+        pairs = found.where("a is not null").groupBy("a", "b").agg(F.min("distance").alias("distance"))
+        if tries < TREES:
+            best = lambda x, y: pairs.groupBy(x).agg(F.min_by(y, F.struct("distance", y)).alias(y)).select("a", "b")
+            pairs = best("a", "b").union(best("b", "a")).distinct()
+        pairs = materialise(pairs.select("a", "b"), "pairs")
+        if not pairs.limit(1).count():
+            return comp
+        shared = materialise(shared.join(found.where("sig is not null").select("sig"), "sig", "left_semi"), "alive")
+        checked = materialise(_verify(pairs, store, measure), "verified")
         tries += 1
-    return comp
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", measure: Measure = Measure()) -> DataFrame:
@@ -321,7 +407,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if store.groupBy("node").count().where("count > 1").limit(1).count():  # ids that repeat
         store = materialise(store.dropDuplicates(["node"]), "sets")
     comp = linked_nodes(shared, store, measure)
-    named = _labelled(classes, comp, "node", "comp")
+    named = classes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "comp").select("node", "component_id")
     out = rows.join(named, "node", "left")
