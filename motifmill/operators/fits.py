@@ -328,6 +328,9 @@ class MixtureFit(Fit):
         rows = [(s + 1, d + 1, int(k)) for (s, d), k in np.ndenumerate(self.motifs)]
         return self.spark.createDataFrame(rows, "s int, d int, k int")
 
+    def beta_df(self) -> DataFrame:
+        return _long(self.spark, self.beta_mean, ("s", "d"), "beta_mean")
+
     def mixture_df(self) -> DataFrame:
         return _long(self.spark, self.pi, ("s",), "pi")
 
