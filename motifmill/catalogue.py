@@ -394,7 +394,32 @@ def hashed_state(spark: SparkSession, sf_dir: str) -> tuple[C.Counts, np.ndarray
     return c, fits.hashed_init(K, c.n_features())[0], g / g.sum(2, keepdims=True)
 
 
-@query("soft_mixture_T1")
+def rounds_sql(first: str, n: int, start: int = 0) -> str:
+    """n rounds of shares and effects from table ``first``: tables x{j} (shares with a{j}) and a{j + 1}."""
+    out = first
+    for j in range(start, start + n):
+        out += f", y{j} as (select c.i, a.s, a.d, c.m, c.y, e.elf, {psi('a.a')} - ln(r.rate) as mean_log from counts c join elf e using (m) join a{j} a on a.i = c.i and a.s = e.s and a.d = e.d join rates r on r.s = e.s and r.d = e.d)"
+        out += f", x{j} as (select i, s, d, m, y, elf, mean_log, e / sum(e) over (partition by i, s, m) as xi from (select *, exp(elf + mean_log - max(elf + mean_log) over (partition by i, s, m)) as e from y{j}))"
+        out += f", a{j + 1} as (select i, s, d, 1 + sum(xi * y) as a from x{j} group by all)"
+    return out
+
+
+def omega_sql(shares: str, a: str) -> str:
+    """Responsibilities at a uniform mixture; shares ``shares``, effects ``a``."""
+    return f""", b1 as (select i, s, sum(xi * y * (ml + elf) - y * xi * ln(greatest(xi, 1e-12))) as data from (select x.*, {psi('a.a')} - ln(r.rate) as ml from {shares} x join {a} a using (i, s, d) join rates r using (s, d)) group by all),
+b2 as (select i, s, sum(a / rate * exposure + (a - 1) * {psi('a')} + ln(rate) - lgamma(a) - (rate - 1) * a / rate) as cost from {a} join rates using (s, d) group by all),
+om as (select i, s, e / sum(e) over (partition by i) as w from (select i, s, exp(data - cost - max(data - cost) over (partition by i)) as e from b1 join b2 using (i, s)))"""
+
+
+SOFT_RATES = ", elf as (select s, d, m, sum(p * ln(greatest(f, 1e-12))) as elf from motif join f0 using (k) group by all), rates as (select s, d, sum(p * f_sum) as exposure, 1 + sum(p * f_sum) as rate from motif join fs using (k) group by all)"
+SOFT_T1 = rounds_sql(SOFT_RATES + f", a0 as (select i, s, d, 1 + total / {D} as a from samples, ss, ds)", 3) + omega_sql("x2", "a2") + rounds_sql("", 2, 3) + """,
+cx as (select s, d, m, sum(w * xi * y) as c from x4 join om using (i, s) group by all), mass as (select s, d, sum(w * a / rate) as mass from a4 join om using (i, s) join rates using (s, d) group by all),
+sc as (select motif.s, motif.d, motif.k, p, fit - mass * f_sum as score from motif join (select s, d, k, sum(c * ln(f)) as fit from cx join f0 using (m) group by all) using (s, d, k) join mass using (s, d) join fs using (k)),
+q as (select s, d, k, 0.5 * p + 0.5 * e / sum(e) over (partition by s, d) as q from (select *, exp(score - max(score) over (partition by s, d)) as e from sc))
+select s, d, k, round(greatest(q, 1e-12) / sum(greatest(q, 1e-12)) over (partition by s, d), 6) + 0.0 as p from q"""
+
+
+@query("soft_mixture_T1", PRELUDE + SOFT_T1)
 def soft_mixture_t1(spark, sf_dir):
     c, f, g = hashed_state(spark, sf_dir)
     fit = fits.soft_mixture_fixed(c, f, g, max_iters=1, n_inner=1, update_F=True)
@@ -402,7 +427,14 @@ def soft_mixture_t1(spark, sf_dir):
     return x.select(*longs(x, "s", "d", "k"), *r6("p"))
 
 
-@query("hard_mixture_T1")
+HARD_RATES = ", hm as (select s, d, (s + d - 2) % 3 + 1 as k from ss, ds), elf as (select s, d, m, ln(greatest(f, 1e-12)) as elf from hm join f0 using (k)), rates as (select s, d, f_sum as exposure, 1 + f_sum as rate from hm join fs using (k))"
+HARD_T1 = rounds_sql(HARD_RATES + ", a0 as (select i, s, d, 1.0::double as a from samples, ss, ds)", 2) + omega_sql("x1", "a2") + """,
+ax as (select k, m, sum(w * xi * y) as a from x1 join om using (i, s) join hm using (s, d) group by all),
+h as (select f0.k, f0.m, 0.8 * f + 0.2 * (coalesce(a, 0) + 2.220446049250313e-16) / sum(coalesce(a, 0) + 2.220446049250313e-16) over (partition by f0.k) as h from f0 left join ax on ax.k = f0.k and ax.m = f0.m)
+select k, m, round(h / sum(h) over (partition by k), 6) + 0.0 as f from h"""
+
+
+@query("hard_mixture_T1", PRELUDE + HARD_T1)
 def hard_mixture_t1(spark, sf_dir):
     c, f, _ = hashed_state(spark, sf_dir)
     fit = fits.hard_mixture_fixed(c, f, np.array([[1, 2], [2, 3], [3, 1]]), max_iters=1, n_inner=2, update_F=True, F_step_init=0.2, F_step_ramp=20)
@@ -573,7 +605,7 @@ def _hard(p: Posterior) -> DataFrame:
 
 
 on_posterior("motif_table", "select s, string_agg(distinct k::varchar, ',' order by k::varchar) as label from hard group by s", HARD)(lambda p: (x := S.motif_table(_hard(p))).select(*longs(x, "s"), "label"))
-on_posterior("translate_motifs", "select s, d, case k when 1 then 3 when 2 then 1 end as k from hard", HARD)(lambda p: (x := S.translate_motifs(_hard(p), p.truth.sparkSession.createDataFrame([(1, 3), (2, 1), (3, None)], "k int, true_k int"))).select(*longs(x, "s", "d"), F.col("k").cast("int").alias("k")))
+on_posterior("translate_motifs", "select s, d, case k when 1 then 3 when 2 then 1 else -1 end as k from hard", HARD)(lambda p: (x := S.translate_motifs(_hard(p), p.truth.sparkSession.createDataFrame([(1, 3), (2, 1), (3, None)], "k int, true_k int"))).select(*longs(x, "s", "d"), F.coalesce("k", F.lit(-1)).alias("k")))
 on_posterior("slot_changes", "select count(*) filter (k <> d) as n_changed, count(*) as n from hard", HARD)(lambda p: S.slot_changes(_hard(p), p.priors.select("s", "d", F.col("d").alias("k"))))
 EXTRA = BETA + ", xs as (select *, row_number() over (partition by submanifold order by effective_beta desc, slot) > 1 as extra from activity)\n"
 
@@ -608,13 +640,13 @@ on_posterior("cluster_accuracy", "select round(max(coalesce(a.n, 0) + coalesce(b
 on_posterior("cluster_accuracy_greedy")(lambda p: p.truth.sparkSession.createDataFrame([(matching.cluster_accuracy(_labels(p), "greedy"),)], "accuracy double"))
 on_posterior("contingency_table", "select z, grp, n from tab", ACC)(lambda p: (x := _labels(p).groupBy("z", "grp").agg(F.count(F.lit(1)).alias("n"))).select(*longs(x, "z", "grp"), "n"))
 
-RESULTS = "(select c_mktsegment as scenario, case c_nationkey % 2 when 0 then 'a' else 'b' end as method, c_custkey % 3 as seed, " + ", ".join(f"case when c_custkey % 7 = {j} then null else round(c_acctbal / (100.0 + {j}), 3) end as {m}" for j, m in enumerate(S.METRICS)) + " from customer)"
+RESULTS = "(select c_mktsegment as scenario, case c_nationkey % 2 when 0 then 'a' else 'b' end as method, c_custkey % 3 as seed, " + ", ".join(f"case when c_custkey % 7 = {j} then null else c_acctbal / (100.0 + {j}) end as {m}" for j, m in enumerate(S.METRICS)) + " from customer)"
 
 
 @query("benchmark_summary", "select scenario, method, count(distinct seed) as n_seed, " + ", ".join(f"round(avg({m}), 5) + 0.0 as {m}_mean, round(stddev_samp({m}), 5) + 0.0 as {m}_sd" for m in S.METRICS) + f" from {RESULTS} group by all")
 def benchmark_summary(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
-    metrics = [F.when(F.col("c_custkey") % 7 != j, F.round(F.col("c_acctbal") / (100.0 + j), 3)).alias(m) for j, m in enumerate(S.METRICS)]
+    metrics = [F.when(F.col("c_custkey") % 7 != j, F.col("c_acctbal") / (100.0 + j)).alias(m) for j, m in enumerate(S.METRICS)]
     rows = c.select(F.col("c_mktsegment").alias("scenario"), F.when(F.col("c_nationkey") % 2 == 0, "a").otherwise("b").alias("method"), (F.col("c_custkey") % 3).alias("seed"), *metrics)
     x = S.benchmark_summary(rows)
     return x.select("scenario", "method", "n_seed", *r6(*(f"{m}_{t}" for m in S.METRICS for t in ("mean", "sd")), digits=5))
