@@ -89,7 +89,7 @@ def word_bpe():
     import public_tokenizers as public
 
     path = public.path("word_bpe_49k.json")
-    return lambda texts: tokens.opened(tokens.WordBPE, path).encode_many(texts)
+    return lambda texts: [tokens.opened(tokens.WordBPE, path).encode(t) for t in texts]
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 
@@ -10,10 +11,20 @@ import numpy as np
 
 #: Words or blank runs as long as this go through the library that stays near-linear on them.
 _LONG = re.compile(r"\S{400}|\s{400}")
+_STEP = 200
+
+
+def has_long_run(text: str) -> bool:
+    """A run of _LONG covers a whole aligned step, so texts whose steps all have a blank and something else are cleared cheaply."""
+    for k in range(0, len(text) - _STEP + 1, _STEP):
+        part = text[k : k + _STEP]
+        if " " not in part or part.isspace():
+            return _LONG.search(text) is not None
+    return False
+
+
 #: Latin-1 characters on whose class the two regex engines could differ (separators, NEL, no-break space).
 _UNSURE = re.compile("[\x1c-\x1f\x85\xa0]")
-#: Entries of the word cache of one worker.
-CACHE_WORDS = 300_000
 
 
 def _load(path: str):
@@ -45,57 +56,70 @@ class ByteBPE:
         self.ranks = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
-        if latin1(text) and not _LONG.search(text):
+        if latin1(text) and not has_long_run(text):
             return self.ranks.encode_to_numpy(text, disallowed_special=())
         return np.array(self.file.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
+def _byte_chars() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones for themselves, the others from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+# Classes of Latin-1 characters after lower-casing: 0 blank, 1 letter, 2 digit (a piece of its own), 3 other.
+_CLASS = np.array([0 if chr(c).isspace() else 1 if chr(c).isalpha() else 2 if chr(c).isnumeric() else 3 for c in range(256)], np.uint8)
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[^\\W\\d_\xb2\xb3\xb9\xbc-\xbe]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|(?:(?!\\w)\\S|_)+")
+_END = "\x00"
+
+
 class WordBPE:
-    """BPE that never merges across white space, so ids of a text are those of its blank-separated chunks, which are cached."""
+    """BPE with word ends over lower-cased pieces. Latin-1 texts go through the same merges as ranks, with a zero byte for the word end, which
+    first joins the byte before it; all others through the file itself."""
 
     def __init__(self, path: str):
+        import tiktoken
+
         self.file = _load(path)
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _learn(self, words: list[str]) -> None:
-        for lo in range(0, len(words), 4096):
-            part = words[lo : lo + 4096]
-            for w, e in zip(part, self.file.encode_batch(part, add_special_tokens=False), strict=True):
-                self.index[w] = len(self.ids)
-                self.ids.append(np.array(e.ids, np.uint32))
-        self.size = np.fromiter(map(len, self.ids), np.int64, len(self.ids))
-        self.start = np.cumsum(self.size) - self.size
-        self.flat = np.concatenate([np.zeros(0, np.uint32), *self.ids])
-
-    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text. Texts with a blank that str.split() and the file's pattern could see differently, or combining marks, go through the file."""
-        out: list[np.ndarray | None] = [None] * len(texts)
-        chunks: list[list[str]] = []
-        ours = []
-        for k, t in enumerate(texts):
-            if latin1(t):
-                ours.append(k)
-                chunks.append(t.split())
-            else:
-                out[k] = np.array(self.file.encode(t, add_special_tokens=False).ids, np.uint32)
-        if len(self.index) > CACHE_WORDS:
-            self.clear()
-        new = list(dict.fromkeys(w for c in chunks for w in c if w not in self.index))
-        if new:
-            self._learn(new)
-        get = self.index.__getitem__
-        for k, c in zip(ours, chunks, strict=True):
-            at = np.fromiter(map(get, c), np.int64, len(c))
-            n = self.size[at]
-            total = int(n.sum())
-            first = np.repeat(self.start[at] - (np.cumsum(n) - n), n)
-            out[k] = self.flat[first + np.arange(total)]
-        return out  # type: ignore[return-value]
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, end = model["vocab"], model["end_of_word_suffix"]
+        byte = _byte_chars()
+
+        def as_bytes(token: str) -> bytes:
+            body = token.removesuffix(end)
+            return bytes(byte[c] for c in body) + (b"\x00" if body != token else b"")
+
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        tokens = [*byte, *(c + end for c in byte), *("".join(m) for m in merges)]
+        ranks: dict[bytes, int] = {}
+        ids = []
+        for t in tokens:
+            if (raw := as_bytes(t)) not in ranks:
+                ranks[raw] = len(ids)
+                ids.append(vocab[t])
+        self.ids = np.array(ids, np.uint32)
+        self.ranks = tiktoken.Encoding("ranks", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
+
+    def marked(self, low: str) -> str:
+        """The pieces of a lower-cased Latin-1 text, each followed by the end mark."""
+        if "'" in low:
+            return "".join(x + _END for x in _PIECES.findall(low))
+        code = np.frombuffer(low.encode("latin-1"), np.uint8)
+        kind = _CLASS[code]
+        ends = (np.append(kind[1:], 0) != kind) | (kind == 2)
+        keep = kind > 0
+        ends &= keep
+        place = np.cumsum(keep + ends.astype(np.int64)) - ends  # one past each character in the output
+        out = np.zeros(int(keep.sum() + ends.sum()), np.uint8)
+        out[place[keep] - 1] = code[keep]
+        return out.tobytes().decode("latin-1")
+
+    def encode(self, text: str) -> np.ndarray:
+        if not latin1(text) or _END in text or has_long_run(text):
+            return np.array(self.file.encode(text, add_special_tokens=False).ids, np.uint32)
+        return self.ids[self.ranks.encode_to_numpy(self.marked(text.lower()), disallowed_special=())]
 
 
 _open: dict[tuple, object] = {}
