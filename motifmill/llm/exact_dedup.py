@@ -92,7 +92,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     others = hits.where(~F.col("loc").eqNullSafe(F.col("keep_loc")))
     wanted = small(materialise(others.select("loc", "keep_loc", "digest").union(hits.where(F.col("loc").eqNullSafe(F.col("keep_loc"))).select("loc", "keep_loc", "digest")), "hits"))
     texts = docs.select(loc.alias("loc"), normalised(F.col(text_col)).alias("norm")).join(wanted, "loc")
-    first = texts.where(F.col("loc").eqNullSafe(F.col("keep_loc"))).select("digest", F.col("norm").alias("keep_norm")).dropDuplicates(["digest"])
+    first = texts.where(F.col("loc").eqNullSafe(F.col("keep_loc"))).select("digest", F.col("norm").alias("keep_norm"))
+    # One row for each digest against all of its rows: a plain join whose hot side AQE can split.
     differs = materialise(texts.join(first, "digest").where(F.col("norm") != F.col("keep_norm")).select("loc", "norm"), "collisions")
     clash = differs.limit(1).count() > 0
     out = verdict.select("id", "loc", "digest", "keep_id", F.col("n").alias("group_size"), F.col("loc").eqNullSafe(F.col("keep_loc")).alias("kept"))
