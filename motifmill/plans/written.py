@@ -19,12 +19,18 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    spark = df.sparkSession
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new path there, deleted when this process ends."""
     path = f"{shared_dir(spark)}/motifmill/{name}-{uuid.uuid4().hex}"
     if not _made:
         atexit.register(clean)
     _made[path] = spark
+    return path
+
+
+def write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    spark = df.sparkSession
+    path = fresh(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
