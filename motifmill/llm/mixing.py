@@ -54,6 +54,8 @@ def share_out(budget: int, wants: Sequence[float], have: Sequence[int]) -> list[
 
 def allocate(totals: dict[tuple, int], budget: int, weights: Callable[[tuple], float]) -> dict[tuple, int]:
     """Tokens of each leaf. weights(path) weighs a node against its siblings; 0 leaves it out."""
+    if not totals:
+        return {}
     root = Node()
     for path, n in totals.items():
         node = root
