@@ -135,7 +135,7 @@ bound as (select i, s, data - cost as elbo from
 SCORES = ", scores as (select i, k, sum(p * alpha / lam) as score from effects group by all)\n"
 SIZES = """,
 sizes as (select i, d, sum(p * alpha / lam) as size, arg_max(k, (p, -k)) as top_factor, max(p) as top_gamma, sum(-p * ln(p)) / ln(3) as entropy from effects group by all),
-ranked as (select *, row_number() over (partition by i order by size desc, d) as rank from sizes),
+ranked as (select *, row_number() over (partition by i order by round(size, 9) desc, d) as rank from sizes),
 extra as (select i, grp, sum(case when rank > t.size then r.size else 0 end) / sum(r.size) as extra from ranked r join truth t using (i) group by all)
 """
 BETA = SLOTS + """,
@@ -147,7 +147,7 @@ activity as (select s as submanifold, d as slot, beta_mean, slot_scale, beta_mea
    from beta join priors using (s, d) join ent using (s, d))
 """
 LABELS = SCORES + """,
-lab as (select i, string_agg(k::varchar, ',' order by k) as label from (select *, row_number() over (partition by i order by score desc, k) as rank from scores) join truth using (i) where rank <= size group by i)
+lab as (select i, string_agg(k::varchar, ',' order by k) as label from (select *, row_number() over (partition by i order by round(score, 9) desc, k) as rank from scores) join truth using (i) where rank <= size group by i)
 """
 #: A second small dictionary, to match against.
 FT = ", ft as (select k as true_k, m, w / sum(w) over (partition by k) as f from (select k, m, (1 + ((k % 3 + 1) * 7919 + m * 104729 + k * 13) % 1009)::double as w from ks, feats)),\nsim as (select a.k, b.true_k, sum(a.f * b.f) / sqrt(any_value(na) * any_value(nb)) as cosine from f0 a join ft b using (m) join (select k, sum(f * f) as na from f0 group by k) x on x.k = a.k join (select true_k, sum(f * f) as nb from ft group by true_k) y on y.true_k = b.true_k group by all)\n"

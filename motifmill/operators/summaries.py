@@ -29,7 +29,8 @@ def effect_sizes(effects: DataFrame) -> DataFrame:
 
 
 def ranked_effects(sizes: DataFrame) -> DataFrame:
-    return sizes.withColumn("rank", F.row_number().over(W.partitionBy("i").orderBy(F.desc("size"), "d")))
+    """rank by size; sizes that agree to nine digits are ties, which go to the lower slot."""
+    return sizes.withColumn("rank", F.row_number().over(W.partitionBy("i").orderBy(F.round("size", 9).desc(), "d")))
 
 
 def effect_rank_summary(sizes: DataFrame) -> DataFrame:
@@ -69,7 +70,7 @@ def assignment_scores(effects: DataFrame) -> DataFrame:
 
 def support_labels(scores: DataFrame, sizes: DataFrame, value: str = "score") -> DataFrame:
     """i, label: the true_support_size factors with the largest scores."""
-    r = scores.withColumn("rank", F.row_number().over(W.partitionBy("i").orderBy(F.desc(value), "k"))).join(sizes.select("i", "true_support_size"), "i")
+    r = scores.withColumn("rank", F.row_number().over(W.partitionBy("i").orderBy(F.round(value, 9).desc(), "k"))).join(sizes.select("i", "true_support_size"), "i")
     return r.where("rank <= true_support_size").groupBy("i").agg(support_label(F.collect_list("k")).alias("label"))
 
 
