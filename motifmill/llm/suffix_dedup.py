@@ -198,8 +198,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         spans = spans.union(_ordered(cut, max(1, -(-n // TOGETHER)), length))
     spans = spans.join(classes.where("copies > 1").select("t"), "t", "left_anti")
     lists = materialise(spans.groupBy("t").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).join(classes.select("t", F.col("rep").alias("id")), "t"), "spans")
-    n = lists.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).collect()[0][0]
-    result = _removed(_with(single, lists, n), length)
+    # Texts and their spans always meet by a shuffle: most texts of a large corpus have some.
+    result = _removed(single.join(lists.drop("id"), "t"), length)
     result = materialise(result if with_text else result.drop("kept"), "removed")
     out = rows.join(classes.select("t", "copies"), "t", "left").join(result, "t", "left")
     gone = F.coalesce(F.col("copies") > 1, F.lit(False))
