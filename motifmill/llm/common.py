@@ -2,56 +2,32 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans import written
 from ..plans.ship import ship
 
 #: Rows a broadcast side may have; every caller has another way beyond it.
 BROADCAST_ROWS = 1_000_000
-
-_made: dict[str, SparkSession] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = tempfile.mkdtemp(prefix="motifmill-")
-        spark.sparkContext.setCheckpointDir(at)
-        at = spark.sparkContext.getCheckpointDir()
-    return at.rstrip("/")
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/motifmill/{name}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(clean)
-    _made[path] = spark
-    return path
+    return written.fresh(spark, name)
 
 
-def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back, which cuts the lineage and survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out, out._mm_path = written.write(df, name)
+    return out
 
 
-def clean() -> None:
-    """Delete what this process wrote to the shared folder; called at exit."""
-    for path, spark in list(_made.items()):
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session may have ended before us; nothing else to do at exit
-            pass
-        _made.pop(path, None)
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that no plan still to be run reads."""
+    for t in tables:
+        written.drop(t._mm_path)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -64,6 +40,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kernel(df: DataFrame, run, schema: str) -> DataFrame:
-    """mapInArrow with this package on the executors."""
+    """mapInArrow with this package on the executors. Batches of whole texts are kept small unless the session sets their size."""
     ship(df.sparkSession)
+    if df.sparkSession.conf.get(BATCH, None) is None:
+        df.sparkSession.conf.set(BATCH, str(BATCH_ROWS))
     return df.mapInArrow(run, schema)

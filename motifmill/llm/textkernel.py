@@ -20,7 +20,7 @@ _ipw = np.ones(1, np.uint64)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes that a slice of documents may hold while a kernel works on it; a longer document is a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
