@@ -113,7 +113,55 @@ def queries() -> dict:
     return {f.__name__: f for f in QUERIES}
 
 
+def _secret_sql() -> str:
+    """Positions follow from the pieces between matches, as neither engine reports them."""
+
+    def scan(kind: str, pattern: str, group: int) -> str:
+        p = pattern.replace("'", "''")
+        return f"select doc_id, '{kind}' as kind, string_split_regex(t, '{p}') as pieces, regexp_extract_all(t, '{p}') as found, regexp_extract_all(t, '{p}', {group}) as vals from docs"
+
+    scans = " union all ".join(scan(*x) for x in (*secrets.SCANS[:2], ("hex", secrets.HEX, 0), *secrets.SCANS[3:]))
+    near = "exists (select 1 from {0} o where o.doc_id = p.doc_id and abs(o.s - p.s) <= 200)"
+    return f"""
+with docs as (select doc_id, coalesce(text, '') as t from documents),
+scans as ({scans}),
+cells as (select doc_id, kind, k, length(pieces[k]) as gap, length(found[k]) as n, length(vals[k]) as val from (select *, unnest(range(1, len(found) + 1)) as k from scans)),
+parts as (select doc_id, kind, val, e - n as s, e from (select *, sum(gap + n) over (partition by doc_id, kind order by k) as e from cells)),
+base as (select doc_id, kind, s, e from parts where kind = 'assign' and val >= 12 or kind = 'access' and val >= 18 or kind = 'hex' and val >= 16),
+weak as (select doc_id, 'weak_secret' as kind, s, e from parts where kind = 'assign' and val between 6 and 11 or kind = 'bearer' and val >= 6),
+ident as (select doc_id, 'identifier' as kind, s, e from parts where kind = 'identifier' and val >= 3 or kind = 'access' and val between 8 and 17),
+keys as (select doc_id, s from weak union all select doc_id, s from base where kind = 'assign'),
+names as (select doc_id, s from ident union all select doc_id, s from base where kind = 'access'),
+spans as (
+  select *, true as b from base
+  union all select *, false from weak p where {near.format('names')}
+  union all select *, false from ident p where {near.format('keys')}
+  union all select doc_id, kind, s, e, false from parts p where kind = 'endpoint' and {near.format('names')} and {near.format('keys')}
+),
+texts as (select doc_id, b, kind, s, list_position(['assign', 'access', 'hex', 'identifier', 'weak_secret', 'endpoint'], kind) as o, kind || ':' || s::bigint || ':' || e::bigint as x from spans),
+lists as (select doc_id, count(*) filter (b and kind = 'assign') as n_assign, count(*) filter (b and kind = 'access') as n_access, count(*) filter (b and kind = 'hex') as n_hex,
+  string_agg(x, ',' order by s, o) filter (b) as base, string_agg(x, ',' order by s, o) as spans from texts group by doc_id)
+select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from docs d left join lists l on d.doc_id = l.doc_id
+"""
+
+
 ORACLE_SQL = {
+    "op4_secret_scan": _secret_sql(),
+    "op2_jaccard_join": r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+),
+grams as (
+  select distinct doc_id, array_to_string(w[k : k + 3], ' ') as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) as k from words where len(w) > 0)
+),
+sizes as (select doc_id, count(*) as n from grams group by doc_id),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as n_both from grams a join grams b on a.g = b.g and a.doc_id < b.doc_id group by all),
+links as (select a, b from pairs join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * n_both >= 85 * (x.n + y.n - n_both)),
+ways as (select a, b from links union all select b, a from links),
+reach as (select doc_id as a, doc_id as b from words union select r.a, w.b from reach r join ways w on r.b = w.a)
+select w.doc_id, coalesce(n, 0) as n_shingles, (select min(b) from reach r where r.a = w.doc_id) as component_id from words w left join sizes s on s.doc_id = w.doc_id
+""",
     "op1_exact_dedup": r"""
 with d as (
   select doc_id, length(coalesce(text, '')) as chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as norm from documents
