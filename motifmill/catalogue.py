@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from .functions import arrays as A
 from .functions import special as X
-from .operators import fits, matching
+from .operators import figures, fits, matching
 from .operators import longform as L
 from .operators import summaries as S
-from .plans import benchmark
+from .plans import benchmark, studies
 from .plans.written import write
 from .sources import counts as C
 from .sources import simulate
@@ -676,3 +676,35 @@ query("sim_tree")(lambda s, d: simulate.tree(s, 60, 60).counts.counts)
 query("sim_duplicate")(lambda s, d: simulate.duplicate_dictionary(s, 80, 60)[0].counts.counts)
 query("sim_correlated")(lambda s, d: simulate.correlated(s, 60, 60).counts.counts)
 query("sim_hard_generic")(lambda s, d: simulate.simulate(s, 80, ((1, 2), (1, 3), (4, 5), (4, 6)), [15.0] * 4, simulate.sparse_factors(6, 60, 7, 0.15, 0.03), 7, shuffled=True).counts.counts)
+
+
+# Tables behind figures, and fits side by side.
+
+RANKS = SIZES + ", rk as (select r.*, t.grp, r.size / sum(r.size) over (partition by i) as share from ranked r join truth t using (i))\n"
+
+
+def _sizes(p: Posterior) -> DataFrame:
+    return S.effect_sizes(p.effects)
+
+
+on_posterior("figure_rank_heatmap", "select grp, rank, round(avg(share), 6) + 0.0 as share from rk group by all", RANKS)(lambda p: (x := figures.rank_heatmap(_sizes(p), p.truth)).select(*longs(x, "grp", "rank"), *r6("share")))
+on_posterior("figure_gamma_heatmap", "select grp, rank, k, round(avg(p), 6) + 0.0 as p from rk join effects using (i, d) group by all", RANKS)(lambda p: (x := figures.gamma_heatmap(p.effects, _sizes(p), p.truth)).select(*longs(x, "grp", "rank", "k"), *r6("p")))
+on_posterior("rank_gamma_by_size", "select i, rank, k, round(p, 6) + 0.0 as p from rk join effects using (i, d)", RANKS)(lambda p: (x := figures.ranked_gamma(p.effects, _sizes(p))).select("i", *longs(x, "rank", "k"), *r6("p")))
+on_posterior("figure_factor_ids", "select grp, rank, top_factor, count(*) as n from rk group by all", RANKS)(lambda p: (x := figures.factor_ids(_sizes(p), p.truth)).select(*longs(x, "grp", "rank", "top_factor"), "n"))
+on_posterior("figure_representative", "select grp, arg_min(i, (gap, i)) as i from (select i, grp, round(abs(size - avg(size) over (partition by grp)), 9) as gap from rk where rank = 1) group by grp", RANKS)(lambda p: (x := figures.representative(_sizes(p), p.truth)).select(*longs(x, "grp"), "i"))
+CELLS = LABELS + ", rc as (select i, unnest(string_split(label, ','))::int as k, true as recovered from lab), ex as (select i, unnest(string_split(label, ','))::int as k, true as expected from truth)\n"
+on_posterior("figure_support_cells", "select i, grp, k, coalesce(recovered, false) as recovered, coalesce(expected, false) as expected from rc full join ex using (i, k) join truth using (i)", CELLS)(lambda p: (x := figures.support_cells(S.support_labels(S.loading_scores(p.effects), p.truth), p.truth)).select("i", *longs(x, "grp"), "k", "recovered", "expected"))
+on_posterior("figure_competing_shares", "select grp, true_k, k, round(avg(share), 6) + 0.0 as share from sh join truth using (i) group by all", SHARES)(lambda p: (x := figures.competing_diagnostics(S.loading_scores(p.effects), _members(p), p.truth)).select(*longs(x, "grp", "true_k", "k"), *r6("share")))
+query("run_boundaries", "select c_mktsegment, run, c_nationkey, min(c_custkey) as first, max(c_custkey) as last, count(*) as n from (select *, (sum(is_new) over (partition by c_mktsegment order by c_custkey))::bigint as run from (select *, case when c_nationkey = lag(c_nationkey) over (partition by c_mktsegment order by c_custkey) then 0 else 1 end as is_new from customer)) group by all")(lambda s, d: figures.run_boundaries(table(s, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), "c_custkey", "c_nationkey", "c_mktsegment"))
+
+
+def _tiny(spark: SparkSession) -> simulate.Simulated:
+    return simulate.block(spark, 80, 60, 101)
+
+
+QUICK = {"mf_max_iters": 3, "mf_nmf_iters": 5}
+query("soft_pair")(lambda s, d: studies.compare(studies.soft_pair(_tiny(s), 5, 8, 3, 1, 2, 1, **QUICK), _tiny(s)))
+query("hard_pair")(lambda s, d: studies.compare(studies.hard_pair(_tiny(s), 5, 8, 3, 1, 2, 2, **QUICK), _tiny(s)))
+query("oracle_hard_motifs")(lambda s, d: studies.summary(studies.oracle_hard(_tiny(s), 3, 4, 4), _tiny(s), "oracle"))
+query("over_dictionary_splits")(lambda s, d: studies.over_dictionary(s, (1,), 80, 60, 3, 5))
+query("correlated_pair_splits")(lambda s, d: studies.correlated_pair(s, (1,), 60, 60, 3, 5))

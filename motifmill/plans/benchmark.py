@@ -33,14 +33,14 @@ def nmf_method(sim: Simulated, K: int, S_: int, D: int, seed: int, nmf_iters: in
     fit = fits.poisson_nmf(sim.counts, K, nmf_iters, seed)
     scores = fit.loadings_df().withColumnRenamed("l", "score")
     _, z = kmeans(_packed(scores), S_, seed)
-    return _row(sim, "Poisson NMF + kmeans", fit.factors, scores, z)
+    return _row(sim, "NMF and k-means", fit.factors, scores, z)
 
 
 def effects_method(sim: Simulated, K: int, S_: int, D: int, seed: int, mf_max_iters: int = 25, mf_nmf_iters: int = 50, **_) -> DataFrame:
     fit = fits.mf_susie(sim.counts, K, D, mf_max_iters, seed=seed, nmf_iters=mf_nmf_iters, elbo_every=5, tol=5e-4, min_iters=12, patience=2)
     scores = S.loading_scores(fit.effects_df())
     _, z = kmeans(fit.scores(), S_, seed)
-    return _row(sim, "MF-Poisson-SuSiE + kmeans", fit.factors, scores, z)
+    return _row(sim, "effects and k-means", fit.factors, scores, z)
 
 
 def soft_method(sim: Simulated, K: int, S_: int, D: int, seed: int, mf_max_iters: int = 25, mf_nmf_iters: int = 50, mos_max_iters: int = 12, mos_n_inner: int = 3, surplus_slots: str = "repeat", update_slot_scale: bool = False, **_) -> DataFrame:
@@ -49,7 +49,7 @@ def soft_method(sim: Simulated, K: int, S_: int, D: int, seed: int, mf_max_iters
     scores = S.soft_scores(omega, S.motif_scores(fit.beta_df(), fit.motifs_df(), fit.priors_df()))
     top = S.max_responsibility(omega)
     sure = top.agg(F.avg("w")).collect()[0][0]
-    return _row(sim, "Soft MoS-NMF", fit.factors, scores, top.select("i", F.col("z_hat").alias("z")), sure, fit.motifs_df())
+    return _row(sim, "soft motifs", fit.factors, scores, top.select("i", F.col("z_hat").alias("z")), sure, fit.motifs_df())
 
 
 METHODS: tuple[Callable[..., DataFrame], ...] = (nmf_method, effects_method, soft_method)

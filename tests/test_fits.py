@@ -159,7 +159,7 @@ def test_streamed_scores_equal_batch(spark, block, tmp_path):
 def test_benchmark_rows(spark, block):
     rows = benchmark.run_seeds("block", lambda seed: block, (1, 2), 5, 8, 3, nmf_iters=5, mf_max_iters=2, mf_nmf_iters=5, mos_max_iters=2, mos_n_inner=1)
     out = {r.method: r for r in S.benchmark_summary(rows).collect()}
-    assert set(out) == {"Poisson NMF + kmeans", "MF-Poisson-SuSiE + kmeans", "Soft MoS-NMF"}
-    assert out["Poisson NMF + kmeans"].mean_gamma_entropy_mean is None and out["Soft MoS-NMF"].n_seed == 2
+    assert set(out) == {"NMF and k-means", "effects and k-means", "soft motifs"}
+    assert out["NMF and k-means"].mean_gamma_entropy_mean is None and out["soft motifs"].n_seed == 2
     one = S.benchmark_summary(rows.where("seed = 1")).first()
     assert one.cluster_accuracy_sd is None
