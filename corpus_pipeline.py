@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from motifmill.llm import jaccard_join, line_dedup, mixing, packing, quality
 from motifmill.llm import queries as Q
-from motifmill.llm.common import documents, materialise, small
+from motifmill.llm.common import discard, documents, materialise, small
 
 #: Share of the remaining tokens that the mixture is cut to.
 BUDGET_SHARE = 0.9
@@ -33,7 +33,9 @@ def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     linked = materialise(jaccard_join.jaccard_join(docs), "linked")
     gone = materialise(linked.where("id != component_id").select(F.col("id").alias("doc_id")).distinct(), "near-copies")
     out = docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
-    if linked.where("id is not null").groupBy("id").count().where("count > 1").limit(1).count():
+    repeats = linked.where("id is not null").groupBy("id").count().where("count > 1").limit(1).count()
+    discard(linked)
+    if repeats:
         out = out.dropDuplicates(["doc_id", "text"])
     return out
 

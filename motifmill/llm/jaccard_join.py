@@ -21,18 +21,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import kernel, materialise, small
+from .common import discard, kernel, materialise, small
 from .components import components
 
 SECOND = 3
-#: Signatures of subsets with fewer elements than this are left out where a set has partitions to spare.
-LEAST_COVERED = 2
+#: Share of first-level partitions that there are to spare, in percent. A linked pair agrees in more of them than are to spare, so each
+#: set leaves out signatures of subsets that say little, below a score of up to LEAST_SCORE, as far as no more partitions have such subsets.
+SPARE = 15
+LEAST_SCORE = 6
+#: An element scores 1, and RARE more unless it is among the FREQUENT most frequent shingles. Which ones these are only
+#: decides about the number of candidates, as both sets of a pair judge a subset on which they agree alike.
+RARE = 2
+FREQUENT = 20_000
+FREQUENT_WINDOW = 1_000_000
+FREQUENT_BITS = 20
 #: Words of a sketch at least.
 SKETCH_WORDS = 16
 #: Signatures that one reducing group is meant to hold.
-BUCKET_SIGNATURES = 1_000_000
-FLUSH = 2_000_000
+BUCKET_SIGNATURES = 500_000
+FLUSH = 1_000_000
 
+SIGNATURE_BITS = 40
 #: Rounds that verify trees of allowed pairs; after them each member's EACH nearest pairs a round.
 TREES = 2
 EACH = 64
@@ -100,29 +109,64 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def signatures(s: np.ndarray, ends: np.ndarray, bound: np.ndarray) -> np.ndarray:
+class Frequent:
+    """The most frequent elements of a task's sets: of each window those found three times or more, added up and cut back to a bounded number."""
+
+    def __init__(self):
+        self.window: list[np.ndarray] = []
+        self.held = 0
+        self.element, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, s: np.ndarray) -> None:
+        self.window.append(s)
+        self.held += len(s)
+        if self.held >= FREQUENT_WINDOW:
+            self.close()
+
+    def close(self) -> None:
+        if not self.held:
+            return
+        x, n = np.unique(np.concatenate(self.window), return_counts=True)
+        x, n = np.append(self.element, x[n > 2]), np.append(self.count, n[n > 2])
+        self.element, at = np.unique(x, return_inverse=True)
+        self.count = np.bincount(at, n, len(self.element)).astype(np.int64)
+        top = np.argsort(-self.count, kind="stable")[: 2 * FREQUENT]
+        self.element, self.count = self.element[top], self.count[top]
+        self.window, self.held = [], 0
+
+
+def frequent_bits(elements: np.ndarray) -> np.ndarray:
+    """A bit for each low part of a hash; elements that meet a frequent one there count as frequent too."""
+    out = np.zeros(1 << FREQUENT_BITS, bool)
+    out[(elements & np.uint64((1 << FREQUENT_BITS) - 1)).astype(np.int64)] = True
+    return out
+
+
+def signatures(s: np.ndarray, ends: np.ndarray, bound: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """PartEnum signatures of a set: in its own band's instance and in the next one's."""
     own = int(np.searchsorted(ends, len(s)))
+    score = 1.0 + RARE * ~frequent[(s & np.uint64((1 << FREQUENT_BITS) - 1)).astype(np.int64)]
     out = []
     for i in (own, own + 1):
         k = int(bound[i])
         if k == 0 or not len(s):
             continue  # only equal sets are that close
-        spare = (k // 2 + 1) // 10
+        spare = max(int(k > 3), (k // 2 + 1) * SPARE // 100)
         n1 = k // 2 + 1 + spare
         value = K.mix64(s + np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (1 << 64) - 1))
         cell = (value >> np.uint64(33)).astype(np.int64) % n1 * SECOND + (value & np.uint64(0xFFFFFFF)).astype(np.int64) % SECOND
         total = np.zeros(n1 * SECOND, np.uint64)
         np.add.at(total, cell, K.mix64(value))
-        count = np.bincount(cell, minlength=n1 * SECOND).reshape(n1, SECOND)
         total = total.reshape(n1, SECOND)
         rest = total.sum(1, keepdims=True) - total
-        covered = count.sum(1, keepdims=True) - count
-        thin = covered < LEAST_COVERED
+        worth = np.bincount(cell, score, n1 * SECOND).reshape(n1, SECOND)
+        worth = worth.sum(1, keepdims=True) - worth
+        # Of two linked sets take the one with the higher limit: some partition on which they agree has no subset below it, in either.
+        least = worth.min(1)
+        limit = next(c for c in range(LEAST_SCORE, -1, -1) if np.count_nonzero(least < c) <= spare)
         name = K.mix64(np.arange(n1 * SECOND, dtype=np.uint64) + np.uint64((i + 1) << 32)).reshape(n1, SECOND)
         sig = K.mix64(rest * np.uint64(0x9FB21C651E98DF25) + name)
-        # A linked pair agrees in spare + 1 first-level partitions or more, so that many thin ones less one are not needed.
-        out.append(sig[~thin] if np.count_nonzero(thin.any(1)) <= spare else sig.ravel())
+        out.append(sig[worth >= limit])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -138,47 +182,69 @@ def sketch(s: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, measure: Measure) -> DataFrame:
-    """id, n, node and node2 (digest of the set) of each row."""
+    """id, n, node and node2 (digest of the set) of each row; with n = -1 a frequent shingle and its count in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = Frequent()
         for b in batches:
             texts = K.as_bytes(b["text"])
             for lo, hi in K.slices(texts):
                 sets = shingle_sets(texts[lo:hi], measure.n)
+                for x in sets:
+                    frequent.add(x)
                 d = [digest(s) for s in sets]
                 yield pa.RecordBatch.from_arrays([b["id"].slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in d], pa.int64()), pa.array([x for _, x in d], pa.int64())], names=["id", "n", "node", "node2"])
+        frequent.close()
+        m = len(frequent.element)
+        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(np.full(m, -1)), pa.array(frequent.element.view(np.int64)), pa.array(frequent.count)], names=["id", "n", "node", "node2"])
 
     return kernel(docs, run, "id long, n long, node long, node2 long")
 
 
-def _shared(docs: DataFrame, measure: Measure, most: int, buckets: int) -> DataFrame:
-    """sig, leader, node of the sets that share a signature with another; leader is the smallest node."""
+def planes(x: np.ndarray) -> bytes:
+    """Bytes of 64-bit numbers, the lowest of all first: high bytes that are alike then take almost no room in a compressed shuffle."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def from_planes(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def _shared(texts: DataFrame, measure: Measure, most: int, buckets: int, frequent: np.ndarray) -> DataFrame:
+    """sig, leader, node of the sets that share a signature with another; leader is the smallest node. texts: node (null for the set's digest), text.
+
+    Signatures are cut to SIGNATURE_BITS below their bucket; the few that meet by chance are candidates like others.
+    """
     ends, bound = measure.bands(most)
     shift = np.uint64(64 - (buckets.bit_length() - 1))
+    low = np.uint64(64 - (buckets.bit_length() - 1) - SIGNATURE_BITS)
 
     def emit(sig: list[np.ndarray], node: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        s, d = np.concatenate(sig), np.concatenate(node)
+        s, d = np.concatenate(sig) >> low, np.concatenate(node)
         order = np.argsort(s)
         s, d = s[order], d[order]
-        bucket = (s >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(s), np.int64)
+        bucket = (s >> (shift - low)).astype(np.int64)
         at = np.searchsorted(bucket, np.arange(buckets + 1))
+        step = np.diff(s, prepend=np.uint64(0))
         for lo in range(0, buckets, 16):
             ks = [k for k in range(lo, min(lo + 16, buckets)) if at[k] < at[k + 1]]
             if ks:
-                yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int32()), pa.array([s[at[k] : at[k + 1]].tobytes() for k in ks], pa.binary()), pa.array([d[at[k] : at[k + 1]].tobytes() for k in ks], pa.binary())], names=["bucket", "sigs", "nodes"])
+                first = [int(s[at[k]]) for k in ks]
+                sigs = [planes(np.concatenate([[np.uint64(0)], step[at[k] + 1 : at[k + 1]]])) for k in ks]
+                yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int32()), pa.array(first, pa.int64()), pa.array(sigs, pa.binary()), pa.array([planes(d[at[k] : at[k + 1]]) for k in ks], pa.binary())], names=["bucket", "first", "sigs", "nodes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig: list[np.ndarray] = []
         node: list[np.ndarray] = []
         held = 0
         for b in batches:
-            texts = K.as_bytes(b["text"])
+            texts, ids = K.as_bytes(b["text"]), b["node"].to_pylist()
             for lo, hi in K.slices(texts):
-                for s in shingle_sets(texts[lo:hi], measure.n):
-                    x = signatures(s, ends, bound)
+                for s, i in zip(shingle_sets(texts[lo:hi], measure.n), ids[lo:hi], strict=True):
+                    x = signatures(s, ends, bound, frequent)
                     if len(x):
                         sig.append(x)
-                        node.append(np.full(len(x), digest(s)[0], np.int64))
+                        node.append(np.full(len(x), digest(s)[0] if i is None else i, np.int64))
                         held += len(x)
                 if held > FLUSH:
                     yield from emit(sig, node)
@@ -187,8 +253,9 @@ def _shared(docs: DataFrame, measure: Measure, most: int, buckets: int) -> DataF
             yield from emit(sig, node)
 
     def meet(key, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(np.frombuffer(x, np.uint64), np.frombuffer(y, np.int64)) for b in batches for x, y in zip(b["sigs"].to_pylist(), b["nodes"].to_pylist(), strict=True)]
+        parts = [(np.cumsum(from_planes(x)) + np.uint64(f), from_planes(y).view(np.int64)) for b in batches for f, x, y in zip(b["first"].to_pylist(), b["sigs"].to_pylist(), b["nodes"].to_pylist(), strict=True)]
         s, d = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+        del parts
         order = np.lexsort((d, s))
         s, d = s[order], d[order]
         again = np.concatenate([[False], (s[1:] == s[:-1]) & (d[1:] == d[:-1])])
@@ -203,21 +270,22 @@ def _shared(docs: DataFrame, measure: Measure, most: int, buckets: int) -> DataF
             hi = lo + 100_000
             yield pa.RecordBatch.from_arrays([pa.array(s[lo:hi].view(np.int64)), pa.array(leader[lo:hi]), pa.array(d[lo:hi])], names=["sig", "leader", "node"])
 
-    blobs = kernel(docs, run, "bucket int, sigs binary, nodes binary")
+    blobs = kernel(texts.select("node", "text"), run, "bucket int, first long, sigs binary, nodes binary")
     # These annotations choose the form of applyInArrow that gives batches.
     meet.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
     return blobs.groupBy("bucket").applyInArrow(meet, "sig long, leader long, node long")
 
 
 def _store(docs: DataFrame, measure: Measure) -> DataFrame:
-    """node, n, sketch, body (sorted hashes) of each row."""
+    """node, n, sketch, body (sorted hashes) of each row. docs: node (null for the set's digest), text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = K.as_bytes(b["text"])
             for lo, hi in K.slices(texts):
                 sets = shingle_sets(texts[lo:hi], measure.n)
-                yield pa.RecordBatch.from_arrays([pa.array([digest(s)[0] for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "n", "sketch", "body"])
+                node = [digest(s)[0] if i is None else i for s, i in zip(sets, b["node"].slice(lo, hi - lo).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "n", "sketch", "body"])
 
     return kernel(docs, run, "node long, n long, sketch binary, body binary")
 
@@ -352,8 +420,7 @@ def linked_nodes(shared: DataFrame, store: DataFrame, measure: Measure) -> DataF
     nodes = store.select("node", "n", "sketch")
     nearest = shared.where("leader != node").groupBy("leader", "node").count().groupBy("node").agg(F.max_by("leader", F.struct("count", F.negative("leader"))).alias("a"))
     checked = materialise(_verify(nearest.select("a", F.col("node").alias("b")), store, measure), "verified")
-    comp = store.select("node", F.col("node").alias("comp"))
-    shared = shared.select("sig", "node")
+    comp = materialise(store.select("node", F.col("node").alias("comp")), "components")
     rejected = None
     tries = 0
     while True:
@@ -361,11 +428,12 @@ def linked_nodes(shared: DataFrame, store: DataFrame, measure: Measure) -> DataF
         if linked.limit(1).count():
             edges = linked.join(comp.toDF("a", "ca"), "a").join(comp.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
             roots = components(edges).toDF("comp", "root")
-            comp = materialise(comp.join(roots, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "components")
+            before, comp = comp, materialise(comp.join(roots, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "components")
+            discard(before)
         failed = checked.where("not linked").select("a", "b")
         rejected = failed if rejected is None else rejected.union(failed)
         partners = rejected.union(rejected.select("b", "a")).groupBy("a").agg(F.collect_list("b").alias("no")).withColumnRenamed("a", "node")
-        members = shared.join(comp, "node")
+        members = shared.select("sig", "node").join(comp, "node")
         mixed = members.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("sig")
         members = members.join(mixed, "sig", "left_semi").join(nodes, "node").join(partners, "node", "left")
         found = materialise(_allowed(members, measure, None if tries < TREES else EACH), "allowed")
@@ -376,7 +444,8 @@ def linked_nodes(shared: DataFrame, store: DataFrame, measure: Measure) -> DataF
         pairs = materialise(pairs.select("a", "b"), "pairs")
         if not pairs.limit(1).count():
             return comp
-        shared = materialise(shared.join(found.where("sig is not null").select("sig"), "sig", "left_semi"), "alive")
+        before, shared = shared, materialise(shared.join(found.where("sig is not null").select("sig"), "sig", "left_semi"), "alive")
+        discard(before, found)
         checked = materialise(_verify(pairs, store, measure), "verified")
         tries += 1
 
@@ -389,25 +458,34 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A row with a null id is no link: its component_id is null. An empty table gives no rows. Sets are compared by 64-bit hashes of the shingles.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = materialise(_sets(docs, measure), "shingle-sets")
+    written = materialise(_sets(docs, measure), "shingle-sets")
+    rows = written.where("n >= 0")
     classes = materialise(rows.where("n > 0 and id is not null").groupBy("n", "node", "node2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "set-classes")
     most, total = classes.agg(F.max("n"), F.sum("n")).collect()[0]
     if not most:
         return rows.select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+    # A set is known by the smallest id of its class, or by its digest if an id stands for more than one set.
+    by_id = classes.groupBy("rep").count().where("count > 1").limit(1).count() == 0
+    node = F.col("id") if by_id else F.lit(None).cast("long")
+    classes = classes.withColumn("set_node", F.col("rep") if by_id else F.col("node"))
     # One text for each class: rows of other ids are taken out by an anti join, whose side is small where copies are few.
     copies = materialise(rows.where("n > 0 and id is not null").join(classes.select("node", "rep"), "node").where("id != rep").select("id").distinct().join(classes.select(F.col("rep").alias("id")), "id", "left_anti"), "copies")
     texts = docs.where("id is not null").join(small(copies), "id", "left_anti")
+    counted = written.where("n < 0").groupBy("node").agg(F.sum("node2").alias("count"))
+    top = counted.orderBy(F.desc("count"), "node").limit(FREQUENT).select("node").toPandas()  # FREQUENT rows at most
+    frequent = frequent_bits(top.node.to_numpy(np.int64).view(np.uint64))
     buckets = 64
     while buckets * BUCKET_SIGNATURES < total:
         buckets *= 2
-    shared = materialise(_shared(texts.select("id", "text").select("text"), measure, int(most), buckets), "shared-signatures")
+    shared = materialise(_shared(texts.select(node.alias("node"), "text"), measure, int(most), buckets, frequent), "shared-signatures")
     nodes = shared.select("node").distinct()
-    wanted = materialise(classes.join(nodes, "node", "left_semi").select(F.col("rep").alias("id")).distinct(), "candidates")
-    store = materialise(_store(docs.join(small(wanted), "id").select("text"), measure), "sets")
-    if store.groupBy("node").count().where("count > 1").limit(1).count():  # ids that repeat
+    wanted = materialise(classes.join(nodes.withColumnRenamed("node", "set_node"), "set_node", "left_semi").select(F.col("rep").alias("id")).distinct(), "candidates")
+    store = materialise(_store(docs.join(small(wanted), "id").select(node.alias("node"), "text"), measure), "sets")
+    if store.groupBy("node").count().where("count > 1").limit(1).count():  # rows that repeat
         store = materialise(store.dropDuplicates(["node"]), "sets")
     comp = linked_nodes(shared, store, measure)
-    named = classes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    discard(copies, wanted, store)
+    named = classes.join(comp.withColumnRenamed("node", "set_node"), "set_node", "left").withColumn("comp", F.coalesce("comp", "set_node"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "comp").select("node", "component_id")
     out = rows.join(named, "node", "left")

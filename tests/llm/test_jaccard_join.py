@@ -75,6 +75,7 @@ def test_near_sets_share_a_signature():
     m = J.Measure(4, 85, 100)
     ends, bound = m.bands(4000)
     linked = 0
+    frequent = J.frequent_bits(rng.integers(0, 1 << 63, 200_000, dtype=np.uint64))
     for _ in range(400):
         n = int(rng.integers(3, 900))
         a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
@@ -82,7 +83,7 @@ def test_near_sets_share_a_signature():
         b = np.unique(np.concatenate([a[cut:], rng.integers(0, 1 << 63, int(rng.integers(0, max(1, n // 10) + 1)), dtype=np.uint64)]))
         if m.linked(a, b) and not np.array_equal(a, b):
             linked += 1
-            assert np.intersect1d(J.signatures(a, ends, bound), J.signatures(b, ends, bound)).size
+            assert np.intersect1d(J.signatures(a, ends, bound, frequent), J.signatures(b, ends, bound, frequent)).size
             w = min(len(J.sketch(a)), len(J.sketch(b)))
             assert np.bitwise_count(J.fold(J.sketch(a), w) ^ J.fold(J.sketch(b), w)).sum() <= m.reach(len(a), len(b))
     assert linked > 100
