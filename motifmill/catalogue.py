@@ -632,13 +632,21 @@ Z = ", z as (select i, arg_max(s, (w, -s)) as z, grp from omega join truth using
 
 
 def _labels(p: Posterior) -> DataFrame:
-    return S.max_responsibility(p.omega).select("i", F.col("z_hat").alias("z")).join(p.truth.where("grp <= 3"), "i")
+    return S.max_responsibility(p.omega).select("i", F.col("z_hat").alias("z")).join(p.truth, "i")
+
+
+def _three(p: Posterior) -> DataFrame:
+    """The groups that the SQL of cluster_accuracy and contingency_table is confined to; the queries ending in _all have every sample."""
+    return _labels(p).where("grp <= 3")
 
 
 ACC = Z.replace("from omega join truth using (i)", "from omega join (select * from truth where grp <= 3) t using (i)")
-on_posterior("cluster_accuracy", "select round(max(coalesce(a.n, 0) + coalesce(b.n, 0) + coalesce(c.n, 0)) / (select sum(n) from tab), 6) as accuracy from (select x.k as k1, y.k as k2, w.k as k3 from ks x, ks y, ks w where x.k <> y.k and x.k <> w.k and y.k <> w.k) p left join tab a on a.z = 1 and a.grp = k1 left join tab b on b.z = 2 and b.grp = k2 left join tab c on c.z = 3 and c.grp = k3", ACC)(lambda p: p.truth.sparkSession.createDataFrame([(matching.cluster_accuracy(_labels(p)),)], "accuracy double").select(*r6("accuracy")))
+on_posterior("cluster_accuracy", "select round(max(coalesce(a.n, 0) + coalesce(b.n, 0) + coalesce(c.n, 0)) / (select sum(n) from tab), 6) as accuracy from (select x.k as k1, y.k as k2, w.k as k3 from ks x, ks y, ks w where x.k <> y.k and x.k <> w.k and y.k <> w.k) p left join tab a on a.z = 1 and a.grp = k1 left join tab b on b.z = 2 and b.grp = k2 left join tab c on c.z = 3 and c.grp = k3", ACC)(lambda p: p.truth.sparkSession.createDataFrame([(matching.cluster_accuracy(_three(p)),)], "accuracy double").select(*r6("accuracy")))
 on_posterior("cluster_accuracy_greedy")(lambda p: p.truth.sparkSession.createDataFrame([(matching.cluster_accuracy(_labels(p), "greedy"),)], "accuracy double"))
-on_posterior("contingency_table", "select z, grp, n from tab", ACC)(lambda p: (x := _labels(p).groupBy("z", "grp").agg(F.count(F.lit(1)).alias("n"))).select(*longs(x, "z", "grp"), "n"))
+on_posterior("contingency_table", "select z, grp, n from tab", ACC)(lambda p: (x := _three(p).groupBy("z", "grp").agg(F.count(F.lit(1)).alias("n"))).select(*longs(x, "z", "grp"), "n"))
+GROUPS = Z + ", gs as (select unnest(range(1, 5)) as g)\n"
+on_posterior("cluster_accuracy_all", "select round(max(coalesce(a.n, 0) + coalesce(b.n, 0) + coalesce(c.n, 0)) / (select sum(n) from tab), 6) as accuracy from (select x.g as k1, y.g as k2, w.g as k3 from gs x, gs y, gs w where x.g <> y.g and x.g <> w.g and y.g <> w.g) p left join tab a on a.z = 1 and a.grp = k1 left join tab b on b.z = 2 and b.grp = k2 left join tab c on c.z = 3 and c.grp = k3", GROUPS)(lambda p: p.truth.sparkSession.createDataFrame([(matching.cluster_accuracy(_labels(p)),)], "accuracy double").select(*r6("accuracy")))
+on_posterior("contingency_table_all", "select z, grp, n from tab", Z)(lambda p: (x := _labels(p).groupBy("z", "grp").agg(F.count(F.lit(1)).alias("n"))).select(*longs(x, "z", "grp"), "n"))
 
 RESULTS = "(select c_mktsegment as scenario, case c_nationkey % 2 when 0 then 'a' else 'b' end as method, c_custkey % 3 as seed, " + ", ".join(f"case when c_custkey % 7 = {j} then null else c_acctbal / (100.0 + {j}) end as {m}" for j, m in enumerate(S.METRICS)) + " from customer)"
 

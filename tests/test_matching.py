@@ -37,3 +37,21 @@ def test_permutation_match_agrees(spark):
     got = M.permutation_match(M.similarity_frame(spark, m.similarity), 4).orderBy("k").collect()
     assert [r.true_k for r in got] == m.learned_to_true
     assert m.table(spark).count() == 4
+
+
+def test_cluster_queries_have_every_customer(spark):
+    from motifmill import catalogue as Q
+
+    sf = "/root/testdata/sf0.001"
+    table = Q.QUERIES["contingency_table_all"](spark, sf).toPandas()
+    n = np.zeros((3, 4))
+    n[table.z - 1, table.grp - 1] = table.n
+    assert n.sum() == Q.posterior(spark, sf).truth.count() and (n.sum(0) > 0).all()
+    best = max(sum(n[k, g] for k, g in enumerate(p)) for p in itertools.permutations(range(4), 3))
+    assert Q.QUERIES["cluster_accuracy_all"](spark, sf).first().accuracy == pytest.approx(best / n.sum(), abs=1e-6)
+    left, greedy = n.copy(), 0
+    for _ in range(3):
+        z, g = np.unravel_index(np.argmax(left), left.shape)
+        greedy += left[z, g]
+        left[z], left[:, g] = -1, -1
+    assert Q.QUERIES["cluster_accuracy_greedy"](spark, sf).first().accuracy == pytest.approx(greedy / n.sum())
