@@ -314,7 +314,8 @@ class Forest:
     """Pairs of different components that the sketches allow and nobody has rejected, from the members of one signature after another.
 
     ``each`` None: one pair for each join of components, so that a group of near copies gives a tree. Else: each member's ``each``
-    nearest pairs. Either way the pairs are as many as the members at most, times a constant. A signature with an allowed pair stays alive.
+    nearest pairs. Either way the pairs are as many as the members at most, times a constant. A signature with an allowed pair stays alive,
+    and so does one with members that only pairs of earlier signatures, not verified yet, have joined: they are looked at again if those fail.
     """
 
     def __init__(self, measure: Measure, each: int | None):
@@ -335,14 +336,14 @@ class Forest:
 
     def add(self, sig: int, node: list[int], comp: list[int], n: np.ndarray, sketches: list[bytes], no: list[list[int] | None]) -> None:
         label = np.array([self.root(c) for c in comp] if self.each is None else comp)
+        found = len(set(label.tolist())) < len(set(comp))  # joined here, but not verified yet
         if (label == label[0]).all():
-            self.alive.append(sig)  # joined here, but not verified yet
+            self.alive.append(sig)
             return
         sks = [np.frombuffer(x, np.uint64) for x in sketches]
         words = min(map(len, sks))
         sk = np.stack([fold(x, words) for x in sks])
         rest = np.arange(len(node))
-        found = False
 
         def allowed(k: int, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             d = np.bitwise_count(sk[among] ^ sk[k]).sum(1)

@@ -99,3 +99,26 @@ def test_components_on_chains(spark):
     edges = [(k, k + 1) for k in range(1, 40)] + [(100, 101), (101, 100), (5, 5)]
     got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{k: 1 for k in range(1, 41)}, 100: 100, 101: 100}
+
+
+def test_provisional_joins_keep_a_signature_alive():
+    """A-X and X-B are proposed before {A, B, C} is seen; if they fail, A-B has only that signature."""
+    m = J.Measure(4, 85, 100)
+    words = lambda name, at: [f"{name}{k}" if k in at else f"w{k}" for k in range(203)]
+    text = {
+        "A": " ".join(words("a", range(16))),
+        "X": " ".join(words("x", range(187, 203))),
+        "B": " ".join(words("b", range(3))),
+        "C": " ".join(words("c", range(203))),
+    }
+    sets = dict(zip(text, J.shingle_sets([t.encode() for t in text.values()], m.n), strict=True))
+    linked = lambda a, b: m.linked(sets[a], sets[b])
+    assert linked("A", "B") and not linked("A", "X") and not linked("X", "C") and not linked("B", "C")
+    ids = {"A": 1, "B": 2, "C": 3, "X": 4}
+    forest = J.Forest(m, None)
+    forest.parent = {ids["A"]: ids["X"], ids["X"]: ids["X"], ids["B"]: ids["X"]}  # what earlier signatures proposed
+    names = ("A", "B", "C")
+    node = [ids[k] for k in names]
+    forest.add(7, node, node, np.array([len(sets[k]) for k in names]), [J.sketch(sets[k]).tobytes() for k in names], [None] * 3)
+    assert forest.out == {}
+    assert forest.alive == [7]
