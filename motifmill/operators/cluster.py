@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ship import ship
+from ..plans.written import write
 
 EPS = 1e-12
 STARTS = 20
 STEPS = 50
-#: Rows that the starts are tried on at the driver (those with the smallest hash); the chosen one is then run over all rows.
-TRIAL_ROWS = 20_000
+#: Up to so many rows the passes run at the driver; the algorithm and its bounds are the same beyond.
+DRIVER_ROWS = 20_000
 
 
 def normalized(x: np.ndarray) -> np.ndarray:
@@ -30,56 +31,126 @@ def assign(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return z, d[np.arange(len(x)), z]
 
 
-def lloyd(x: np.ndarray, S: int, seed: int, starts: int = STARTS, steps: int = STEPS) -> np.ndarray:
-    """Centres with the smallest within sum of squares; an empty cluster keeps its centre."""
+def _uniform(i: np.ndarray, seed: int, start: int, centre: int) -> np.ndarray:
+    """A number in (0, 1) of each row id, whatever the partition."""
+    salt = np.random.SeedSequence([seed, start, centre]).generate_state(1, np.uint64)[0]
+    x = i.astype(np.int64).view(np.uint64) ^ salt
+    for _ in range(2):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+    return ((x >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
+
+
+def _candidates(i: np.ndarray, x: np.ndarray, centers: np.ndarray, seed: int) -> list[tuple[float, int, np.ndarray]]:
+    """For each start the row of the next centre: key (the largest wins), -id, row. Start 0 takes the farthest row, the others draw by squared distance."""
+    out = []
+    for r, c in enumerate(centers):
+        d = assign(x, c)[1] if len(c) else np.ones(len(x))
+        if r == 0 and len(c):
+            key = d
+        else:
+            key = np.full(len(x), -np.inf)
+            np.divide(np.log(_uniform(i, seed, r, len(c))), d, out=key, where=d > 0)
+        k = np.lexsort((i, -key))[0]
+        out.append((float(key[k]), -int(i[k]), x[k]))
+    return out
+
+
+def _sums(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """For each start and centre: sum of its rows, their number and their squared distances."""
+    R, S, K = centers.shape
+    total = np.zeros((R, S, K + 2))
+    for r, c in enumerate(centers):
+        z, d = assign(x, c)
+        np.add.at(total[r], z, np.column_stack([x, np.ones(len(x)), d]))
+    return total
+
+
+class _Local:
+    def __init__(self, scores: DataFrame):
+        rows = scores.orderBy("i").toPandas()
+        self.i, self.x = rows.i.to_numpy(np.int64), normalized(np.stack(rows.scores.to_numpy()))
+
+    def candidates(self, centers: np.ndarray, seed: int) -> np.ndarray:
+        return np.stack([x for _, _, x in _candidates(self.i, self.x, centers, seed)])
+
+    def sums(self, centers: np.ndarray) -> np.ndarray:
+        return _sums(self.x, centers)
+
+
+class _Spread:
+    """The same passes over all rows where they are; a task returns a row for each start, or its sums."""
+
+    def __init__(self, scores: DataFrame):
+        self.scores = scores
+
+    def candidates(self, centers: np.ndarray, seed: int) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = None
+            for i, x in _blocks(batches):
+                got = _candidates(i, x, centers, seed)
+                best = got if best is None else [max(p, q, key=lambda t: t[:2]) for p, q in zip(best, got, strict=True)]
+            if best is not None:
+                key, back, rows = zip(*best, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(best)), pa.int64()), pa.array(key), pa.array(back, pa.int64()), pa.array([x.tolist() for x in rows])], names=["r", "key", "back", "x"])
+
+        got = self.scores.mapInArrow(run, "r long, key double, back long, x array<double>")
+        rows = got.groupBy("r").agg(F.max(F.struct("key", "back", "x")).alias("m")).orderBy("r").select("m.x").collect()
+        return np.array([r.x for r in rows])
+
+    def sums(self, centers: np.ndarray) -> np.ndarray:
+        R, S, K = centers.shape
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((R, S, K + 2))
+            for _, x in _blocks(batches):
+                total += _sums(x, centers)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["k", "v"])
+
+        got = self.scores.mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas()
+        total = np.zeros(R * S * (K + 2))
+        total[got.k] = got.v
+        return total.reshape(R, S, K + 2)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for b in batches:
+        if b.num_rows:
+            yield b["i"].to_numpy(zero_copy_only=False).astype(np.int64), normalized(np.array(b["scores"].to_pylist()))
+
+
+def lloyd(rows: _Local | _Spread, S: int, seed: int, starts: int = STARTS, steps: int = STEPS) -> np.ndarray:
+    """Centres with the smallest within sum of squares; an empty cluster keeps its centre. All starts share each pass over the rows."""
+    centers = rows.candidates(np.zeros((starts, 0, 0)), seed)[:, None]
+    while centers.shape[1] < S:
+        centers = np.concatenate([centers, rows.candidates(centers, seed)[:, None]], 1)
+    moving = np.arange(starts)
+    for _ in range(steps):
+        total = rows.sums(centers[moving])
+        n = total[:, :, -2:-1]
+        new = np.where(n > 0, total[:, :, :-2] / np.maximum(n, 1), centers[moving])
+        moved = np.abs(new - centers[moving]).max((1, 2)) > 1e-12
+        centers[moving] = new
+        moving = moving[moved]
+        if not len(moving):
+            break
     best, least = None, np.inf
-    for r in range(starts):
-        rng = np.random.default_rng([seed, r])
-        centers = x[[rng.integers(len(x))]]
-        while len(centers) < S:
-            d = assign(x, centers)[1]
-            far = int(np.argmax(d)) if r == 0 or not d.sum() else int(rng.choice(len(x), p=d / d.sum()))
-            centers = np.vstack([centers, x[far]])
-        for _ in range(steps):
-            z, _ = assign(x, centers)
-            new = np.array([x[z == s].mean(0) if (z == s).any() else centers[s] for s in range(S)])
-            if np.array_equal(new, centers):
-                break
-            centers = new
-        within = assign(x, centers)[1].sum()
+    for c, within in zip(centers, rows.sums(centers)[:, :, -1].sum(1), strict=True):
         if within < least - 1e-12:
-            best, least = centers, within
+            best, least = c, within
     return best
 
 
-def kmeans(scores: DataFrame, S: int, seed: int = 0, steps: int = 10) -> tuple[np.ndarray, DataFrame]:
-    """Centres and (i, z 1-based) of packed scores (i, scores). Starts are chosen on a bounded sample; each step over all rows returns S sums."""
-    n = scores.count()
-    trial = scores
-    if n > TRIAL_ROWS:
-        trial = scores.where(F.pmod(F.xxhash64("i"), F.lit(1 << 30)) < int((1 << 30) * TRIAL_ROWS / n))
-    rows = trial.orderBy("i").toPandas()
-    centers = lloyd(normalized(np.stack(rows.scores.to_numpy())), S, seed)
+def kmeans(scores: DataFrame, S: int, seed: int = 0, steps: int = STEPS) -> tuple[np.ndarray, DataFrame]:
+    """Centres and (i, z 1-based) of packed scores (i, scores). Every start and step is over all rows, at any size."""
     ship(scores.sparkSession)
-    if n > TRIAL_ROWS:
-        K = centers.shape[1]
-        for _ in range(steps):
-
-            def sums(batches: Iterator[pa.RecordBatch], centers=centers) -> Iterator[pa.RecordBatch]:
-                total = np.zeros((S, K + 1))
-                for b in batches:
-                    x = normalized(np.stack([np.asarray(v) for v in b["scores"].to_pylist()]))
-                    np.add.at(total, assign(x, centers)[0], np.column_stack([x, np.ones(len(x))]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(S * (K + 1))), pa.array(total.ravel())], names=["k", "v"])
-
-            got = scores.mapInArrow(sums, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas()
-            total = np.zeros(S * (K + 1))
-            total[got.k] = got.v
-            total = total.reshape(S, K + 1)
-            new = np.where(total[:, -1:] > 0, total[:, :-1] / np.maximum(total[:, -1:], 1), centers)
-            if np.allclose(new, centers, atol=1e-12):
-                break
-            centers = new
+    if scores.count() <= DRIVER_ROWS:
+        rows = _Local(scores)
+    else:
+        scores, _ = write(scores.select("i", "scores"), "kmeans-scores")
+        rows = _Spread(scores)
+    centers = lloyd(rows, S, seed, steps=steps)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -142,6 +142,23 @@ def test_kmeans_and_motifs(spark):
     assert kmeans(df, 4, 1)[0].shape == (4, 3)  # more centres than distinct rows
 
 
+def test_kmeans_has_every_row_at_any_size(spark, monkeypatch):
+    """One far row of 60,000, not among the 20,000 with the smallest hash; and both ways of the passes agree."""
+    from motifmill.operators import cluster
+
+    noise = "0.001 * (i % 7)"
+    df = spark.range(60_000).selectExpr("id as i").selectExpr("i", f"if(i % 2 = 0, array(1D, {noise}, 0D), array({noise}, 1D, 0D)) as scores")
+    far = df.selectExpr("max_by(i, pmod(xxhash64(i), 1 << 30))").first()[0]
+    df = df.selectExpr("i", f"if(i = {far}, array(0D, 0D, 1D), transform(scores, x -> double(x))) as scores")
+    centers, z = kmeans(df, 3, 1)
+    alone = z.where(f"i = {far}").first().z
+    assert z.where(f"z = {alone}").count() == 1 and np.allclose(centers[alone - 1], [0, 0, 1], atol=1e-9)
+    few = df.where("i % 100 < 3").withColumn("scores", F.expr("transform(scores, (x, k) -> x + pmod(xxhash64(i, k), 1000) / 1500)"))
+    here = kmeans(few, 4, 2)[0]
+    monkeypatch.setattr(cluster, "DRIVER_ROWS", 0)
+    assert np.allclose(kmeans(few, 4, 2)[0], here, atol=1e-9)
+
+
 def test_streamed_scores_equal_batch(spark, block, tmp_path):
     fit = fits.soft_mixture_fixed(block.counts, block.factors, fits.peaked_gamma(np.array([[1, 2], [3, 4]]), 5, 0.05), 2, 2)
     packed = block.counts.packed()
