@@ -1,6 +1,6 @@
 """Packing by first-fit decreasing over a tournament tree, in randomised groups of documents.
 
-Documents are dealt into groups by a hash. In a group every document is cut into full sequences and a rest; rests are packed by
+Documents are dealt into groups by a hash; rows that repeat more often than a group has documents are dealt out by their input partition as well. In a group every document is cut into full sequences and a rest; rests are packed by
 first-fit decreasing, where a tournament tree over the bins' free room finds the first bin that fits in logarithmic time. What is
 left open is closed by cutting up the emptiest bins, so a group has one unfilled sequence at most.
 """
@@ -15,12 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kernel
+from .common import kernel, materialise, small
 
 LENGTH = 1024
 #: Documents of a group, on average; a group that turns out larger than twice that, or than GROUP_TOKENS, is closed and continued as another.
 GROUP_DOCS = 2000
 GROUP_TOKENS = 8_000_000
+#: Groups that a task gets, on average.
+TASK_GROUPS = 8
+#: Bits of a sequence's number that count sequences of a part, and parts of a group.
+SEQUENCE_BITS, PART_BITS = 21, 17
 Piece = tuple[int, int, int]  # document in the group, start, length
 
 
@@ -92,14 +96,22 @@ def pack(docs: DataFrame, encode: Callable[[list[str]], list[np.ndarray]], end_i
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of each piece, and its ids if asked for.
 
     ``encode`` runs on the executors. Every document ends with end_id, so a null or empty text is one token. Rows are packed each by itself,
-    also if they repeat or share an id. Groups follow from seed, id and text alone, so a task that runs again gives the same pieces. An empty
-    table gives no rows. Columns other than id and text are not read.
+    also if they repeat or share an id. Groups follow from seed, id and text (and the input partition of rows that repeat more than ``group_docs``
+    times), so a task that runs again gives the same pieces. An empty table gives no rows. Columns other than id and text are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    groups = max(1, -(-docs.select(id_col).count() // group_docs))
-    h = F.xxhash64(F.lit(seed), "id", F.substring("text", 1, 64), F.length("text"))
-    rows = rows.select("*", h.alias("h")).select("id", "text", "h", F.pmod("h", F.lit(groups)).alias("grp"))
-    rows = rows.repartition("grp").sortWithinPartitions("grp", "h", "id", "text")
+    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "id", F.substring("text", 1, 64), F.octet_length("text")))
+    repeats = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    n, most = repeats.agg(F.sum("n"), F.max("n")).collect()[0]
+    groups = max(1, -(-(n or 0) // group_docs))
+    deal = F.col("h")
+    if (most or 0) > group_docs:
+        often = materialise(repeats.where(F.col("n") > group_docs).select("h", F.lit(True).alias("often")), "often-repeated")
+        rows = rows.withColumn("part", F.spark_partition_id()).join(small(often), "h", "left")
+        deal = F.when(F.col("often"), F.xxhash64("h", "part")).otherwise(deal)
+    rows = rows.select("id", "text", "h", F.pmod(deal, F.lit(groups)).alias("grp"))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-groups // TASK_GROUPS))
+    rows = rows.repartition(tasks, "grp").sortWithinPartitions("grp", "h", "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int | None] = []
@@ -130,11 +142,14 @@ def pack(docs: DataFrame, encode: Callable[[list[str]], list[np.ndarray]], end_i
 def _pieces(ids: list, toks: list[np.ndarray], group: int, part: int, length: int, with_ids: bool) -> pa.RecordBatch:
     out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")}
     cut = []
+    if part >> PART_BITS:
+        raise OverflowError("too many rows in one group: use smaller ones")
+    first = ((group << PART_BITS) + part) << SEQUENCE_BITS
     for k, pieces in enumerate(pack_group([len(t) for t in toks], length)):
         offset = 0
         for doc, start, n in pieces:
             piece = toks[doc][start : start + n]
-            row = (ids[doc], start, n, zlib.crc32(piece), len(toks[doc]), (group << 32) + (part << 20) + k, offset)
+            row = (ids[doc], start, n, zlib.crc32(piece), len(toks[doc]), first + k, offset)
             for c, v in zip(out.values(), row, strict=True):
                 c.append(v)
             offset += n

@@ -78,18 +78,19 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), count("assign"), count("access"), count("hex"), base, secrets.as_text(F.sort_array(F.concat("base", "added"))).alias("spans"))
 
 
-def byte_bpe():
+def encoder(name: str, piece):
     import public_tokenizers as public
 
-    args = public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN
-    return lambda texts: [tokens.opened(tokens.ByteBPE, *args).encode(t) for t in texts]
+    path = public.path(name)
+    return lambda texts: [tokens.opened(path, piece).encode(t) for t in texts]
 
 
-def word_bpe():
-    import public_tokenizers as public
+def byte_bpe():
+    return encoder("byte_bpe_50k.json", tokens.byte_piece)
+
 
-    path = public.path("word_bpe_49k.json")
-    return lambda texts: [tokens.opened(tokens.WordBPE, path).encode(t) for t in texts]
+def word_bpe():
+    return encoder("word_bpe_49k.json", tokens.word_piece)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

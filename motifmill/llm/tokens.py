@@ -1,133 +1,89 @@
-"""Token ids by public tokenizer files, without their models' slow paths where a faster one provably agrees."""
+"""Token ids by the tokenizers library, each distinct chunk of a text encoded once.
+
+A chunk is a run of blanks with what follows it: letters only, ASCII marks only, or anything else up to the next blank. The pre-tokenizers
+in use never join a character with a blank after it, nor a letter with a mark that isn't an apostrophe, and normalizers don't look across
+either border. So the ids of a text are those of its chunks, one after the other; texts for which this could fail are chunks as a whole.
+A chunk of letters or marks is one piece to the library's model, which then gets it without the steps before.
+"""
 
 from __future__ import annotations
 
-import base64
-import json
 import os
 import re
+from collections.abc import Callable
 
 import numpy as np
 
-#: Words or blank runs as long as this go through the library that stays near-linear on them.
-_LONG = re.compile(r"\S{400}|\s{400}")
-_STEP = 200
-
-
-def has_long_run(text: str) -> bool:
-    """A run of _LONG covers a whole aligned step, so texts whose steps all have a blank and something else are cleared cheaply."""
-    for k in range(0, len(text) - _STEP + 1, _STEP):
-        part = text[k : k + _STEP]
-        if " " not in part or part.isspace():
-            return _LONG.search(text) is not None
-    return False
+_BLANK, _LETTER, _MARK = r"\x20\x09-\x0D", r"A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF", r"!-&(-/:-@\[-`{-~"
+_REST = f"(?![^{_BLANK}{_LETTER}{_MARK}])"
+_CHUNK = re.compile(f"[{_BLANK}]*+(?:[{_LETTER}]++{_REST}|[{_MARK}]++{_REST}|[^{_BLANK}]++)|[{_BLANK}]++")
+_PIECE = re.compile(f"([{_BLANK}]*)([{_LETTER}]+|[{_MARK}]+)")
+#: Blanks to the library that end no chunk here.
+_OTHER_BLANK = "[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Chunks remembered by a worker at a time, and characters of one that is.
+KNOWN = 1 << 19
+KNOWN_CHARS = 32
 
 
-#: Latin-1 characters on whose class the two regex engines could differ (separators, NEL, no-break space).
-_UNSURE = re.compile("[\x1c-\x1f\x85\xa0]")
-
+def _byte_chars() -> dict[int, str]:
+    """The character of each byte in a byte-level vocabulary: printable ones stand for themselves, the others for those from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
-def _load(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # a special token's string in a text is ordinary text
-    return t
+_CHARS = _byte_chars()
 
 
-def latin1(text: str) -> bool:
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return not _UNSURE.search(text)
+def byte_piece(blanks: str, rest: str) -> str | None:
+    """What a byte-level model takes a chunk of letters or marks for: it keeps one blank before it, other blanks are pieces of their own."""
+    return blanks + rest if blanks in ("", " ") else None
 
 
-class ByteBPE:
-    """Byte-level BPE. Latin-1 texts go through the same vocabulary as ranks, which gives the same ids; all others through the file itself."""
+def word_piece(blanks: str, rest: str) -> str | None:
+    """The same for a model of lower-cased pieces without blanks."""
+    return rest.lower()
 
-    def __init__(self, path: str, ranks_path: str, pattern: str):
-        import tiktoken
 
-        self.file = _load(path)
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.ranks = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+class Encoder(dict):
+    """A tokenizer file, without special tokens added; a special token's string in a text is that token. Holds the ids of known chunks."""
 
-    def encode(self, text: str) -> np.ndarray:
-        if latin1(text) and not has_long_run(text):
-            return self.ranks.encode_to_numpy(text, disallowed_special=())
-        return np.array(self.file.encode(text, add_special_tokens=False).ids, np.uint32)
+    def __init__(self, path: str, piece: Callable[[str, str], str | None]):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
+        super().__init__()
+        self.file = Tokenizer.from_file(path)
+        self.model = self.file.model
+        self.piece = piece
+        special = [t.content for t in self.file.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join([_OTHER_BLANK, *map(re.escape, special)]))
 
-def _byte_chars() -> dict[str, int]:
-    """The byte that each character of a byte-level vocabulary stands for: printable ones for themselves, the others from 256 on."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in own]
-    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
-# Classes of Latin-1 characters after lower-casing: 0 blank, 1 letter, 2 digit (a piece of its own), 3 other.
-_CLASS = np.array([0 if chr(c).isspace() else 1 if chr(c).isalpha() else 2 if chr(c).isnumeric() else 3 for c in range(256)], np.uint8)
-_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[^\\W\\d_\xb2\xb3\xb9\xbc-\xbe]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|(?:(?!\\w)\\S|_)+")
-_END = "\x00"
-
-
-class WordBPE:
-    """BPE with word ends over lower-cased pieces. Latin-1 texts go through the same merges as ranks, with a zero byte for the word end, which
-    first joins the byte before it; all others through the file itself."""
-
-    def __init__(self, path: str):
-        import tiktoken
-
-        self.file = _load(path)
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        vocab, end = model["vocab"], model["end_of_word_suffix"]
-        byte = _byte_chars()
-
-        def as_bytes(token: str) -> bytes:
-            body = token.removesuffix(end)
-            return bytes(byte[c] for c in body) + (b"\x00" if body != token else b"")
-
-        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        tokens = [*byte, *(c + end for c in byte), *("".join(m) for m in merges)]
-        ranks: dict[bytes, int] = {}
-        ids = []
-        for t in tokens:
-            if (raw := as_bytes(t)) not in ranks:
-                ranks[raw] = len(ids)
-                ids.append(vocab[t])
-        self.ids = np.array(ids, np.uint32)
-        self.ranks = tiktoken.Encoding("ranks", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
-
-    def marked(self, low: str) -> str:
-        """The pieces of a lower-cased Latin-1 text, each followed by the end mark."""
-        if "'" in low:
-            return "".join(x + _END for x in _PIECES.findall(low))
-        code = np.frombuffer(low.encode("latin-1"), np.uint8)
-        kind = _CLASS[code]
-        ends = (np.append(kind[1:], 0) != kind) | (kind == 2)
-        keep = kind > 0
-        ends &= keep
-        place = np.cumsum(keep + ends.astype(np.int64)) - ends  # one past each character in the output
-        out = np.zeros(int(keep.sum() + ends.sum()), np.uint8)
-        out[place[keep] - 1] = code[keep]
-        return out.tobytes().decode("latin-1")
+    def __missing__(self, chunk: str) -> bytes:
+        m = _PIECE.fullmatch(chunk) if len(chunk) <= KNOWN_CHARS else None
+        piece = self.piece(m[1], m[2]) if m else None
+        if piece is None:
+            ids = self.file.encode(chunk, add_special_tokens=False).ids
+        else:
+            ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_CHARS))]
+        out = np.array(ids, "<u4").tobytes()
+        if len(chunk) <= KNOWN_CHARS:
+            if len(self) >= KNOWN:
+                self.clear()
+            self[chunk] = out
+        return out
 
     def encode(self, text: str) -> np.ndarray:
-        if not latin1(text) or _END in text or has_long_run(text):
-            return np.array(self.file.encode(text, add_special_tokens=False).ids, np.uint32)
-        return self.ids[self.ranks.encode_to_numpy(self.marked(text.lower()), disallowed_special=())]
+        """Ids as unsigned 32-bit integers."""
+        chunks = [text] if self.whole.search(text) else _CHUNK.findall(text)
+        return np.frombuffer(b"".join(map(self.__getitem__, chunks)), "<u4")
 
 
-_open: dict[tuple, object] = {}
+_open: dict[str, Encoder] = {}
 
 
-def opened(kind: type, *args: str):
-    """One tokenizer for each worker process."""
-    key = (kind, *args)
-    if key not in _open:
-        _open[key] = kind(*args)
-    return _open[key]
+def opened(path: str, piece: Callable[[str, str], str | None]) -> Encoder:
+    """One for each worker process."""
+    if path not in _open:
+        _open[path] = Encoder(path, piece)
+    return _open[path]

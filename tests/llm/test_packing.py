@@ -45,10 +45,9 @@ def test_one_open_sequence_a_group(seed):
 
 def whole(df, **options):
     import public_tokenizers as public
+    from tokenizers import Tokenizer
 
-    from motifmill.llm.tokens import _load
-
-    file = _load(public.path("byte_bpe_50k.json"))
+    file = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
     want = sorted([(r.doc_id, tuple(file.encode(r.text or "", add_special_tokens=False).ids + [0])) for r in df.select("doc_id", "text").collect()], key=repr)
     rows = P.pack(df, Q.byte_bpe(), 0, with_ids=True, seed=1, **options).collect()
     sequences = defaultdict(list)
@@ -86,5 +85,21 @@ def test_same_pieces_again(sample):
     assert one == two
 
 
+def test_rows_repeated_beyond_a_group(spark):
+    """A third of all rows is one row: it is dealt out by input partition, and no sequence number comes twice."""
+    rows = [(7, "the same row again")] * 100 + [(k, f"row number {k} of its own") for k in range(200)]
+    rows, sequences = whole(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), group_docs=10)
+    assert len({s >> P.PART_BITS + P.SEQUENCE_BITS for s in (r.sequence_id for r in rows if r.doc_id == 7)}) > 1
+    assert sum(r.doc_tokens for r in rows if r.start == 0) == sum(r.length for r in rows)
+
+
+def test_many_parts_of_a_group():
+    table = [P._pieces([1], [np.arange(3, dtype="<u4")], 5, part, 64, False) for part in (0, 1, 4096, 5000)]
+    ids = [t["sequence_id"][0].as_py() for t in table]
+    assert len(set(ids)) == 4 and max(ids) < P._pieces([1], [np.arange(3, dtype="<u4")], 6, 0, 64, False)["sequence_id"][0].as_py()
+    with pytest.raises(OverflowError):
+        P._pieces([1], [np.arange(3, dtype="<u4")], 0, 1 << P.PART_BITS, 64, False)
+
+
 def test_empty(empty):
     assert P.pack(empty, Q.byte_bpe(), 0).count() == 0
