@@ -5,12 +5,12 @@ Each stage takes (spark, docs, sf_dir) and works on all that the one before kept
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motifmill.llm import jaccard_join, line_dedup, mixing, packing, quality
 from motifmill.llm import queries as Q
-from motifmill.llm.common import discard, documents, materialise, small
+from motifmill.llm.common import discard, documents, free_name, materialise, small
 
 #: Share of the remaining tokens that the mixture is cut to.
 BUDGET_SHARE = 0.9
@@ -22,29 +22,59 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated passages go from the texts; n_chars follows."""
+    """Later repeated passages go from the texts; n_chars follows. All rows stay."""
     out = line_dedup.line_dedup(docs)
-    n_chars = F.when(F.col("_mm_cuts").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))
+    n_chars = F.when(F.col(out.columns[-1]).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))
     return out.select(*(n_chars.alias(c) if c == "n_chars" else c for c in docs.columns))
 
 
+def _row_key(docs: DataFrame) -> Column:
+    """The same for rows that agree in every column, and for no others (but for a collision of 64 bits)."""
+    return F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns))
+
+
+def _times(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """docs' rows whose _row_key is in wanted (row_key, n), n of each. Rows that agree in every column are alike, so any n of them do."""
+    key = free_name(docs, "_mm_row")
+    docs = docs.withColumn(key, _row_key(docs))
+    wanted = wanted.select(F.col("row_key").alias(key), "n")
+    counts = docs.groupBy(key).count().where("count > 1").select(key, "count")
+    more = materialise(counts.join(wanted, key, "left").select(key, F.coalesce("n", F.lit(0)).alias("n")), "repeated-rows")
+    plain = materialise(wanted.join(more, key, "left_anti").select(key), "single-rows")
+    out = docs.join(small(plain), key, "left_semi")
+    if more.limit(1).count():
+        again = docs.join(small(more.select(key)), key, "left_semi").dropDuplicates([key])
+        n = free_name(docs, "n_times")
+        again = again.join(more.select(key, F.col("n").alias(n)).where(f"{n} > 0"), key)
+        out = out.union(again.select(*out.columns, F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))).alias(n)).drop(n))
+    return out.drop(key)
+
+
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays; rows with the same id and text count once."""
+    """Of each group of linked documents the one with the smallest id (then text hash) stays. Rows with the same id and text count once: of
+    those that differ in other columns, the one with the smallest row key stays. Rows without an id, without a word or linked with nothing stay, also if they
+    share an id with a near copy."""
     linked = materialise(jaccard_join.jaccard_join(docs), "linked")
-    gone = materialise(linked.where("id != component_id").select(F.col("id").alias("doc_id")).distinct(), "near-copies")
-    out = docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
-    repeats = linked.where("id is not null").groupBy("id").count().where("count > 1").limit(1).count()
+    same = ["id", "text_hash"]
+    gone = materialise(linked.where("not first").select(same).distinct(), "near-copies")
+    again = materialise(linked.where("first and id is not null").groupBy(same).count().where("count > 1").select(same), "repeated-rows")
     discard(linked)
-    if repeats:
-        out = out.dropDuplicates(["doc_id", "text"])
-    return out
+    key, own_id, own_hash = (free_name(docs, n) for n in ("_mm_row", "_mm_id", "_mm_hash"))
+    mine = docs.withColumns({own_id: F.col("doc_id").cast("long"), own_hash: F.xxhash64("text")})
+    by = lambda side: small(side).toDF(own_id, own_hash)
+    rows = mine.join(by(gone), [own_id, own_hash], "left_anti")
+    if again.limit(1).count():
+        twins = mine.join(by(again), [own_id, own_hash], "left_semi").withColumn(key, _row_key(docs))
+        least = twins.groupBy(own_id, own_hash).agg(F.min(key).alias(key))
+        once = twins.join(least, [own_id, own_hash, key], "left_semi").dropDuplicates([own_id, own_hash])
+        rows = rows.join(by(again), [own_id, own_hash], "left_anti").select(docs.columns).union(once.select(docs.columns))
+    return rows.select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of each leaf's token prefix stay, each once."""
-    chosen = mixing.mix(docs, Q.levels(), Q.weights, BUDGET_SHARE, epochs=1, seed=Q.SEED)
-    ids = materialise(chosen.select(F.col("id").alias("doc_id")).distinct(), "chosen")
-    return docs.join(small(ids), "doc_id", "left_semi").select(docs.columns)
+    """The rows of each leaf's token prefix stay: as many of rows that repeat as were chosen, and rows without an id like others."""
+    chosen = mixing.mix(docs, Q.levels(), Q.weights, BUDGET_SHARE, epochs=1, seed=Q.SEED, row_key=_row_key(docs))
+    return _times(docs, materialise(chosen.groupBy("row_key").agg(F.count(F.lit(1)).alias("n")), "chosen"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
