@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans import written
 from ..plans.ship import ship
 
-#: Rows a broadcast side may have; every caller has another way beyond it.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of rows that a broadcast side may have; every caller has another way beyond it.
+BROADCAST_BYTES = 64 << 20
+#: What a row takes besides its values.
+ROW_BYTES = 32
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 1000
 
@@ -30,9 +33,33 @@ def discard(*tables: DataFrame) -> None:
         written.drop(t._mm_path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only if the (already written) side has at most so many rows."""
-    return F.broadcast(df) if df.count() <= rows else df
+def _width(kind: T.DataType, c: Column) -> Column:
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(c), F.lit(0)).cast("long")
+    if isinstance(kind, T.StructType):
+        return sum((_width(f.dataType, c[f.name]) for f in kind.fields), F.lit(8).cast("long"))
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + _width(kind.elementType, x)), F.lit(0).cast("long"))
+    return F.lit(8).cast("long")
+
+
+def row_bytes(df: DataFrame) -> int:
+    """Bytes of an (already written) table's rows in memory."""
+    each = sum((_width(f.dataType, F.col(f"`{f.name}`")) for f in df.schema.fields), F.lit(ROW_BYTES).cast("long"))
+    return df.agg(F.sum(each)).collect()[0][0] or 0
+
+
+def small(df: DataFrame, most: int | None = None) -> DataFrame:
+    """Hint a broadcast only if the (already written) side's rows have at most BROADCAST_BYTES."""
+    return F.broadcast(df) if row_bytes(df) <= (BROADCAST_BYTES if most is None else most) else df
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

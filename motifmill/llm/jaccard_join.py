@@ -182,7 +182,7 @@ def sketch(s: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, measure: Measure) -> DataFrame:
-    """id, n, node and node2 (digest of the set) of each row; with n = -1 a frequent shingle and its count in a task."""
+    """id, t, n, node and node2 (digest of the set) of each row (id, t, text); with n = -1 a frequent shingle and its count in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = Frequent()
@@ -193,12 +193,12 @@ def _sets(docs: DataFrame, measure: Measure) -> DataFrame:
                 for x in sets:
                     frequent.add(x)
                 d = [digest(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([b["id"].slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in d], pa.int64()), pa.array([x for _, x in d], pa.int64())], names=["id", "n", "node", "node2"])
+                yield pa.RecordBatch.from_arrays([b["id"].slice(lo, hi - lo), b["t"].slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in d], pa.int64()), pa.array([x for _, x in d], pa.int64())], names=["id", "t", "n", "node", "node2"])
         frequent.close()
         m = len(frequent.element)
-        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(np.full(m, -1)), pa.array(frequent.element.view(np.int64)), pa.array(frequent.count)], names=["id", "n", "node", "node2"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(np.full(m, -1)), pa.array(frequent.element.view(np.int64)), pa.array(frequent.count)], names=["id", "t", "n", "node", "node2"])
 
-    return kernel(docs, run, "id long, n long, node long, node2 long")
+    return kernel(docs, run, "id long, t long, n long, node long, node2 long")
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -421,6 +421,7 @@ def linked_nodes(shared: DataFrame, store: DataFrame, measure: Measure) -> DataF
     nodes = store.select("node", "n", "sketch")
     nearest = shared.where("leader != node").groupBy("leader", "node").count().groupBy("node").agg(F.max_by("leader", F.struct("count", F.negative("leader"))).alias("a"))
     checked = materialise(_verify(nearest.select("a", F.col("node").alias("b")), store, measure), "verified")
+    used = [checked]  # read again each round
     comp = materialise(store.select("node", F.col("node").alias("comp")), "components")
     rejected = None
     tries = 0
@@ -444,27 +445,34 @@ def linked_nodes(shared: DataFrame, store: DataFrame, measure: Measure) -> DataF
             pairs = best("a", "b").union(best("b", "a")).distinct()
         pairs = materialise(pairs.select("a", "b"), "pairs")
         if not pairs.limit(1).count():
+            discard(shared, found, pairs, *used)
             return comp
         before, shared = shared, materialise(shared.join(found.where("sig is not null").select("sig"), "sig", "left_semi"), "alive")
         discard(before, found)
         checked = materialise(_verify(pairs, store, measure), "verified")
+        discard(pairs)
+        used.append(checked)
         tries += 1
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", measure: Measure = Measure()) -> DataFrame:
-    """id, n_shingles, component_id and first (a row that stands for its component) of each row.
+    """id, text_hash (xxhash64 of the text), n_shingles, component_id and first (the row stands for its component) of each row.
 
     Words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z. A null or wordless text has the empty set and is linked with nothing. component_id is the smallest id
-    reachable by links. Rows of equal sets are linked whatever their ids; rows that share an id but not a set are documents of their own.
-    A row with a null id is no link: its component_id is null. An empty table gives no rows. Sets are compared by 64-bit hashes of the shingles.
+    reachable by links. Rows of equal sets are linked whatever their ids; rows that share an id but not a set are documents of their own, so only
+    first tells which of them stands for a component: the smallest id, then the smallest text_hash, and all rows with both.
+    A row with a null id is no link: its component_id is null. It is first, as is a row with the empty set. An empty table gives no rows. Sets are
+    compared by 64-bit hashes of the shingles.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    written = materialise(_sets(docs, measure), "shingle-sets")
+    written = materialise(_sets(docs.withColumn("t", F.xxhash64("text")), measure), "shingle-sets")
     rows = written.where("n >= 0")
-    classes = materialise(rows.where("n > 0 and id is not null").groupBy("n", "node", "node2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "set-classes")
+    head = F.min(F.struct("id", "t")).alias("head")
+    classes = rows.where("n > 0 and id is not null").groupBy("n", "node", "node2").agg(head, F.count(F.lit(1)).alias("copies"))
+    classes = materialise(classes.withColumn("rep", F.col("head.id")), "set-classes")
     most, total = classes.agg(F.max("n"), F.sum("n")).collect()[0]
     if not most:
-        return rows.select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+        return rows.select("id", F.col("t").alias("text_hash"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(True).alias("first"))
     # A set is known by the smallest id of its class, or by its digest if an id stands for more than one set.
     by_id = classes.groupBy("rep").count().where("count > 1").limit(1).count() == 0
     node = F.col("id") if by_id else F.lit(None).cast("long")
@@ -487,8 +495,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     comp = linked_nodes(shared, store, measure)
     discard(copies, wanted, store)
     named = classes.join(comp.withColumnRenamed("node", "set_node"), "set_node", "left").withColumn("comp", F.coalesce("comp", "set_node"))
-    least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "comp").select("node", "component_id")
+    least = named.groupBy("comp").agg(F.min("head").alias("least"))
+    named = named.join(least, "comp").select("node", "least")
     out = rows.join(named, "node", "left")
-    linked = F.when(F.col("id").isNull() | (F.col("n") == 0), F.col("id")).otherwise(F.col("component_id"))
-    return out.select("id", F.col("n").alias("n_shingles"), linked.alias("component_id"))
+    alone = F.col("id").isNull() | (F.col("n") == 0)
+    component = F.when(alone, F.col("id")).otherwise(F.col("least.id")).alias("component_id")
+    first = (alone | (F.struct("id", "t") == F.col("least"))).alias("first")
+    return out.select("id", F.col("t").alias("text_hash"), F.col("n").alias("n_shingles"), component, first)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import BROADCAST_ROWS, discard, materialise
+from .common import discard, free_name, materialise, small
 
 MIN_WORDS = 50
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -46,7 +46,8 @@ def repeated_runs(runs: DataFrame) -> DataFrame:
     # A fingerprint matters if it was chosen at two positions or more. min and max are kept before the shuffle, so a hot one is one row a task.
     place = F.struct(*_KEY, "fp_ln")
     shared = runs.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("fp")
-    met = runs.join(shared, "fp", "left_semi")
+    shared = materialise(shared, "shared-fingerprints")
+    met = runs.join(small(shared), "fp", "left_semi")
     first = met.groupBy("fp", "d1", "d2").agg(F.min(F.struct(*_KEY, "ln")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("fp", "d1", "d2", "first")
     later = met.join(first, ["fp", "d1", "d2"]).where(F.struct(*_KEY, "ln") != F.col("first"))
     # Extend both ways: runs that overlap or touch form one passage.
@@ -67,18 +68,18 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Lines are what \\n separates; one without a word takes no part in matching and is deleted only inside a passage. A null or
     empty text has no lines and stays as it is. Of equal passages the first stays by id (null first), then position. A row repeated with the same id
     and text is the same document and gets the same result; rows that share an id but not a text are ordered by the text's hash.
-    All other columns are kept, whatever their names; names starting with _mm_ are reserved.
+    All other columns are kept, whatever their names; the last one is called _mm_cuts, with underscores behind it if docs has one of that name.
     """
     runs = materialise(runs_of(lines_of(keyed(docs, id_col, text_col).select(*_KEY, text_col), text_col), min_words), "line-runs")
     cuts = repeated_runs(runs)
-    cuts = materialise(cuts.groupBy(*_KEY).agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("_mm_cuts")), "line-cuts")
+    cuts = materialise(cuts.groupBy(*_KEY).agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("cuts")), "line-cuts")
     discard(runs)
-    size = cuts.agg(F.coalesce(F.sum(F.size("_mm_cuts")), F.lit(0)).alias("n")).collect()[0]["n"]
-    side = F.broadcast(cuts) if size <= BROADCAST_ROWS else cuts
-    left = keyed(docs, id_col, text_col).alias("l")
-    side = side.withColumnsRenamed({k: f"{k}_r" for k in _KEY})
-    joined = left.join(side, F.col("_mm_id").eqNullSafe(F.col("_mm_id_r")) & (F.col("_mm_text_hash") == F.col("_mm_text_hash_r")), "left")
-    return joined.select(*(_kept(F.col(c), F.col("_mm_cuts")).alias(c) if c == text_col else F.col(f"l.`{c}`") for c in docs.columns), "_mm_cuts")
+    own_id, own_hash = (free_name(docs, k) for k in _KEY)
+    left = docs.withColumns({own_id: F.col(id_col), own_hash: F.xxhash64(text_col)}).alias("l")
+    on = F.col(f"l.{own_id}").eqNullSafe(F.col(f"r.{_KEY[0]}")) & (F.col(f"l.{own_hash}") == F.col(f"r.{_KEY[1]}"))
+    joined = left.join(small(cuts).alias("r"), on, "left")
+    kept = (_kept(F.col(f"l.`{c}`"), F.col("r.cuts")).alias(c) if c == text_col else F.col(f"l.`{c}`") for c in docs.columns)
+    return joined.select(*kept, F.col("r.cuts").alias(free_name(docs, "_mm_cuts")))
 
 
 def cut_lines(cuts: Column) -> Column:

@@ -7,19 +7,23 @@ prefix of its documents in a seeded order, epoch after epoch.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialise
+from .common import kernel, materialise, small
 
-#: Hex digits of the order that cut each leaf and epoch into slices; a running total goes over slices first, so no task holds a leaf.
+#: Hex digits of the order that cut each leaf and epoch into slices, at least; a running total goes over slices first, so no task holds a leaf.
 ORDER_DIGITS = 3
-#: Leaves whose totals the driver may hold.
+#: Rows of a slice of the largest leaf, about.
+SLICE_ROWS = 1 << 16
+#: Leaves whose totals the driver may hold; budgets of more go down level by level, one node's children at a time.
 LEAVES = 1_000_000
+_NULL = "\0null"
 
 
 @dataclass
@@ -85,43 +89,92 @@ def allocate(totals: dict[tuple, int], budget: int, weights: Callable[[tuple], f
     return out
 
 
+def _path(row: dict, names: Sequence[str]) -> tuple:
+    return tuple(None if row[n] == _NULL else row[n] for n in names)
+
+
+def allocate_by_level(leaves: DataFrame, names: Sequence[str], budget: int, weights: Callable[[tuple], float]) -> DataFrame:
+    """leaf_budget of each leaf (names, n), the same as allocate's: what subtrees can take goes up and budgets go down, a level at a time."""
+
+    def weigh(depth: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                w = [float(weights(_path(r, names[:depth]))) for r in b.select(names[:depth]).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(w, pa.float64())], names=[*b.schema.names, "w"])
+
+        return run
+
+    def deal(depth: int):
+        def run(key, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = [r for b in batches for r in b.to_pylist()]
+            step = names[depth - 1]
+            rows.sort(key=lambda r: (r[step] == _NULL, r[step]))
+            given = share_out(rows[0]["above"], [r["w"] for r in rows], [r["n"] for r in rows])
+            columns = [pa.array([r[n] for r in rows], pa.string()) for n in names[:depth]]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(given, pa.int64())], names=[*names[:depth], "above"])
+
+        run.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+        return run
+
+    schema = lambda depth: ", ".join(f"`{n}` string" for n in names[:depth])
+    have = leaves.select(*(F.coalesce(F.col(n), F.lit(_NULL)).alias(n) for n in names), "n")
+    nodes = {}
+    for depth in range(len(names), 0, -1):
+        nodes[depth] = materialise(kernel(have, weigh(depth), f"{schema(depth)}, n long, w double"), "mix-nodes")
+        have = nodes[depth].groupBy(*names[: depth - 1]).agg(F.sum(F.when(F.col("w") > 0, F.col("n")).otherwise(0)).alias("n"))
+    total = have.collect()[0]["n"] or 0
+    given = leaves.sparkSession.createDataFrame([(min(budget, total),)], "above long")
+    for depth in range(1, len(names) + 1):
+        below = nodes[depth].join(given, names[: depth - 1]) if depth > 1 else nodes[depth].withColumn("above", F.lit(min(budget, total)))
+        siblings = below.groupBy(*names[: depth - 1]) if depth > 1 else below.withColumn("top", F.lit(True)).groupBy("top")
+        given = materialise(siblings.applyInArrow(deal(depth), f"{schema(depth)}, above long"), "mix-budgets")
+    return given.select(*(F.when(F.col(n) != _NULL, F.col(n)).alias(n) for n in names), F.col("above").alias("leaf_budget"))
+
+
 def words_of(text: str) -> Column:
     return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def mix(docs: DataFrame, levels: Sequence[tuple[str, Column]], weights: Callable[[tuple], float], budget_share: float, epochs: int = 1, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None) -> DataFrame:
-    """id, the levels, epoch, tokens, leaf_budget and before (tokens of the leaf chosen earlier) of each chosen row.
+def mix(docs: DataFrame, levels: Sequence[tuple[str, Column]], weights: Callable[[tuple], float], budget_share: float, epochs: int = 1, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None, row_key: Column | None = None, most_leaves: int = LEAVES) -> DataFrame:
+    """id, the levels, epoch, tokens, leaf_budget, before (tokens of the leaf chosen earlier) and row_key (null unless given) of each chosen row.
 
     The budget is budget_share of all tokens (words unless ``tokens`` says otherwise). A leaf offers its documents ``epochs`` times, each in its own
     seeded order (hash, then id, then tokens); chosen is the longest prefix that stays within its budget, so at most one document's tokens are left unspent.
-    Documents without tokens (null or empty text) are chosen while their place lies within the prefix. A null level value is
+    Rows that tie in all of this (rows that repeat, or share id and tokens) follow each other by row_key, if there is one. Documents without tokens (null or empty text) are chosen while their place lies within the prefix. A null level value is
     a node of its own. Repeated rows count as often as they are there. An empty table gives no rows.
     """
     names = [n for n, _ in levels]
     count = words_of(text_col) if tokens is None else tokens
-    base = docs.select(F.col(id_col).alias("id"), *(c.cast("string").alias(n) for n, c in levels), count.alias("tokens"))
+    key = F.lit(None).cast("long") if row_key is None else row_key
+    base = docs.select(F.col(id_col).alias("id"), *(c.cast("string").alias(n) for n, c in levels), count.alias("tokens"), key.alias("row_key"))
     base = materialise(base, "mix-tokens")
-    rows = base.groupBy(*names).agg(F.sum("tokens").alias("n")).limit(LEAVES + 1).collect()  # one row a leaf
-    if len(rows) > LEAVES:
-        raise ValueError(f"more than {LEAVES} leaves: use a coarser level")
-    totals = {tuple(r[n] for n in names): int(r["n"]) * epochs for r in rows}
-    budget = int(sum(totals.values()) // max(epochs, 1) * budget_share)
-    given = allocate(totals, budget, weights)
+    leaves = materialise(base.groupBy(*names).agg(F.sum("tokens").alias("n"), F.count(F.lit(1)).alias("rows")), "mix-leaves")
+    n_leaves, total, largest = leaves.agg(F.count(F.lit(1)), F.sum("n"), F.max("rows")).collect()[0]
+    budget = int((total or 0) * budget_share)
+    offered = leaves.select(*names, (F.col("n") * epochs).alias("n"))
     spark = docs.sparkSession
-    schema = ", ".join(f"`{n}` string" for n in names) + ", leaf_budget long"
-    leaves = F.broadcast(spark.createDataFrame([(*path, n) for path, n in given.items()], schema))
+    if n_leaves <= most_leaves:
+        given = allocate({tuple(r[n] for n in names): int(r["n"]) for r in offered.collect()}, budget, weights)
+        schema = ", ".join(f"`{n}` string" for n in names) + ", leaf_budget long"
+        budgets = spark.createDataFrame([(*path, n) for path, n in given.items()], schema)
+    else:
+        budgets = allocate_by_level(offered, names, budget, weights)
+    budgets = small(materialise(budgets, "mix-budgets"))
+    digits = ORDER_DIGITS
+    while (largest or 0) > SLICE_ROWS * 16**digits:
+        digits += 1
     tagged = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(max(epochs, 1) - 1))).alias("epoch"))
     order = F.md5(F.encode(F.concat_ws(":", F.lit(seed), "epoch", F.coalesce(F.col("id").cast("string"), F.lit(""))), "UTF-8"))
-    tagged = tagged.select("*", order.alias("h")).withColumn("slice", F.substring("h", 1, ORDER_DIGITS))
-    leaf = [F.coalesce(F.col(n), F.lit("\0null")).alias(n) for n in names]
+    tagged = tagged.select("*", order.alias("h")).withColumn("slice", F.substring("h", 1, digits))
+    leaf = [F.coalesce(F.col(n), F.lit(_NULL)).alias(n) for n in names]
     sums = tagged.groupBy(*leaf, "epoch", "slice").agg(F.sum("tokens").alias("in_slice"))
     before = sums.select(*names, "epoch", "slice", F.coalesce(F.sum("in_slice").over(W.partitionBy(*names).orderBy("epoch", "slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    ours = tagged.select("id", "tokens", "epoch", "h", "slice", *leaf).join(before, [*names, "epoch", "slice"])
-    inner = W.partitionBy(*names, "epoch", "slice").orderBy("h", "id", "tokens").rowsBetween(W.unboundedPreceding, -1)
+    ours = tagged.select("id", "row_key", "tokens", "epoch", "h", "slice", *leaf).join(before, [*names, "epoch", "slice"])
+    inner = W.partitionBy(*names, "epoch", "slice").orderBy("h", "id", "tokens", "row_key").rowsBetween(W.unboundedPreceding, -1)
     placed = ours.withColumn("before", F.col("ahead") + F.coalesce(F.sum("tokens").over(inner), F.lit(0)))
-    chosen = placed.select("id", *(F.when(F.col(n) != "\0null", F.col(n)).alias(n) for n in names), "epoch", "tokens", "before")
+    chosen = placed.select("id", "row_key", *(F.when(F.col(n) != _NULL, F.col(n)).alias(n) for n in names), "epoch", "tokens", "before")
     on = None
     for n in names:
-        same = chosen[n].eqNullSafe(leaves[n])
+        same = chosen[n].eqNullSafe(budgets[n])
         on = same if on is None else on & same
-    return chosen.join(leaves, on).where("before + tokens <= leaf_budget").select("id", *(chosen[n] for n in names), "epoch", "tokens", "leaf_budget", "before")
+    return chosen.join(budgets, on).where("before + tokens <= leaf_budget").select("id", *(chosen[n] for n in names), "epoch", "tokens", "leaf_budget", "before", "row_key")

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -35,7 +36,7 @@ def brute(df, levels, weights, share, epochs, seed):
 @pytest.mark.parametrize("share,epochs", [(0.5, 1), (0.9, 1), (0.8, 2), (1.0, 1), (0.0, 1)])
 def test_matches_brute_force(edge, sample, share, epochs):
     for df in (edge, sample):
-        got = M.mix(df, Q.levels(), Q.weights, share, epochs, 3)
+        got = M.mix(df, Q.levels(), Q.weights, share, epochs, 3).drop("row_key")
         assert sorted(map(tuple, got.collect()), key=repr) == brute(df, Q.levels(), Q.weights, share, epochs, 3)
 
 
@@ -54,5 +55,43 @@ def test_weight_zero_leaves_out():
     assert got == {("a",): 0, ("b",): 100}
 
 
+def water(budget, wants, have):
+    """Shares by raising the water level a token at a time: the next one goes to the open node furthest below its weight's share."""
+    got = [0] * len(have)
+    open_ = [k for k in range(len(have)) if wants[k] > 0]
+    for _ in range(min(budget, sum(have[k] for k in open_))):
+        k = min((k for k in open_ if got[k] < have[k]), key=lambda k: ((got[k] + 1) / wants[k], k))
+        got[k] += 1
+    return got
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_shares_are_water_levels(seed):
+    """Within one token of a level that rises alike for all siblings, by weight, until each is full; nothing is left that a sibling could take."""
+    rng = random.Random(seed)
+    n = rng.randint(1, 6)
+    wants, have = [rng.choice([0, 0.5, 1, 2, 3]) for _ in range(n)], [rng.randint(0, 60) for _ in range(n)]
+    budget = rng.randint(0, 150)
+    got = M.share_out(budget, wants, have)
+    assert sum(got) == min(budget, sum(h for h, w in zip(have, wants, strict=True) if w))
+    assert all(abs(g - w) <= n and g <= h for g, w, h in zip(got, water(budget, wants, have), have, strict=True))
+
+
+@pytest.mark.parametrize("share", [0.0, 0.4, 0.9, 1.0])
+def test_level_by_level_is_the_same(edge, sample, share):
+    weights = lambda p: 0.0 if p[-1] in ("fr", "src3") else Q.weights(p)
+    for df in (edge, sample):
+        for w in (Q.weights, weights):
+            one, two = (sorted(map(tuple, M.mix(df, Q.levels(), w, share, 2, 3, most_leaves=n).collect()), key=repr) for n in (M.LEAVES, 0))
+            assert one == two
+
+
+def test_more_slices_change_nothing(sample, monkeypatch):
+    one = sorted(map(tuple, M.mix(sample, Q.levels(), Q.weights, 0.6, 2, 3).collect()))
+    monkeypatch.setattr(M, "SLICE_ROWS", 0.001)
+    monkeypatch.setattr(M, "ORDER_DIGITS", 1)
+    assert sorted(map(tuple, M.mix(sample, Q.levels(), Q.weights, 0.6, 2, 3).collect())) == one
+
+
 def test_empty(empty):
     assert M.mix(empty, Q.levels(), Q.weights, 0.5).count() == 0
