@@ -21,9 +21,13 @@ def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 and toxic = 0").select("doc_id")
 
 
+def rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 0").select("doc_id")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return quality.score_docs(docs, quality.fit(docs, trusted(spark, sf_dir)))
+    return quality.score_docs(docs, quality.fit(docs, trusted(spark, sf_dir), rejected(spark, sf_dir)))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
