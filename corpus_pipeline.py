@@ -18,7 +18,7 @@ BUDGET_SHARE = 0.9
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    return quality.keep(docs, quality.fit(docs, Q.trusted(spark, sf_dir)))
+    return quality.keep(docs, quality.fit(docs, Q.trusted(spark, sf_dir), Q.rejected(spark, sf_dir)))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
