@@ -108,7 +108,9 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.suffix_dedup(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+    """Spans can end inside a character; the remaining text has U+FFFD for what is left of one."""
+    out = suffix_dedup.suffix_dedup(documents(spark, sf_dir), with_text=True)
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", F.expr("make_valid_utf8(cast(kept as string))").alias("text"))
 
 
 QUERIES = (op1_exact_dedup, op2_jaccard_join, op3_line_dedup, op4_secret_scan, op5_packing, op6_language_id, op7_token_files, op8_suffix_dedup, op9_quality_rules, op10_mixing)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as K
 from .columnwise import repeated_starts
-from .common import kernel, materialise, small
+from .common import discard, kernel, materialise, small
 
 LENGTH = 400
 #: Bytes of a text that are hashed at once; a longer text is taken in steps that overlap.
@@ -164,7 +164,7 @@ def _removed(texts: DataFrame, length: int) -> DataFrame:
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_text: bool = False, hot_regions: int = HOT_REGIONS) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept_sha256 of each row, and its remaining bytes if asked for.
+    """id, n_bytes, n_removed, n_spans, kept_sha256 of each row, and its remaining bytes (kept) if asked for.
 
     A byte goes if a string of ``length`` bytes that covers it starts anywhere else, in this or another row, so all copies of a
     text of that length lose everything. Null is empty; texts below ``length`` bytes stay as they are. A repeated row is a copy like
@@ -172,22 +172,21 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs = docs.withColumn("t", F.xxhash64("text"))
-    rows = materialise(docs.select("id", "t", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.encode("text", "UTF-8"), 256).alias("sha")), "texts")
+    rows = materialise(docs.select("id", "t", F.octet_length("text").cast("long").alias("n_bytes")), "texts")
     classes = rows.where(F.col("n_bytes") >= length).groupBy("t").agg(F.count(F.lit(1)).alias("copies"), F.min(F.coalesce("id", F.lit(-(1 << 63)))).alias("rep"))
     classes = materialise(classes, "text-classes")
     # One row of each class: ids of further copies are taken out, unless they stand for another text.
     further = rows.where(F.col("n_bytes") >= length).join(classes.where("copies > 1"), "t").where("id != rep").select("id").distinct()
-    further = small(materialise(further.join(classes.select(F.col("rep").alias("id")), "id", "left_anti"), "further-copies"))
-    single = docs.where(F.octet_length("text") >= length).join(further, "id", "left_anti").select("id", "t", "text")
+    copies_out = materialise(further.join(classes.select(F.col("rep").alias("id")), "id", "left_anti"), "further-copies")
+    single = docs.where(F.octet_length("text") >= length).join(small(copies_out), "id", "left_anti").select("id", "t", "text")
     found = materialise(_regions(single.select("t", "text"), length), "regions")
     kinds = materialise(found.groupBy("anchor", "region").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("t", "p", "lo", "hi")).alias("at")), "region-kinds")
     mixed = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("anchor", "kinds")
     whole = found.join(kinds.where("n > 1").select("anchor", "region"), ["anchor", "region"], "left_semi").select("t", "lo", "hi")
     wanted = kinds.join(mixed, "anchor").select("at.t", F.struct("anchor", "at.p", "at.lo", "at.hi", "n").alias("w"))
     wanted = materialise(wanted.groupBy("t").agg(F.collect_list("w").alias("wanted")).join(classes.select("t", F.col("rep").alias("id")), "t"), "wanted-regions")
-    # Wanted rows carry arrays: the broadcast is checked by the regions in them.
     n = wanted.agg(F.coalesce(F.sum(F.size("wanted")), F.lit(0))).collect()[0][0]
-    cut = materialise(_cut(_with(single, wanted, n), length), "region-bytes")
+    cut = cut_all = materialise(_cut(single.join(small(wanted).drop("id"), "t"), length), "region-bytes")
     sizes = cut.groupBy("anchor").count()
     hot = materialise(sizes.where(F.col("count") > hot_regions).select("anchor"), "hot-anchors")
     spans = whole
@@ -201,24 +200,21 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Texts and their spans always meet by a shuffle: most texts of a large corpus have some.
     result = _removed(single.join(lists.drop("id"), "t"), length)
     result = materialise(result if with_text else result.drop("kept"), "removed")
-    out = rows.join(classes.select("t", "copies"), "t", "left").join(result, "t", "left")
-    gone = F.coalesce(F.col("copies") > 1, F.lit(False))
+    # What became of each text that lost something; all others stay as they are.
+    gone = classes.where("copies > 1").select("t", F.lit(True).alias("gone"))
+    info = materialise(gone.join(result, "t", "full"), "fates")
+    discard(rows, classes, found, kinds, wanted, cut_all, hot, lists, result, copies_out)
+    own = docs.select("id", "t", F.octet_length("text").cast("long").alias("n_bytes"), *(["text"] if with_text else []), *([] if with_text else [F.sha2(F.encode("text", "UTF-8"), 256).alias("sha")]))
+    out = own.join(small(info), "t", "left")
+    gone = F.coalesce("gone", F.lit(False))
+    sha = F.sha2(F.encode("text", "UTF-8"), 256) if with_text else F.col("sha")
     columns = [
         "id",
         "n_bytes",
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(gone, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(gone, F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        F.when(gone, F.sha2(F.lit(b""), 256)).when(F.col("kept_sha256").isNotNull(), F.col("kept_sha256")).otherwise(sha).alias("kept_sha256"),
     ]
-    if not with_text:
-        return out.select(*columns)
-    texts = docs.select("id", "t", "text").dropDuplicates(["id", "t"])
-    kept = F.when(gone, F.lit(b"")).otherwise(F.coalesce("kept", F.encode("text", "UTF-8"))).alias("kept")
-    key = F.col("o.id").eqNullSafe(F.col("x.id")) & (F.col("o.t") == F.col("x.t"))
-    return out.alias("o").join(texts.alias("x"), key).select("o.id", *columns[1:], kept)
-
-
-def _with(single: DataFrame, side: DataFrame, n: int) -> DataFrame:
-    """Texts that have a row in side; a broadcast if its n entries are few."""
-    hinted = F.broadcast(side) if n <= BROADCAST_ROWS else side
-    return single.join(hinted.drop("id"), "t")
+    if with_text:
+        columns.append(F.when(gone, F.lit(b"")).when(F.col("kept").isNotNull(), F.col("kept")).otherwise(F.encode("text", "UTF-8")).alias("kept"))
+    return out.select(*columns)

@@ -1,4 +1,5 @@
 import hashlib
+import io
 from collections import Counter
 
 import numpy as np
@@ -31,7 +32,35 @@ def check(df, length, **options):
 
 @pytest.mark.parametrize("length", [400, 40])
 def test_edge_rows(edge, length):
-    check(edge.where("doc_id is null or doc_id != 6"), length)
+    check(edge, length)
+
+
+def test_very_long_text(spark):
+    """Several steps long, with a copied stretch, beside a text that shares another one."""
+    rng = np.random.default_rng(9)
+    long = "".join(rng.choice(list("abcdefghij klmno"), 2_300_000))
+    long += long[1_048_000:1_049_500]
+    rows = [(1, long), (2, "x" * 100 + long[50_000:51_000] + "y" * 100), (3, "short")]
+    got = {r.id: r for r in S.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect()}
+    assert bytes(got[1].kept).decode() == long[:50_000] + long[51_000:1_048_000] + long[1_049_500:2_300_000]
+    assert bytes(got[2].kept).decode() == "x" * 100 + "y" * 100 and got[1].n_spans == 3
+
+
+@pytest.mark.parametrize("most", [0, 1 << 30])
+def test_by_shuffles_alone(sample, monkeypatch, most):
+    """No broadcast is hinted, or every one."""
+    from motifmill.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_BYTES", most)
+    check(sample, 60)
+
+
+def test_query_has_the_remaining_text(spark):
+    from motifmill.llm import queries
+
+    for r in queries.op8_suffix_dedup(spark, "/root/testdata/sf0.001").collect():
+        assert "\ufffd" in r.text or hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256
+        assert r.n_removed or len(r.text.encode()) == r.n_bytes
 
 
 def test_sample(sample):
@@ -90,6 +119,27 @@ def test_columnwise_orders_and_prefixes():
             assert flags[u - first, i] == same
 
 
+def test_transform_holds_the_symbols_before():
+    """Each round's suffixes in order, the symbol before each, and the common prefix of neighbours."""
+    rng = np.random.default_rng(8)
+    docs = [bytes(rng.choice(list(b"abc"), int(rng.integers(1, 20)))) for _ in range(30)]
+    at = rng.integers(-4, 5, len(docs))
+    first, last = int(at.min()), int((at + [len(d) for d in docs]).max())
+    columns, out = io.BytesIO(), io.BytesIO()
+    C.write_columns(docs, at, first, last, columns)
+    C.rounds(columns, len(docs), last - first, out)
+    symbol = lambda i, u: docs[i][u - at[i]] + 1 if 0 <= u - at[i] < len(docs[i]) else 0
+    for k, (bwt, doc, lcp) in enumerate(C.transform(out, len(docs), last - first)):
+        u = last - 1 - k
+        suffixes = [[symbol(i, v) for v in range(u, last)] for i in doc]
+        assert suffixes == sorted(suffixes)
+        if u > first:
+            assert bwt.tolist() == [symbol(i, u - 1) for i in doc]
+        for a, b, n in zip(suffixes, suffixes[1:], lcp[1:].tolist(), strict=False):
+            common = next((j for j, (x, y) in enumerate(zip(a, b, strict=True)) if x != y or x == 0), len(a))
+            assert n == common
+
+
 def test_remaining_bytes(edge):
     got = {r.id: bytes(r.kept) for r in S.suffix_dedup(edge.where("doc_id in (7, 8, 1)"), length=40, with_text=True).collect()}
     assert b"word5 word6" not in got[7] + got[8] and got[7].startswith(b"alpha") and got[1].startswith(b"The quick")
