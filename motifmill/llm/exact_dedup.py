@@ -13,7 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialise, small
+from ..plans.written import drop
+from .common import discard, fresh_path, materialise, small
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -88,14 +89,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     state = kept_state(spark, state_dir)
     # A hot digest holds many log rows and one state row: a plain join that AQE can split on the log's side.
     verdict = materialise(log.join(state, "digest"), "verdicts")
+    drop(path)
+    drop(state_dir)
     hits = verdict.where("n > 1").select("digest", "loc", "keep_loc")
-    others = hits.where(~F.col("loc").eqNullSafe(F.col("keep_loc")))
-    wanted = small(materialise(others.select("loc", "keep_loc", "digest").union(hits.where(F.col("loc").eqNullSafe(F.col("keep_loc"))).select("loc", "keep_loc", "digest")), "hits"))
-    texts = docs.select(loc.alias("loc"), normalised(F.col(text_col)).alias("norm")).join(wanted, "loc")
+    hits = materialise(hits.select("loc", "keep_loc", "digest"), "hits")
+    texts = docs.select(loc.alias("loc"), normalised(F.col(text_col)).alias("norm")).join(small(hits), "loc")
     first = texts.where(F.col("loc").eqNullSafe(F.col("keep_loc"))).select("digest", F.col("norm").alias("keep_norm"))
     # One row for each digest against all of its rows: a plain join whose hot side AQE can split.
     differs = materialise(texts.join(first, "digest").where(F.col("norm") != F.col("keep_norm")).select("loc", "norm"), "collisions")
     clash = differs.limit(1).count() > 0
+    discard(hits)
     out = verdict.select("id", "loc", "digest", "keep_id", F.col("n").alias("group_size"), F.col("loc").eqNullSafe(F.col("keep_loc")).alias("kept"))
     if not clash:
         return out

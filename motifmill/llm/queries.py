@@ -12,8 +12,9 @@ HELD_OUT = "pmod(crc32(cast(coalesce(cast(doc_id as string), '') as binary)), 3)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text", "_metadata.file_path", "_metadata.row_index")
-    out = exact_dedup.exact_dedup(docs, locator=F.struct("file_path", "row_index"))
+    """A row's locator is its file, known by the hash of its path, and its number there."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", F.xxhash64("_metadata.file_path").alias("file"), "_metadata.row_index")
+    out = exact_dedup.exact_dedup(docs, locator=F.struct("file", "row_index"))
     return out.select(F.col("id").alias("doc_id"), "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 

@@ -71,7 +71,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """id, base: array of (start, k, kind, end), added: the same for linked weak parts.
 
     A null text is empty; both arrays are then empty, as for a text without matches. Repeated rows each get their own result. Starts and ends
-    are code points, end exclusive. Nothing outside id and text is read.
+    are code points, end exclusive; spans that start at the same place are in the order of KINDS. An empty table gives no rows. Nothing outside id and text is read.
     """
     ids, parts = parts_of(docs, id_col, text_col)
     kept = {k: parts.where((F.col("kind") == k) & (F.col("val") >= n)) for k, n in LEAST.items()}
@@ -95,5 +95,5 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return ids.join(lists, "uid", "left").select("id", F.coalesce("base", none).alias("base"), F.coalesce("added", none).alias("added"))
 
 
-def as_text(spans: Column) -> Column:
+def as_text(spans: Column | str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")

@@ -205,7 +205,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     info = materialise(gone.join(result, "t", "full"), "fates")
     discard(rows, classes, found, kinds, wanted, cut_all, hot, lists, result, copies_out)
     own = docs.select("id", "t", F.octet_length("text").cast("long").alias("n_bytes"), *(["text"] if with_text else []), *([] if with_text else [F.sha2(F.encode("text", "UTF-8"), 256).alias("sha")]))
-    out = own.join(small(info), "t", "left")
+    # Texts always meet what became of them by a shuffle, at any size: the other side holds texts too.
+    out = own.join(info if with_text else small(info), "t", "left")
     gone = F.coalesce("gone", F.lit(False))
     sha = F.sha2(F.encode("text", "UTF-8"), 256) if with_text else F.col("sha")
     columns = [

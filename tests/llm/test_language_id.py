@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -39,6 +41,41 @@ def test_filters_return_all_languages_of_a_gram():
     assert f.false_positive.max() < 0.01
 
 
+def brute_grams(text):
+    """WIDTH-grams over lower-cased letters, one blank for each run of anything else, none at the end."""
+    out, low = [], text.lower()
+    for k, c in enumerate(low):
+        if c.isalpha():
+            out.append(c)
+        elif k == 0 or low[k - 1].isalpha():
+            out.append(" ")
+    return ["".join(out[k : k + L.WIDTH]) for k in range(len(out) - L.WIDTH + 1)]
+
+
+def test_predictions_of_exact_sets(spark, sample):
+    """The filters' answers against those of plain sets of n-grams in Python, for every row."""
+    train = [r for r in sample.where(f"not ({Q.HELD_OUT})").collect() if r.lang is not None and r.text is not None]
+    f = L.fit(sample.where(f"not ({Q.HELD_OUT})"))
+    sets = {}
+    for lang in f.languages:
+        ours = [set(brute_grams(r.text)) for r in train if r.lang == lang]
+        n = Counter(g for x in ours for g in x)
+        sets[lang] = {g for g, k in n.items() if k >= L.LEAST_SHARE * len(ours)}
+    exact = L.Filters(f.languages, f.planes, np.zeros(len(f.languages)), f.common)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in L.predict(sample, f).collect()}
+    for r in sample.collect():
+        g = brute_grams(r.text or "")
+        lang, score = L.decide(np.array([sum(x in sets[k] for x in g) for k in f.languages], float), len(g), exact)
+        assert got[r.doc_id][0] == lang and abs(got[r.doc_id][1] - score) < 0.01
+
+
+def test_no_known_gram_and_ties():
+    f = L.build({"a": L.code_grams("same words"), "b": L.code_grams("same words")})
+    f.common = 1
+    assert L.predict_text("日本語のテキスト", f) == ("b", 0.0)
+    assert L.predict_text("same words", f) == ("a", 0.5)
+
+
 def test_learns_from_labels_only(spark):
     rows = [(1, "aaaa bbbb", "x"), (2, "cccc dddd", "y"), (3, "zzzz", None), (4, None, "q")]
     f = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
