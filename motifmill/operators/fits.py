@@ -162,6 +162,16 @@ def random_effects(ids: np.ndarray, D: int, K: int, seed: int, f_sum: np.ndarray
     return B.Effects(g / g.sum(2, keepdims=True), a.copy(), r.copy() if random_rate else np.tile(rate + f_sum, (n, D, 1)), np.full((n, D), shape), np.full((n, D), rate))
 
 
+def hashed_effects(ids: np.ndarray, D: int, K: int) -> B.Effects:
+    """The integer-arithmetic start that SQL can repeat: distributions, shapes and rates from ids, with unit priors."""
+    n, i = len(ids), ids[:, None, None]
+    d, k = np.arange(1, D + 1)[None, :, None], np.arange(1, K + 1)[None, None]
+    g = 1.0 + (i * 11 + d * 19 + k * 37) % 83
+    alpha = np.repeat(1 + ((i * 13 + d * 3) % 50) / 10, K, 2)
+    rate = np.tile(2.0 + (d % 3) / 4, (n, 1, K))
+    return B.Effects(g / g.sum(2, keepdims=True), alpha, rate, np.ones((n, D)), np.ones((n, D)))
+
+
 def top_loadings(L: np.ndarray, D: int, floor: float) -> np.ndarray:
     """gamma of slot d peaks at the d-th largest loading (lowest index first among equals), wrapping after K."""
     n, K = L.shape
@@ -190,22 +200,25 @@ def _rows_only(samples: DataFrame, width: int | None, F: np.ndarray, D: int, sta
     return done, done.sums
 
 
-def poisson_susie(counts: Counts, factors: np.ndarray, D: int, max_iters: int = 100, update_prior: bool = True, break_symmetry: bool = False, tol_dist_sim: float = 1e-4, seed: int = 0, prior_shape: float = 1.0, prior_rate: float = 1.0) -> EffectsFit:
-    """Each sample on its own, given factors (not normalised), always max_iters undamped iterations. The bound includes its KL terms; elbo_without_kl leaves them out."""
+def poisson_susie(counts: Counts, factors: np.ndarray, D: int, max_iters: int = 100, update_prior: bool = True, break_symmetry: bool = False, tol_dist_sim: float = 1e-4, seed: int = 0, prior_shape: float = 1.0, prior_rate: float = 1.0, given: Callable[[np.ndarray], B.Effects] | None = None) -> EffectsFit:
+    """Each sample on its own, given factors (not normalised), always max_iters undamped iterations. The bound includes its KL terms; elbo_without_kl leaves them out.
+
+    ``given``: effects to start from, by ids; else random ones.
+    """
     F = np.maximum(factors, TINY)
     K = len(F)
-    start = lambda ids, b, _: random_effects(ids, D, K, seed, F.sum(1), prior_shape, prior_rate, random_rate=True)
+    start = lambda ids, b, _: random_effects(ids, D, K, seed, F.sum(1), prior_shape, prior_rate, random_rate=True) if given is None else given(ids)
     done, sums = _rows_only(counts.packed(), None, F, D, start, max_iters, (1.0, 1), update_prior, tol_dist_sim if break_symmetry else None, True, False)
     fit = EffectsFit(counts.counts.sparkSession, F, done.samples(), B.Effects.width(D, K), list(enumerate(sums[:max_iters], 1)), False, max_iters, D)
     fit.elbo_without_kl = list(enumerate(sums[:max_iters] - sums[max_iters:], 1))  # type: ignore[attr-defined]
     return fit
 
 
-def mf_susie_fixed(counts: Counts, factors: np.ndarray, D: int, max_iters: int = 100, update_prior: bool = True, break_symmetry: bool = False, tol_dist_sim: float = 1e-4, seed: int = 0, prior_shape: float = 1.0, prior_rate: float = 1.0, gamma_step_init: float = 0.1, gamma_step_ramp: int = 50, elbo_every: int = 1, tol: float | None = None, min_iters: int = 10, patience: int = 3, veb_order: str = "shape_first") -> EffectsFit:
+def mf_susie_fixed(counts: Counts, factors: np.ndarray, D: int, max_iters: int = 100, update_prior: bool = True, break_symmetry: bool = False, tol_dist_sim: float = 1e-4, seed: int = 0, prior_shape: float = 1.0, prior_rate: float = 1.0, gamma_step_init: float = 0.1, gamma_step_ramp: int = 50, elbo_every: int = 1, tol: float | None = None, min_iters: int = 10, patience: int = 3, veb_order: str = "shape_first", given: Callable[[np.ndarray], B.Effects] | None = None) -> EffectsFit:
     """Given factors, rows normalised. One pass runs all iterations; if the stop rule would have ended earlier, a second one runs that many."""
     F = normalize_rows(factors)
     K = len(F)
-    start = lambda ids, b, _: random_effects(ids, D, K, seed, F.sum(1), prior_shape, prior_rate)
+    start = lambda ids, b, _: random_effects(ids, D, K, seed, F.sum(1), prior_shape, prior_rate) if given is None else given(ids)
 
     def through(its: int) -> tuple[Passed, np.ndarray]:
         return _rows_only(counts.packed(), None, F, D, start, its, (gamma_step_init, gamma_step_ramp), update_prior, tol_dist_sim if break_symmetry else None, False, veb_order == "lambda_first")
@@ -224,14 +237,16 @@ def mf_susie_fixed(counts: Counts, factors: np.ndarray, D: int, max_iters: int =
     return EffectsFit(counts.counts.sparkSession, F, done.samples(), B.Effects.width(D, K), history, converged, n_iter, D)
 
 
-def mf_susie(counts: Counts, K: int, D: int, max_iters: int = 100, update_prior: bool = True, break_symmetry: bool = False, tol_dist_sim: float = 1e-4, seed: int | None = None, prior_shape: float = 1.0, prior_rate: float = 1.0, init: str = "poisson_nmf", nmf_iters: int = 200, init_gamma_from_nmf: bool = True, gamma_init_floor: float = 1e-4, gamma_step_init: float = 0.1, gamma_step_ramp: int = 50, F_step_init: float = 0.05, F_step_ramp: int = 75, F_pseudocount: float = TINY, elbo_every: int = 1, tol: float | None = None, min_iters: int = 10, patience: int = 3, update_F: bool = True) -> EffectsFit:
-    """Factors learned with the effects. ``init``: "poisson_nmf" or "random" (which also draws the effects).
+def mf_susie(counts: Counts, K: int, D: int, max_iters: int = 100, update_prior: bool = True, break_symmetry: bool = False, tol_dist_sim: float = 1e-4, seed: int | None = None, prior_shape: float = 1.0, prior_rate: float = 1.0, init: str = "poisson_nmf", nmf_iters: int = 200, init_gamma_from_nmf: bool = True, gamma_init_floor: float = 1e-4, gamma_step_init: float = 0.1, gamma_step_ramp: int = 50, F_step_init: float = 0.05, F_step_ramp: int = 75, F_pseudocount: float = TINY, elbo_every: int = 1, tol: float | None = None, min_iters: int = 10, patience: int = 3, update_F: bool = True, factors: np.ndarray | None = None, given: Callable[[np.ndarray], B.Effects] | None = None) -> EffectsFit:
+    """Factors learned with the effects. ``init``: "poisson_nmf", "random" (which also draws the effects) or "given" (factors, and effects by ids).
 
     The bound of an iteration needs its new factors, so the next pass computes it before anything else; a fit that stops there
     keeps the rows that pass started from.
     """
-    if init not in ("poisson_nmf", "random"):
-        raise ValueError("init must be poisson_nmf or random")
+    if init not in ("poisson_nmf", "random", "given"):
+        raise ValueError("init must be poisson_nmf, random or given")
+    if (init == "given") != (factors is not None and given is not None):
+        raise ValueError("factors and effects are given with init given, and only then")
     M = counts.n_features()
     spark = counts.counts.sparkSession
     s = 0 if seed is None else seed
@@ -239,6 +254,8 @@ def mf_susie(counts: Counts, K: int, D: int, max_iters: int = 100, update_prior:
     if init == "poisson_nmf":
         nmf = poisson_nmf(counts, K, nmf_iters, seed)
         F, rows, before = normalize_rows(nmf.factors), nmf.samples, K
+    elif init == "given":
+        F, rows, before = normalize_rows(factors), counts.packed(), None
     else:
         F, _ = seeded_init(K, M, s)
         F, rows, before = normalize_rows(F), counts.packed(), None
@@ -253,7 +270,7 @@ def mf_susie(counts: Counts, K: int, D: int, max_iters: int = 100, update_prior:
 
         def step(ids, b, state, log_f=log_f, f_sum=f_sum, rho=rho, first=it == 1, bound_due=bound_due, ends=ends):
             if first:
-                e = random_effects(ids, D, K, s, f_sum, prior_shape, prior_rate)
+                e = random_effects(ids, D, K, s, f_sum, prior_shape, prior_rate) if given is None else given(ids)
                 if from_nmf:
                     e.gamma = top_loadings(state, D, gamma_init_floor)
             else:

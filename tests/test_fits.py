@@ -180,3 +180,23 @@ def test_benchmark_rows(spark, block):
     assert out["NMF and k-means"].mean_gamma_entropy_mean is None and out["soft motifs"].n_seed == 2
     one = S.benchmark_summary(rows.where("seed = 1")).first()
     assert one.cluster_accuracy_sd is None
+
+
+def test_given_start_needs_factors_and_effects(spark):
+    sim = simulate.block(spark, 16, 12, 3)
+    with pytest.raises(ValueError):
+        fits.mf_susie(sim.counts, 5, 2, 1, init="given")
+    with pytest.raises(ValueError):
+        fits.mf_susie(sim.counts, 5, 2, 1, factors=sim.factors)
+
+
+def test_counts_are_read_once_and_bounded(spark, monkeypatch):
+    """The plan of packed counts has no join or aggregate of the source; too many features are an error."""
+    from motifmill.sources import counts as C
+
+    df = spark.createDataFrame([(i, f"f{m}") for i in range(5) for m in range(7)], "i long, f string")
+    c = C.counts_from(df, "i", "f")
+    assert "Scan ExistingRDD" not in c.packed()._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(C, "MAX_FEATURES", 6)
+    with pytest.raises(ValueError, match="7 features"):
+        C.counts_from(df, "i", "f")
