@@ -245,7 +245,7 @@ def mf_susie(counts: Counts, K: int, D: int, max_iters: int = 100, update_prior:
     """
     if init not in ("poisson_nmf", "random", "given"):
         raise ValueError("init must be poisson_nmf, random or given")
-    if (init == "given") != (factors is not None and given is not None):
+    if (init == "given") != (factors is not None) or (factors is None) != (given is None):
         raise ValueError("factors and effects are given with init given, and only then")
     M = counts.n_features()
     spark = counts.counts.sparkSession
