@@ -77,13 +77,12 @@ def test_shares_are_water_levels(seed):
     assert all(abs(g - w) <= n and g <= h for g, w, h in zip(got, water(budget, wants, have), have, strict=True))
 
 
-@pytest.mark.parametrize("share", [0.0, 0.4, 0.9, 1.0])
+@pytest.mark.parametrize("share", [0.0, 0.7])
 def test_level_by_level_is_the_same(edge, sample, share):
     weights = lambda p: 0.0 if p[-1] in ("fr", "src3") else Q.weights(p)
-    for df in (edge, sample):
-        for w in (Q.weights, weights):
-            one, two = (sorted(map(tuple, M.mix(df, Q.levels(), w, share, 2, 3, most_leaves=n).collect()), key=repr) for n in (M.LEAVES, 0))
-            assert one == two
+    for df, w in ((edge, weights), (sample, Q.weights if share else weights)):
+        one, two = (sorted(map(tuple, M.mix(df, Q.levels(), w, share, 2, 3, most_leaves=n).collect()), key=repr) for n in (M.LEAVES, 0))
+        assert one == two
 
 
 def test_more_slices_change_nothing(sample, monkeypatch):
