@@ -1,9 +1,15 @@
 """Line dedup by winnowing over line hashes, in DataFrame operations only.
 
-A run is a sequence of lines with words. From each line starts the shortest run of MIN_WORDS words or more; its smallest line hash is
+A run is a sequence of lines with words. From each line starts the shortest run of min_words words or more; its smallest line hash is
 its fingerprint, so two equal runs always choose the same line. Only runs whose fingerprint was chosen at more than one position
-are compared in full. Runs that occurred earlier (by id, then position) are later repeats; overlapping ones join to the
-maximal repeated passage and its lines are deleted.
+are compared in full.
+
+A shorter line that occurs elsewhere is a fingerprint as well: its matches are extended by words, over and into the lines before and
+after, and count from min_words words on. Of a match of min_words words at least half of those outside the line are on one side of it, so only lines
+that share such a side with another position of the same line get the windows of min_words words around them compared.
+
+Runs and windows that occurred earlier (by id, then position) are later repeats; those that overlap or touch join to the maximal
+repeated passage, whose words are deleted.
 """
 
 from __future__ import annotations
@@ -16,6 +22,8 @@ from .common import discard, free_name, materialise, small
 
 MIN_WORDS = 50
 _WORD = r"[^\x20\x09-\x0D]+"
+#: A word with the blanks before it.
+_PIECE = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 _KEY = ("_mm_id", "_mm_text_hash")
 
 
@@ -24,56 +32,117 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def lines_of(docs: DataFrame, text_col: str) -> DataFrame:
-    """A row for each line with a word: line number, hash pair, words. Rows that repeat (id and text) count once."""
+    """A row for each line with a word: line number, hash pair, words, number of its first word. Rows that repeat (id and text) count once."""
     line = F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("ln", "line")
     rows = docs.select(*_KEY, line).where(F.col("line").rlike(_WORD))
     rows = rows.select(*_KEY, "ln", F.xxhash64("line").alias("h"), F.crc32(F.encode("line", "UTF-8")).alias("h2"), F.regexp_count("line", F.lit(_WORD)).alias("words"))
-    return rows.repartition(*_KEY).dropDuplicates([*_KEY, "ln"])
+    rows = rows.repartition(*_KEY).dropDuplicates([*_KEY, "ln"])
+    order = W.partitionBy(*_KEY).orderBy("ln")
+    return rows.withColumn("at", F.sum("words").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("words"))
 
 
 def runs_of(lines: DataFrame, min_words: int) -> DataFrame:
-    """A row for each line from which a run of min_words starts: fingerprint, content digest, last line."""
-    order = W.partitionBy(*_KEY).orderBy("ln")
-    at = lines.withColumn("at", F.sum("words").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("words"))
+    """A row for each line from which a run of min_words starts: first word, end of the last, fingerprint, content digest."""
     run = W.partitionBy(*_KEY).orderBy("at").rangeBetween(0, min_words - 1)
     run_lines = F.collect_list(F.struct("h", "h2")).over(run)
-    runs = at.select(*_KEY, "ln", F.sum("words").over(run).alias("total"), F.min(F.struct("h", F.negative("ln").alias("back"))).over(run).alias("low"), F.max("ln").over(run).alias("last"), run_lines.alias("lines"))
-    return runs.where(F.col("total") >= min_words).select(*_KEY, "ln", "last", F.col("low.h").alias("fp"), F.negative("low.back").alias("fp_ln"), F.xxhash64("lines").alias("d1"), F.xxhash64(F.lit(11), "lines").alias("d2"))
+    runs = lines.select(*_KEY, "at", F.sum("words").over(run).alias("total"), F.min(F.struct("h", F.negative("ln").alias("back"))).over(run).alias("low"), run_lines.alias("lines"))
+    end = F.col("at") + F.col("total")
+    return runs.where(F.col("total") >= min_words).select(*_KEY, "at", end.alias("end"), F.col("low.h").alias("fp"), F.negative("low.back").alias("fp_ln"), F.xxhash64("lines").alias("d1"), F.xxhash64(F.lit(11), "lines").alias("d2"))
+
+
+def _shared(rows: DataFrame, by: list[str], place: Column, name: str) -> DataFrame:
+    """The values of by found at two places or more. min and max are kept before the shuffle, so a hot one is one row a task."""
+    return materialise(rows.groupBy(*by).agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select(*by), name)
+
+
+def _later(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Stretches (at, end) whose content occurred at an earlier place."""
+    place = F.struct(*_KEY, "at")
+    first = rows.groupBy(*by).agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select(*by, F.col("a").alias("first"))
+    return rows.join(first, by).where(place != F.col("first")).select(*_KEY, "at", "end")
 
 
 def repeated_runs(runs: DataFrame) -> DataFrame:
-    """_mm_id, _mm_text_hash, from, to (line numbers): maximal repeated passages that occurred before."""
-    # A fingerprint matters if it was chosen at two positions or more. min and max are kept before the shuffle, so a hot one is one row a task.
-    place = F.struct(*_KEY, "fp_ln")
-    shared = runs.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("fp")
-    shared = materialise(shared, "shared-fingerprints")
-    met = runs.join(small(shared), "fp", "left_semi")
-    first = met.groupBy("fp", "d1", "d2").agg(F.min(F.struct(*_KEY, "ln")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("fp", "d1", "d2", "first")
-    later = met.join(first, ["fp", "d1", "d2"]).where(F.struct(*_KEY, "ln") != F.col("first"))
-    # Extend both ways: runs that overlap or touch form one passage.
-    seen = F.max("last").over(W.partitionBy(*_KEY).orderBy("ln").rowsBetween(W.unboundedPreceding, -1))
-    opens = later.withColumn("opens", F.when(seen >= F.col("ln") - 1, 0).otherwise(1))
-    passage = opens.withColumn("passage", F.sum("opens").over(W.partitionBy(*_KEY).orderBy("ln")))
-    return passage.groupBy(*_KEY, "passage").agg(F.min("ln").alias("from"), F.max("last").alias("to")).select(*_KEY, "from", "to")
+    shared = _shared(runs, ["fp"], F.struct(*_KEY, "fp_ln"), "shared-fingerprints")
+    return _later(runs.join(small(shared), "fp", "left_semi"), ["fp", "d1", "d2"])
+
+
+def _around(texts: DataFrame, spots: DataFrame, text_col: str) -> DataFrame:
+    """A row for each spot (a struct of at and others) with the hashes of its document's words."""
+    spots = materialise(spots.groupBy(*_KEY).agg(F.collect_list("spot").alias("spots")), "spots")
+    on = F.col("l._mm_id").eqNullSafe(F.col("r._mm_id")) & (F.col("l._mm_text_hash") == F.col("r._mm_text_hash"))
+    words = F.transform(F.regexp_extract_all(text_col, F.lit(_WORD), F.lit(0)), lambda w: F.xxhash64(w))
+    both = texts.alias("l").join(small(spots).alias("r"), on).select(*(F.col(f"l.{k}") for k in _KEY), words.alias("hashes"), "spots")
+    return both.select(*_KEY, "hashes", F.explode("spots").alias("spot")).select(*_KEY, "hashes", "spot.*")
+
+
+def repeated_windows(lines: DataFrame, texts: DataFrame, text_col: str, min_words: int) -> DataFrame:
+    """Windows of min_words words with a complete shorter line that occurred earlier with the same line at the same place in them."""
+    short = lines.where(F.col("words") < min_words)
+    shared = _shared(short, ["h", "h2"], F.struct(*_KEY, "at"), "shared-lines")
+    spot = F.struct("at", "words", "h", "h2")
+    met = short.join(small(shared), ["h", "h2"], "left_semi").select(*_KEY, spot.alias("spot"))
+    wide = F.lit(min_words) - F.col("words")
+    half = F.ceil(wide / 2).cast("int")
+    end = F.col("at") + F.col("words")
+    left = F.when(F.col("at") >= half, F.xxhash64(F.slice("hashes", (F.col("at") - half + 1).cast("int"), half)))
+    right = F.when(end + half <= F.size("hashes"), F.xxhash64(F.slice("hashes", (end + 1).cast("int"), half)))
+    sides = F.explode(F.array(F.struct(F.lit(True).alias("before"), left.alias("side")), F.struct(F.lit(False).alias("before"), right.alias("side")))).alias("x")
+    sides = _around(texts, met, text_col).select(*_KEY, "at", "words", "h", "h2", sides).select(*_KEY, "at", "words", "h", "h2", "x.*").where("side is not null")
+    sides = materialise(sides, "line-sides")
+    by = ["h", "h2", "before", "side"]
+    both = sides.join(small(_shared(sides, by, F.struct(*_KEY, "at"), "shared-sides")), by, "left_semi")
+    near = both.groupBy(*_KEY, "at", "words", "h", "h2").agg(F.max("before").alias("l"), F.max(~F.col("before")).alias("r"))
+    near = near.select(*_KEY, F.struct("at", "words", "h", "h2", "l", "r").alias("spot"))
+    lo = F.greatest(F.when(F.col("r"), 0).otherwise(half), end + wide - F.size("hashes"))
+    hi = F.least(F.when(F.col("l"), wide).otherwise(wide - half), F.col("at"))
+    offsets = F.when(lo <= hi, F.sequence(lo.cast("int"), hi.cast("int")))
+    windows = _around(texts, near, text_col).select(*_KEY, "hashes", "at", "h", "h2", F.explode(offsets).alias("before"))
+    body = F.slice("hashes", (F.col("at") - F.col("before") + 1).cast("int"), min_words)
+    start = F.col("at") - F.col("before")
+    windows = windows.select(*_KEY, start.alias("at"), (start + min_words).alias("end"), "h", "h2", "before", F.xxhash64(body).alias("d1"), F.xxhash64(F.lit(11), body).alias("d2"))
+    windows = materialise(windows, "line-windows")
+    out = materialise(_later(windows, ["h", "h2", "before", "d1", "d2"]), "later-windows")
+    discard(windows, sides)
+    return out
+
+
+def passages(stretches: DataFrame) -> DataFrame:
+    """_mm_id, _mm_text_hash, cuts: what overlaps or touches is one passage, from and to are its first and last word."""
+    order = W.partitionBy(*_KEY).orderBy("at")
+    seen = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
+    opens = stretches.withColumn("opens", F.when(seen >= F.col("at"), 0).otherwise(1))
+    numbered = opens.withColumn("passage", F.sum("opens").over(order.rangeBetween(W.unboundedPreceding, 0)))
+    each = numbered.groupBy(*_KEY, "passage").agg(F.min("at").cast("long").alias("from"), (F.max("end") - 1).cast("long").alias("to"))
+    return each.groupBy(*_KEY).agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("cuts"))
 
 
 def _kept(text: Column, cuts: Column) -> Column:
-    lines = F.filter(F.split(text, "\n", -1), lambda _, i: ~F.exists(cuts, lambda c: (i >= c["from"]) & (i <= c["to"])))
-    return F.when(cuts.isNull(), text).otherwise(F.array_join(lines, "\n"))
+    """A word goes with the blanks before it; with the first word goes a line break behind the passage too."""
+    words = F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0))
+    start = F.struct(F.lit(0).cast("long").alias("at"), words.alias("words"), F.array().cast("array<string>").alias("out"))
+    upto = lambda acc, stop: F.array_join(F.slice(acc["words"], (acc["at"] + 1).cast("int"), (stop - acc["at"]).cast("int")), "")
+    step = lambda acc, c: F.struct((c["to"] + 1).alias("at"), acc["words"].alias("words"), F.concat(acc["out"], F.array(upto(acc, c["from"]))).alias("out"))
+    end = lambda acc: F.concat(F.array_join(acc["out"], ""), upto(acc, F.size(acc["words"])), F.substr(text, F.length(F.array_join(acc["words"], "")) + 1))
+    rest = F.aggregate(cuts, start, step, end)
+    return F.when(cuts.isNull(), text).when(cuts[0]["from"] == 0, F.regexp_replace(rest, r"\A\n", "")).otherwise(rest)
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with the lines of later repeated passages deleted from the text, and _mm_cuts: array of (from, to) line numbers, or null.
+    """docs with the words of later repeated passages deleted from the text, and _mm_cuts: array of (from, to) word numbers, or null.
 
-    Lines are what \\n separates; one without a word takes no part in matching and is deleted only inside a passage. A null or
+    Lines are what \\n separates; a passage has a complete line, equal with its blanks, and other words at its ends that may belong to lines which differ elsewhere. A repeat
+    within one line, or one that holds no complete line, stays. A word goes with the blanks before it. A null or
     empty text has no lines and stays as it is. Of equal passages the first stays by id (null first), then position. A row repeated with the same id
     and text is the same document and gets the same result; rows that share an id but not a text are ordered by the text's hash.
     All other columns are kept, whatever their names; the last one is called _mm_cuts, with underscores behind it if docs has one of that name.
     """
-    runs = materialise(runs_of(lines_of(keyed(docs, id_col, text_col).select(*_KEY, text_col), text_col), min_words), "line-runs")
-    cuts = repeated_runs(runs)
-    cuts = materialise(cuts.groupBy(*_KEY).agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("cuts")), "line-cuts")
-    discard(runs)
+    texts = keyed(docs, id_col, text_col).select(*_KEY, text_col)
+    lines = materialise(lines_of(texts, text_col), "lines")
+    runs = materialise(runs_of(lines, min_words), "line-runs")
+    cuts = passages(repeated_runs(runs).union(repeated_windows(lines, texts, text_col, min_words)))
+    cuts = materialise(cuts, "line-cuts")
+    discard(runs, lines)
     own_id, own_hash = (free_name(docs, k) for k in _KEY)
     left = docs.withColumns({own_id: F.col(id_col), own_hash: F.xxhash64(text_col)}).alias("l")
     on = F.col(f"l.{own_id}").eqNullSafe(F.col(f"r.{_KEY[0]}")) & (F.col(f"l.{own_hash}") == F.col(f"r.{_KEY[1]}"))
@@ -82,5 +151,5 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return joined.select(*kept, F.col("r.cuts").alias(free_name(docs, "_mm_cuts")))
 
 
-def cut_lines(cuts: Column) -> Column:
-    return F.when(cuts.isNull(), 0).otherwise(F.aggregate(cuts, F.lit(0), lambda a, c: a + c["to"] - c["from"] + 1)).cast("long")
+def cut_words(cuts: Column) -> Column:
+    return F.when(cuts.isNull(), 0).otherwise(F.aggregate(cuts, F.lit(0).cast("long"), lambda a, c: a + c["to"] - c["from"] + 1)).cast("long")

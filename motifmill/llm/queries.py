@@ -73,7 +73,7 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(documents(spark, sf_dir).select("doc_id", "text"))
     cuts = F.col("_mm_cuts")
-    return out.select("doc_id", F.coalesce(F.size(cuts), F.lit(0)).cast("long").alias("n_passages"), line_dedup.cut_lines(cuts).alias("n_removed_lines"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+    return out.select("doc_id", F.coalesce(F.size(cuts), F.lit(0)).cast("long").alias("n_passages"), line_dedup.cut_words(cuts).alias("n_removed_words"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,33 +182,60 @@ select doc_id,
 from d
 """,
     "op3_line_dedup": r"""
-with docs as (select doc_id, text from documents where text is not null),
+with docs as (
+  select doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') as pieces from documents where text is not null
+),
 lines as (
-  select doc_id, ln - 1 as ln, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as words
+  select doc_id, ln, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as words
   from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as ln from docs)
 ),
 placed as (
   select *, sum(words) over (partition by doc_id order by ln) - words as wat from lines where words > 0
 ),
 runs as (
-  select doc_id, ln, max(ln) over w as last_ln, sum(words) over w as total, list(line) over w as body from placed
+  select doc_id, wat, sum(words) over w as total, list(line) over w as body from placed
   window w as (partition by doc_id order by wat range between current row and 49 following)
 ),
+spots as (
+  select * from (select *, count(*) over (partition by line) as times from placed where words < 50) where times > 1
+),
+windows as (
+  select s.doc_id, s.line, s.l, s.wat - s.l as wat, md5(array_to_string(list_slice(d.w, (s.wat - s.l + 1)::bigint, (s.wat - s.l + 50)::bigint), ' ')) as body
+  from (
+    select s.*, unnest(range(greatest(0, s.wat + 50 - len(d.w))::bigint, least(s.wat, 50 - s.words)::bigint + 1)) as l
+    from spots s join docs d on s.doc_id = d.doc_id
+  ) s join docs d on s.doc_id = d.doc_id
+),
 later as (
-  select doc_id, ln, last_ln from (select *, row_number() over (partition by body order by doc_id, ln) as nth from runs where total >= 50) where nth > 1
+  select doc_id, wat, wat + total as stop from (select *, row_number() over (partition by body order by doc_id, wat) as nth from runs where total >= 50) where nth > 1
+  union all
+  select doc_id, wat, wat + 50 from (select *, row_number() over (partition by line, l, body order by doc_id, wat) as nth from windows) where nth > 1
 ),
-gone as (
-  select distinct doc_id, unnest(generate_series(ln, last_ln)) as ln from later
+joined as (
+  select doc_id, min(wat) as wat, max(stop) as stop from (
+    select *, sum(opens) over (partition by doc_id order by wat) as passage from (
+      select *, case when max(stop) over (partition by doc_id order by wat rows between unbounded preceding and 1 preceding) >= wat then 0 else 1 end as opens from later
+    )
+  ) group by doc_id, passage
 ),
 passages as (
-  select doc_id, count(*) as n from (select doc_id, ln, lag(ln) over (partition by doc_id order by ln) as before from gone) where before is null or before < ln - 1 group by doc_id
+  select doc_id, count(*) as n, sum(stop - wat) as removed, min(wat) as head from joined group by doc_id
+),
+pieces as (
+  select doc_id, unnest(pieces) as piece, generate_subscripts(pieces, 1) - 1 as k from docs where doc_id in (select doc_id from passages)
+),
+bodies as (
+  select p.doc_id, string_agg(p.piece, '' order by p.k) as body from pieces p
+  where not exists (select 1 from joined j where j.doc_id = p.doc_id and p.k >= j.wat and p.k < j.stop) group by p.doc_id
 ),
 kept as (
-  select l.doc_id, string_agg(l.line, chr(10) order by l.ln) filter (where g.ln is null) as body, count(g.ln) as removed
-  from lines l left join gone g on l.doc_id = g.doc_id and l.ln = g.ln group by l.doc_id
+  select d.doc_id, case when p.head = 0 then regexp_replace(x, '^\n', '') else x end as body
+  from passages p join (
+    select d.doc_id, coalesce(b.body, '') || substr(d.text, length(array_to_string(d.pieces, '')) + 1) as x from docs d left join bodies b on d.doc_id = b.doc_id
+  ) d on d.doc_id = p.doc_id
 )
-select d.doc_id, coalesce(p.n, 0) as n_passages, coalesce(k.removed, 0) as n_removed_lines, sha256(coalesce(k.body, '')) as kept_sha256
-from documents d left join kept k on d.doc_id = k.doc_id left join passages p on d.doc_id = p.doc_id
+select d.doc_id, coalesce(p.n, 0) as n_passages, coalesce(p.removed, 0)::bigint as n_removed_words, sha256(coalesce(k.body, d.text, '')) as kept_sha256
+from documents d left join passages p on d.doc_id = p.doc_id left join kept k on d.doc_id = k.doc_id
 """,
 }
 

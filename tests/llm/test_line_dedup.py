@@ -7,16 +7,23 @@ from motifmill.llm import line_dedup as L
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def runs(text, least):
-    """(content, first line, last line) of the shortest runs of at least ``least`` words."""
-    lines = [(k, x, len(WORD.findall(x))) for k, x in enumerate((text or "").split("\n")) if WORD.search(x)] if text is not None else []
+def stretches(text, least):
+    """(content, first word, end) of whole-line runs, and of the windows of ``least`` words around each shorter line."""
+    words = WORD.findall(text or "")
+    lines, n = [], 0
+    for x in (text or "").split("\n"):
+        k = len(WORD.findall(x))
+        if k:
+            lines.append((x, n, n + k))
+        n += k
     for s in range(len(lines)):
-        n = 0
         for e in range(s, len(lines)):
-            n += lines[e][2]
-            if n >= least:
-                yield tuple(x for _, x, _ in lines[s : e + 1]), lines[s][0], lines[e][0]
+            if lines[e][2] - lines[s][1] >= least:
+                yield ("run", *(x for x, _, _ in lines[s : e + 1])), lines[s][1], lines[e][2]
                 break
+    for x, a, b in lines:
+        for s in range(max(0, b - least), min(a, len(words) - least) + 1):
+            yield ("window", x, a - s, *words[s : s + least]), s, s + least
 
 
 def brute(rows, least):
@@ -24,12 +31,17 @@ def brute(rows, least):
     done = {}
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0], r[1] or "")):
         if (i, t) not in done:
-            cut = set()
-            for body, a, b in runs(t, least):
+            gone = set()
+            found = sorted(stretches(t, least), key=lambda s: s[1])
+            for body, a, b in found:
                 if body in seen:
-                    cut |= set(range(a, b + 1))
+                    gone |= set(range(a, b))
                 seen.add(body)
-            done[i, t] = t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in cut)
+            done[i, t] = t
+            if gone:
+                pieces = [m.group() for m in re.finditer(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", t)]
+                rest = "".join(p for k, p in enumerate(pieces) if k not in gone) + t[len("".join(pieces)) :]
+                done[i, t] = rest[1:] if 0 in gone and rest.startswith("\n") else rest
         out.append((i, done[i, t]))
     return sorted(out, key=repr)
 
@@ -52,5 +64,23 @@ def test_passage_stays_once(edge):
     assert "word5 word6" in texts[7] and "word5 word6" not in texts[8] + texts[9]
 
 
+def test_match_goes_on_into_bordering_lines(spark):
+    w = [f"p{k}" for k in range(60)]
+    passage = f"{' '.join(w[:20])}\n{' '.join(w[20:35])}\n{' '.join(w[35:])}"
+    alone = " ".join(w[20:35])
+    rows = [(1, f"own words {passage} of the first"), (2, f"  {alone}\nthe same line elsewhere"), (3, f"a head {passage} and\ta tail\n"), (4, f"{passage}\nrest"), (5, " ".join(w))]
+    got = {r.doc_id: r for r in L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: got[i].text for i in got} == {1: rows[0][1], 2: rows[1][1], 3: "a head and\ta tail\n", 4: "rest", 5: rows[4][1]}
+    assert [(c["from"], c["to"]) for c in got[3]["_mm_cuts"]] == [(2, 61)]
+
+
+def test_line_shared_by_all_with_a_match_of_only_some(spark):
+    line = "common line of six words here"
+    rows = [(k, f"{' '.join(f'x{k}y{j}' for j in range(30))}\n{line}\n{' '.join(f'{k % 7 if k < 28 else k}z{j}' for j in range(46))}") for k in range(60)]
+    got = [(r.doc_id, r.text) for r in L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=repr) == brute(rows, 50)
+    assert sum(t != dict(rows)[i] for i, t in got) == 21
+
+
 def test_empty(empty):
     assert L.line_dedup(empty).count() == 0
