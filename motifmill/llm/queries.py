@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing, quality, secrets, suffix_dedup, token_files, tokens
+from . import conversations, exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing, quality, secrets, suffix_dedup, token_files, tokens
 from .common import documents, fresh_path
 
 HELD_OUT = "pmod(crc32(cast(coalesce(cast(doc_id as string), '') as binary)), 3) = 1"
@@ -114,7 +114,25 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", F.expr("make_valid_utf8(cast(kept as string))").alias("text"))
 
 
-QUERIES = (op1_exact_dedup, op2_jaccard_join, op3_line_dedup, op4_secret_scan, op5_packing, op6_language_id, op7_token_files, op8_suffix_dedup, op9_quality_rules, op10_mixing)
+def damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns with faults: by the CRC of `conv_id:turn` a row is dropped, emptied, loses its sentence ends, is repeated or becomes the user's."""
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    t = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", named("role").alias("role"), named("text").alias("text"), (F.crc32(F.encode(F.concat_ws(":", named("conv_id"), named("turn")), "UTF-8")) % 20).alias("hurt"))
+    text = F.when(F.col("hurt") == 1, "").when(F.col("hurt") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("hurt") == 4, "user").otherwise(F.col("role"))
+    times = F.explode(F.when(F.col("hurt") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    return t.where("hurt <> 0").select("conv_id", "turn", role.alias("role"), text.alias("text"), times.alias("nth")).drop("nth")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plans, turns = conversations.repair(damaged(spark, sf_dir))
+    ids = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("conv")).distinct()
+    out = conversations.joined([ids, plans, conversations.digests(turns)], "conv")
+    number = [F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select(F.col("conv").alias("conv_id"), *number, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+QUERIES = (op1_exact_dedup, op2_jaccard_join, op3_line_dedup, op4_secret_scan, op5_packing, op6_language_id, op7_token_files, op8_suffix_dedup, op9_quality_rules, op10_mixing, op11_conversation_repair)
 
 
 def queries() -> dict:
@@ -154,7 +172,66 @@ from docs d left join lists l on d.doc_id = l.doc_id
 """
 
 
+#: CRC-32 by table: crc(x) of a string is an expression over its bytes; needs the table `crc_tab`.
+CRC_TAB = "crc_tab as (select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as tab)"
+
+
+def crc_sql(x: str) -> str:
+    hex_digit = "instr('0123456789ABCDEF', substr(hx, {}, 1)) - 1"
+    byte = f"({hex_digit.format('2 * k + 1')}) * 16 + {hex_digit.format('2 * k + 2')}"
+    return f"(select xor(list_reduce([4294967295] || list_transform(range(length(hx) // 2), lambda k: ({byte})::bigint), lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1])), 4294967295) from (select hex(encode({x})) as hx))"
+
+
+def _repair_sql() -> str:
+    """The fold is a recursion over positions with the four states as columns."""
+    put = lambda p, step: f"{{'cost': {p}.cost + 2, 'audit': {p}.audit || 'I', 'path': {p}.path || '{step}'}}"
+    edit = lambda p, cost, letter, step, when: f"case when {when} then {{'cost': {p}.cost + {cost}, 'audit': {p}.audit || '{letter}', 'path': {p}.path || '{step}'}} end"
+    drop = lambda p: edit(p, 3, "D", "D", "true")
+    keep = lambda p, i: edit(p, "more", "K", "K", f"stays and initial = '{i}'")
+    give = lambda p, step: edit(p, "more + 2", "R", step, "stays")
+    far = "{'cost': 1099511627776::bigint, 'audit': '', 'path': ''}"
+    user = ", ".join([drop("c2"), *(keep(p, "u") for p in ("c0", "c1", "c3")), *(give(p, "U") for p in ("c0", "c1", "c3"))])
+    inserted = lambda of: f"select *, s0 as c0, s1 as c1, least(s2, {put('s0', 'u')}, {put('s1', 'u')}, {put('s3', 'u')}) as c2, least(s3, {put('s2', 'a')}, {put('u0', 'a')}, {put('u1', 'a')}) as c3 from (select *, {put('s0', 'u')} as u0, {put('s1', 'u')} as u1 from {of})"
+    return rf"""
+with recursive {CRC_TAB},
+hurt as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {crc_sql("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as h from conversations, crc_tab),
+rows as (
+  select conv_id, turn, case when h = 4 then 'user' else role end as role, case when h = 1 then '' when h = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from (select * from hurt union all select * from hurt where h = 3) where h <> 0
+),
+placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as pos from rows),
+marked as (
+  select *, left(role, 1) as initial, lag(left(role, 1)) over (partition by conv_id order by pos) || left(role, 1) as pair, regexp_replace(text, '[ 	-
+]+$', '') as body,
+    row_number() over (partition by conv_id, role, text order by pos) > 1 as again from placed
+),
+turns as (select *, case when body = '' then 'blank' when again then 'duplicate' when right(body, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault from marked),
+counts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+    count(*) filter (fault = 'truncated') as truncated, count(*) filter (pair not in ('su', 'ua', 'au')) as illegal, count(*) as n from turns group by conv_id
+),
+fold as (
+  select conv_id, n, 0::bigint as pos, {{'cost': 0::bigint, 'audit': '', 'path': ''}} as s0, {far} as s1, {far} as s2, {far} as s3 from counts
+  union all
+  select conv_id, n, pos + 1, {drop("c0")}, least({drop("c1")}, {keep("c0", "s")}), least({user}), least({drop("c3")}, {keep("c2", "a")}, {give("c2", "A")})
+  from (select f.*, t.initial, t.fault not in ('blank', 'duplicate') as stays, (t.fault = 'truncated')::bigint as more from ({inserted("fold")}) f join turns t on t.conv_id is not distinct from f.conv_id and t.pos = f.pos + 1)
+),
+best as (select conv_id, least(c0, c3) as p from ({inserted("(select * from fold where pos = n)")})),
+steps as (select conv_id, unnest(regexp_extract_all(p.path, '[ua]*[UAKD]|[ua]+$')) as step, generate_subscripts(regexp_extract_all(p.path, '[ua]*[UAKD]|[ua]+$'), 1) as pos from best),
+letters as (select conv_id, pos, unnest(string_split(step, '')) as c, generate_subscripts(string_split(step, ''), 1) as nth from steps),
+lines as (
+  select l.conv_id, l.pos, nth, case when c in ('u', 'U') then 'user' when c in ('a', 'A') then 'assistant' else t.role end || ':' || case when c in ('u', 'a') then '' else t.text end as line
+  from letters l left join turns t on t.conv_id is not distinct from l.conv_id and t.pos = l.pos where c <> 'D'
+),
+bodies as (select conv_id, string_agg(line, chr(10) order by pos, nth) as body from lines group by conv_id)
+select i.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+  coalesce(p.cost, 0)::bigint as cost, coalesce(p.audit, '') as audit, sha256(coalesce(body, '')) as repaired_sha256
+from (select distinct conv_id from conversations) i left join counts c on c.conv_id is not distinct from i.conv_id left join best b on b.conv_id is not distinct from i.conv_id left join bodies x on x.conv_id is not distinct from i.conv_id
+"""
+
+
 ORACLE_SQL = {
+    "op11_conversation_repair": _repair_sql(),
     "op4_secret_scan": _secret_sql(),
     "op2_jaccard_join": r"""
 with recursive words as (
