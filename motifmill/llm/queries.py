@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing, quality, secrets, suffix_dedup, token_files, tokens
+from . import conversations, exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing, quality, secrets, spelling, suffix_dedup, token_files, tokens
 from .common import documents, fresh_path
 
 HELD_OUT = "pmod(crc32(cast(coalesce(cast(doc_id as string), '') as binary)), 3) = 1"
@@ -132,7 +132,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("conv").alias("conv_id"), *number, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
 
 
-QUERIES = (op1_exact_dedup, op2_jaccard_join, op3_line_dedup, op4_secret_scan, op5_packing, op6_language_id, op7_token_files, op8_suffix_dedup, op9_quality_rules, op10_mixing, op11_conversation_repair)
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
+QUERIES = (op1_exact_dedup, op2_jaccard_join, op3_line_dedup, op4_secret_scan, op5_packing, op6_language_id, op7_token_files, op8_suffix_dedup, op9_quality_rules, op10_mixing, op11_conversation_repair, op12_spelling_variants)
 
 
 def queries() -> dict:
@@ -230,8 +234,34 @@ from (select distinct conv_id from conversations) i left join counts c on c.conv
 """
 
 
+SPELLING_SQL = rf"""
+with recursive {CRC_TAB},
+runs as (
+  select id, run, count(*) as n from (
+    select coalesce(doc_id::varchar, '') as id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) as run from documents
+  ) where length(run) >= 6 group by all
+),
+hashed as (select run, n, {crc_sql("id || ':' || run")} as h from runs, crc_tab),
+words as (
+  select word, sum(n)::bigint as n from (select n, case when h % 199 = 0 then left(run, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word from hashed)
+  where length(word) >= 6 group by word having sum(n) >= 5
+),
+gaps as (select word, n, p, left(word, p - 1) || substr(word, p + 1) as rest from (select word, n, unnest(range(1, length(word) + 1))::int as p from words)),
+near as (
+  select a.word, b.word as other, b.n as other_n from gaps a join gaps b on a.p = b.p and a.rest = b.rest and a.word <> b.word
+  union select g.word, w.word, w.n from gaps g join words w on w.word = g.rest
+  union select w.word, g.word, g.n from gaps g join words w on w.word = g.rest
+),
+best as (select word, count(*) as n_near, min({{'o': -other_n, 'w': other}}) as b from near group by word),
+known as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when -b.o >= 5 * w.n then b.w end as form, case when -b.o >= 5 * w.n then -b.o end as form_n from words w left join best on best.word = w.word),
+chain as (select word, word as top, 0 as k from known union all select c.word, f.form, k + 1 from chain c join known f on f.word = c.top where f.form is not null)
+select k.word, form, c.root, n, n_near, form_n from known k join (select word, arg_max(top, k) as root from chain group by word) c on c.word = k.word
+"""
+
+
 ORACLE_SQL = {
     "op11_conversation_repair": _repair_sql(),
+    "op12_spelling_variants": SPELLING_SQL,
     "op4_secret_scan": _secret_sql(),
     "op2_jaccard_join": r"""
 with recursive words as (
