@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing, quality, secrets, spelling, suffix_dedup, token_files, tokens
+from . import conversations, exact_dedup, jaccard_join, language_id, licenses, line_dedup, mixing, packing, quality, secrets, spelling, suffix_dedup, token_files, tokens
 from .common import documents, fresh_path
 
 HELD_OUT = "pmod(crc32(cast(coalesce(cast(doc_id as string), '') as binary)), 3) = 1"
@@ -136,7 +136,11 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(documents(spark, sf_dir))
 
 
-QUERIES = (op1_exact_dedup, op2_jaccard_join, op3_line_dedup, op4_secret_scan, op5_packing, op6_language_id, op7_token_files, op8_suffix_dedup, op9_quality_rules, op10_mixing, op11_conversation_repair, op12_spelling_variants)
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+QUERIES = (op1_exact_dedup, op2_jaccard_join, op3_line_dedup, op4_secret_scan, op5_packing, op6_language_id, op7_token_files, op8_suffix_dedup, op9_quality_rules, op10_mixing, op11_conversation_repair, op12_spelling_variants, op13_license_scan)
 
 
 def queries() -> dict:
@@ -259,7 +263,37 @@ select k.word, form, c.root, n, n_near, form_n from known k join (select word, a
 """
 
 
+def _license_sql() -> str:
+    """Rules are rows; a text is split by each pattern whose anchor and keys it holds, and places are counted in blanks."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({k}, {quote(r.label)}, {r.priority}, {r.confidence}::double, {quote(r.anchor)}, {quote(r.keys)}, {quote(licenses.spaced(r.pattern))})" for k, r in enumerate(licenses.rules()))
+    blanks = lambda x: f"(length({x}) - length(replace({x}, ' ', '')))"
+    return rf"""
+with rules(rule, label, priority, confidence, anchor, keys, pattern) as (values {rows}),
+docs as (select row_number() over () as uid, doc_id, list_transform(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: ' ' || w || ' ') as w from documents),
+texts as (select uid, array_to_string(w, '') as t from docs),
+tried as (select uid, rule, t, pattern, priority, confidence, label from texts, rules where contains(t, anchor) and len(list_filter(string_split(keys, '|'), lambda k: contains(t, k))) > 0),
+found as (select *, string_split_regex(t, pattern) as pieces, regexp_extract_all(t, pattern) as matches from tried where regexp_matches(t, pattern)),
+cells as (select uid, rule, priority, confidence, label, k, {blanks("pieces[k]")} as gap, {blanks("matches[k]")} as n from (select *, unnest(range(1, len(matches) + 1)) as k from found)),
+hits as (select *, ((stop - n) / 2)::bigint as s, (stop / 2)::bigint as e from (select *, sum(gap + n) over (partition by uid, rule order by k) as stop from cells)),
+outer_ones as (
+  select * from hits h where priority >= 0 and not exists (select 1 from hits o where o.uid = h.uid and o.priority >= 0 and o.s <= h.s and o.e >= h.e and (o.s < h.s or o.e > h.e or (o.priority, o.rule) < (h.priority, h.rule)))
+),
+stay as (
+  select uid, label, confidence, null as base from (
+    select *, lag(e) over w > s and lag(priority) over w <= priority as lost_before, lead(s) over w < e and lead(priority) over w < priority as lost_after from outer_ones window w as (partition by uid order by s)
+  ) where not coalesce(lost_before, false) and not coalesce(lost_after, false)
+  union all select uid, label, confidence, s from hits where priority < 0
+),
+lists as (
+  select uid, count(base) as n_base, min(base) as first_word, max(base) as last_word, string_agg(distinct label, ',' order by label) filter (base is not null) as base_labels, string_agg(distinct label, ',' order by label) as labels, max(confidence) as score from stay group by uid
+)
+select doc_id, len(w) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0) as score from docs d left join lists l on l.uid = d.uid
+"""
+
+
 ORACLE_SQL = {
+    "op13_license_scan": _license_sql(),
     "op11_conversation_repair": _repair_sql(),
     "op12_spelling_variants": SPELLING_SQL,
     "op4_secret_scan": _secret_sql(),
