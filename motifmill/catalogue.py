@@ -775,6 +775,28 @@ p2 as (select * from cells34 where z not in (select z from p1) and grp not in (s
 p3 as (select * from cells34 where z not in (select z from p1 union all select z from p2) and grp not in (select grp from p1 union all select grp from p2) order by n desc, grp, z limit 1)
 """
 on_posterior("cluster_accuracy_greedy", "select round(((select n from p1) + (select n from p2) + (select n from p3)) / (select sum(n) from tab), 6) as accuracy", GREEDY)(lambda p: p.truth.sparkSession.createDataFrame([(matching.cluster_accuracy(_labels(p), "greedy"),)], "accuracy double").select(*r6("accuracy")))
+def nation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """i, grp (nation), z: 25 clusters that follow the nation for a fifth of the customers."""
+    i, own = F.col("c_custkey"), F.col("c_nationkey")
+    z = F.when(i * 31 % 100 < 20, (own * 7 + 3) % 25).otherwise(i * 7919 % 1009 % 25)
+    return table(spark, sf_dir, "customer").select(i.alias("i"), (own + 1).alias("grp"), (z + 1).alias("z"))
+
+
+#: Bids of rows for columns, one a step: benefits times 26 and steps of 1 end at the best assignment of 25.
+AUCTION = """with recursive pairs as (select case when c_custkey * 31 % 100 < 20 then (c_nationkey * 7 + 3) % 25 else c_custkey * 7919 % 1009 % 25 end as z, c_nationkey as grp from customer),
+tab as (select z, grp, count(p.z) as n from (select unnest(range(25)) as z) cross join (select unnest(range(25)) as grp) left join (select z, grp from pairs) p using (z, grp) group by all),
+benefit as (select list(ns order by z) as b from (select z, list(n * 26 order by grp) as ns from tab group by z)),
+bids as (
+  select b, list_transform(range(25), lambda j: 0::bigint) as price, list_transform(range(25), lambda j: 0::bigint) as owner, 1::bigint as free from benefit
+  union all
+  select b, price, owner, (select min(r) from (select unnest(range(1, 26)) as r) where not list_contains(owner, r)) from (
+    select b, list_transform(price, lambda p, j: case when j = best then p + w1 - w2 + 1 else p end) as price, list_transform(owner, lambda o, j: case when j = best then free else o end) as owner
+    from (select *, list_max(list_transform(w, lambda x, j: case when j = best then -1000000000 else x end)) as w2 from (
+      select *, list_max(w) as w1, list_position(w, list_max(w)) as best from (select *, list_transform(b[free], lambda x, j: x - price[j]) as w from bids where free is not null)))
+  )
+)
+select round(sum(b[owner[j]][j]) / 26 / (select count(*) from pairs), 6) as accuracy from (select *, unnest(range(1, 26)) as j from bids where free is null)"""
+query("cluster_accuracy_nations", AUCTION)(lambda s, d: s.createDataFrame([(matching.cluster_accuracy(nation_labels(s, d)),)], "accuracy double").select(*r6("accuracy")))
 on_posterior("contingency_table", "select z, grp, n from tab", Z)(lambda p: (x := _labels(p).groupBy("z", "grp").agg(F.count(F.lit(1)).alias("n"))).select(*longs(x, "z", "grp"), "n"))
 
 

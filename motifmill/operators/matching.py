@@ -9,8 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a matrix that are assigned by dynamic programming over subsets; beyond it, greedily.
-EXACT = 14
+#: Sums that differ by less, relative to the largest score, are equal.
+TIE = 1e-10
 
 
 @dataclass
@@ -34,30 +34,86 @@ def row_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T / np.outer(np.sqrt((a**2).sum(1)), np.sqrt((b**2).sum(1)))
 
 
+def _shortest_paths(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A cheapest perfect matching of a square matrix: the column of each row, and potentials of rows and columns.
+
+    Rows enter one by one, each along the shortest path of reduced costs to a free column; potentials keep all reduced costs non-negative.
+    """
+    n = len(cost)
+    u, v = np.zeros(n), np.zeros(n)
+    row_of = np.full(n, -1)
+    for start in range(n):
+        distance, via = np.full(n, np.inf), np.full(n, -1)
+        done = np.zeros(n, bool)
+        row, reached, column = start, 0.0, -1
+        while row >= 0:
+            step = reached + cost[row] - u[row] - v
+            shorter = ~done & (step < distance)
+            distance[shorter], via[shorter] = step[shorter], row
+            column = int(np.argmin(np.where(done, np.inf, distance)))
+            reached = distance[column]
+            done[column] = True
+            row = row_of[column]
+        passed = done & (np.arange(n) != column)
+        u[row_of[passed]] += reached - distance[passed]
+        u[start] += reached
+        v[passed] -= reached - distance[passed]
+        while column >= 0:  # turn the path over
+            row = via[column]
+            before = np.flatnonzero(row_of == row)
+            row_of[column] = row
+            column = int(before[0]) if row != start else -1
+    column_of = np.empty(n, int)
+    column_of[row_of] = np.arange(n)
+    return column_of, u, v
+
+
+def _another_way(tight: np.ndarray, column_of: np.ndarray, row: int, to: int) -> np.ndarray | None:
+    """The matching changed along tight edges so that row gets column ``to``, without touching rows before it; None if that can't be."""
+    free, holder = column_of[row], int(np.flatnonzero(column_of == to)[0])
+    if holder < row:
+        return None
+    row_of = np.argsort(column_of)
+    via, seen, queue = {}, {to}, [holder]
+    while queue:
+        r = queue.pop()
+        for c in np.flatnonzero(tight[r]):
+            c = int(c)
+            if c in seen or (c != free and row_of[c] <= row):
+                continue
+            seen.add(c)
+            via[c] = r
+            if c == free:
+                out = column_of.copy()
+                while True:
+                    r = via[c]
+                    c, out[r] = int(column_of[r]), c
+                    if r == holder:
+                        out[row] = to
+                        return out
+            queue.append(int(row_of[c]))
+    return None
+
+
 def best_assignment(score: np.ndarray) -> list[int]:
-    """Columns of distinct assignment with the largest sum, one for each row; the first in lexicographic order among equals. Rows <= columns."""
+    """Columns of distinct assignment with the largest sum, one for each row; the first in lexicographic order among equals. Rows <= columns, of any number."""
     n, m = score.shape
     if n > m:
         raise ValueError("more rows than columns")
-    if m > EXACT:
-        return greedy_assignment(score)
-    # best[mask]: largest sum of the last rows over the columns outside mask.
-    best: dict[tuple[int, int], float] = {}
-
-    def tail(row: int, mask: int) -> float:
-        if row == n:
-            return 0.0
-        if (row, mask) not in best:
-            best[row, mask] = max(score[row, c] + tail(row + 1, mask | 1 << c) for c in range(m) if not mask >> c & 1)
-        return best[row, mask]
-
-    out, mask = [], 0
+    cost = np.zeros((m, m))  # rows that are not there cost nothing
+    cost[:n] = -score
+    column_of, u, v = _shortest_paths(cost)
+    # Every best assignment uses only edges without reduced cost.
+    tight = cost - u[:, None] - v <= TIE * max(1.0, float(np.abs(score).max(initial=0.0)))
     for row in range(n):
-        want = tail(row, mask)
-        c = next(c for c in range(m) if not mask >> c & 1 and score[row, c] + tail(row + 1, mask | 1 << c) >= want - 1e-12)
-        out.append(c)
-        mask |= 1 << c
-    return out
+        for to in np.flatnonzero(tight[row]):
+            if to == column_of[row]:
+                break
+            changed = _another_way(tight, column_of, row, int(to))
+            if changed is not None:
+                column_of = changed
+                break
+    return [int(c) for c in column_of[:n]]
 
 
 def greedy_assignment(score: np.ndarray) -> list[int]:
