@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..plans.scan import change_numbers
 from . import summaries as S
 
 
@@ -52,11 +53,15 @@ def representative(sizes: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def run_boundaries(labels: DataFrame, order: str, value: str, within: str) -> DataFrame:
-    """within, run, value, first, last, n: stretches of equal values along an order, as axis bands."""
-    w = W.partitionBy(within).orderBy(order)
-    new = labels.withColumn("_new", F.when(F.col(value).eqNullSafe(F.lag(value).over(w)), 0).otherwise(1))
-    run = new.withColumn("run", F.sum("_new").over(w))
-    return run.groupBy(within, "run", value).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("n"))
+    """within, run (from 1 in each), value, first, last, n: stretches of equal values along an order, as axis bands.
+
+    A prefix scan, so one ``within`` may have all rows. Rows are in the order of (within, order, value).
+    """
+    numbered = change_numbers(labels.select(within, order, value), [within, order, value], [within, value], name="_run")
+    runs = numbered.groupBy(within, "_run", value).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("n"))
+    first = runs.groupBy(F.col(within).alias("_within")).agg(F.min("_run").alias("_first"))
+    both = runs.join(first, runs[within].eqNullSafe(first["_within"]))
+    return both.select(within, (F.col("_run") - F.col("_first") + 1).alias("run"), value, "first", "last", "n")
 
 
 def competing_diagnostics(scores: DataFrame, members: DataFrame, truth: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.arrays import EPS, share_over, support_label, x_log_x
+from .quantiles import with_quantiles
 
 #: Ties go to the lowest index.
 _best = lambda value, key: F.max_by(key, F.struct(F.col(value), F.negative(F.col(key))))
@@ -35,7 +36,8 @@ def ranked_effects(sizes: DataFrame) -> DataFrame:
 
 def effect_rank_summary(sizes: DataFrame) -> DataFrame:
     r = ranked_effects(sizes)
-    return r.groupBy("rank").agg(F.avg("size").alias("mean_size"), F.expr("percentile(size, 0.5)").alias("median_size"), F.avg("entropy").alias("mean_entropy"), F.avg("top_gamma").alias("mean_top_gamma"))
+    means = r.groupBy("rank").agg(F.avg("size").alias("mean_size"), F.avg("entropy").alias("mean_entropy"), F.avg("top_gamma").alias("mean_top_gamma"))
+    return with_quantiles(means, r, "size", {"median_size": 0.5}, ["rank"]).select("rank", "mean_size", "median_size", "mean_entropy", "mean_top_gamma")
 
 
 def extra_mass(sizes: DataFrame, truth: DataFrame) -> DataFrame:
@@ -46,8 +48,8 @@ def extra_mass(sizes: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def extra_mass_summary(extra: DataFrame, by: str | None = None) -> DataFrame:
-    stats = [F.avg("extra").alias("mean"), F.expr("percentile(extra, 0.5)").alias("median"), F.expr("percentile(extra, 0.9)").alias("q90")]
-    return extra.groupBy(by).agg(*stats) if by else extra.agg(*stats)
+    mean = F.avg("extra").alias("mean")
+    return with_quantiles(extra.groupBy(by).agg(mean) if by else extra.agg(mean), extra, "extra", {"median": 0.5, "q90": 0.9}, [by] if by else None)
 
 
 def normalized_entropy(scores: DataFrame, value: str = "score") -> DataFrame:
@@ -245,8 +247,8 @@ def max_responsibility(omega: DataFrame) -> DataFrame:
 
 
 def summarize_values(df: DataFrame, value: str, by: str) -> DataFrame:
-    q = lambda p, n: F.expr(f"percentile({value}, {p})").alias(n)
-    return df.groupBy(by).agg(F.avg(value).alias("mean"), F.when(F.count(value) >= 2, F.stddev_samp(value)).alias("sd"), q(0.5, "median"), q(0.25, "q25"), q(0.75, "q75"), F.max(value).alias("max"))
+    stats = df.groupBy(by).agg(F.avg(value).alias("mean"), F.when(F.count(value) >= 2, F.stddev_samp(value)).alias("sd"), F.max(value).alias("max"))
+    return with_quantiles(stats, df, value, {"median": 0.5, "q25": 0.25, "q75": 0.75}, [by]).select(by, "mean", "sd", "median", "q25", "q75", "max")
 
 
 METRICS = ("cluster_accuracy", "support_accuracy", "mean_factor_cosine", "min_factor_cosine", "mean_max_responsibility", "mean_gamma_entropy")
