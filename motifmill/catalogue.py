@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .functions import arrays as A
 from .functions import special as X
-from .operators import figures, fits, matching
+from .operators import blocked, figures, fits, matching
 from .operators import longform as L
 from .operators import summaries as S
 from .plans import benchmark, studies
@@ -179,7 +179,7 @@ def on_posterior(name: str, sql: str | None = None, tail: str = ""):
 
 
 def _cells(c: C.Counts) -> DataFrame:
-    return c.counts.join(F.broadcast(c.features), "m").select("i", F.col("m").cast("long").alias("m"), "name", "y")
+    return c.counts.join(c.features, "m").select("i", F.col("m").cast("long").alias("m"), "name", "y")
 
 
 query("counts_customer_brand", "select o_custkey as i, dense_rank() over (order by p_brand) as m, p_brand as name, count(*)::double as y from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey group by o_custkey, p_brand")(lambda s, d: _cells(C.customer_by(s, d, "p_brand")))
@@ -191,9 +191,12 @@ TOKENS = "tok as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+'
 
 @query("counts_doc_token_topv", f"with {TOKENS} select doc_id as i, dense_rank() over (order by token) as m, token as name, count(*)::double as y from tok where token in (select token from top) group by doc_id, token")
 def counts_doc_token(spark, sf_dir):
+    """Texts are read once: the cells of all tokens are written, the vocabulary and the counts come from them."""
     t = C.tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    top = F.broadcast(C.top_features(t, "doc_id", "token", 200))
-    return _cells(C.counts_from(t.join(top, t.token == top.name, "left_semi"), "doc_id", "token", features=top))
+    cells, _ = write(t.where("doc_id is not null").groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n")), "token-cells")
+    seen = cells.groupBy(F.col("token").alias("name")).agg(F.count(F.lit(1)).alias("docs"))
+    top, _ = write(seen.orderBy(F.desc("docs"), "name").limit(200).select("name"), "vocabulary")
+    return _cells(C.counts_from(cells.join(top, cells.token == top.name, "left_semi"), "doc_id", "token", "n", features=top))
 
 
 on_posterior("row_totals", "select i, total from samples")(lambda p: C.row_totals(p.counts.counts))
@@ -561,6 +564,41 @@ def mf_susie_t1(spark, sf_dir):
     return x.select(*longs(x, "k", "m"), *r6("f"))
 
 
+# The same by blocks of eight features: factors and sums over features stay tables.
+
+BLOCKED = {"size": 8, "pieces": 2000}
+
+
+def _block_factors(spark: SparkSession, M: int):
+    return blocked.factors_by(spark, M, K, BLOCKED["size"], lambda m: fits.hashed_factors(m, K))
+
+
+def _f6(x: DataFrame) -> DataFrame:
+    return x.select(*longs(x, "k", "m"), *r6("f"))
+
+
+query("nmf_T2_blocks", ORACLES["nmf_T2"])(lambda s, d: _f6(blocked.poisson_nmf(C.customer_by(s, d, "p_brand"), K, 2, **BLOCKED).factors_df()))
+
+
+@query("mf_susie_T1_blocks", ORACLES["mf_susie_T1"])
+def mf_susie_t1_blocks(spark, sf_dir):
+    c = C.customer_by(spark, sf_dir, "p_brand")
+    return _f6(blocked.mf_susie(c, K, D, 1, init="given", factors=_block_factors(spark, c.n_features()), given=_hashed, gamma_step_init=0.5, F_step_init=0.3, **BLOCKED).factors_df())
+
+
+@query("soft_mixture_T1_blocks", ORACLES["soft_mixture_T1"])
+def soft_mixture_t1_blocks(spark, sf_dir):
+    c, _, g = hashed_state(spark, sf_dir)
+    x = blocked.soft_mixture_fixed(c, _block_factors(spark, c.n_features()), g, max_iters=1, n_inner=1, update_F=True, **BLOCKED).motifs_df()
+    return x.select(*longs(x, "s", "d", "k"), *r6("p"))
+
+
+@query("hard_mixture_T1_blocks", ORACLES["hard_mixture_T1"])
+def hard_mixture_t1_blocks(spark, sf_dir):
+    c = C.customer_by(spark, sf_dir, "p_brand")
+    return _f6(blocked.hard_mixture_fixed(c, _block_factors(spark, c.n_features()), np.array([[1, 2], [2, 3], [3, 1]]), max_iters=1, n_inner=2, update_F=True, F_step_init=0.2, F_step_ramp=20, **BLOCKED).factors_df())
+
+
 query("damping_schedule", "select it, round(least(1.0, 0.1 + 0.9 * (it - 1) / 49), 6) as step from (select unnest(range(1, 61)) as it)")(lambda s, d: s.createDataFrame([(t, damping(0.1, 50, t)) for t in range(1, 61)], "it long, step double").select("it", *r6("step")))
 
 

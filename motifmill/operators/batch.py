@@ -144,27 +144,36 @@ def merge_equal(gamma: np.ndarray, tol: float, closest: bool = False) -> np.ndar
             return g
 
 
+def effect_counts(b: Batch, e: Effects, log_f: np.ndarray, d: int) -> np.ndarray:
+    """What effect d gets from each sample's cells, n x (1 + K): its counts, and the same times each factor's log. Adds up over parts of the features."""
+    got = effect_shares(b, e, log_f)[0][:, d] * b.y
+    return np.column_stack([b.by_row(got), b.by_row(got[:, None] * log_f[:, b.m].T)])
+
+
+def effect_update(e: Effects, d: int, counts: np.ndarray, f_sum: np.ndarray, rho: float, update_prior: bool, rate_first: bool = False) -> None:
+    """Effect d of all samples in place, from effect_counts of all features."""
+    a = counts[:, 0] + e.alpha0[:, d]
+    e.alpha[:, d] = a[:, None]
+    e.rate[:, d] = e.rate0[:, d, None] + f_sum
+    score = counts[:, 1:] - a[:, None] * np.log(e.rate[:, d])
+    e.gamma[:, d] = (1 - rho) * e.gamma[:, d] + rho * softmax(score)
+    if update_prior:
+        mean = (e.gamma[:, d] * e.alpha[:, d] / e.rate[:, d]).sum(1)
+        mean_log = (e.gamma[:, d] * (np_digamma(e.alpha[:, d]) - np.log(e.rate[:, d]))).sum(1)
+        if rate_first:
+            e.rate0[:, d] = e.alpha0[:, d] / mean
+        e.alpha0[:, d] = np_inv_digamma(mean_log + np.log(e.rate0[:, d]))
+        if not rate_first:
+            e.rate0[:, d] = e.alpha0[:, d] / mean
+
+
 def effects_sweep(b: Batch, e: Effects, log_f: np.ndarray, f_sum: np.ndarray, rho: float, update_prior: bool, merge_tol: float | None = None, closest: bool = False, rate_first: bool = False) -> None:
     """One pass over the effects in place, each with freshly shared counts."""
     D = e.gamma.shape[1]
     if merge_tol is not None and D > 1:
         e.gamma = merge_equal(e.gamma, merge_tol, closest)
     for d in range(D):
-        xi, _ = effect_shares(b, e, log_f)
-        got = xi[:, d] * b.y
-        a = b.by_row(got) + e.alpha0[:, d]
-        e.alpha[:, d] = a[:, None]
-        e.rate[:, d] = e.rate0[:, d, None] + f_sum
-        score = b.by_row(got[:, None] * log_f[:, b.m].T) - a[:, None] * np.log(e.rate[:, d])
-        e.gamma[:, d] = (1 - rho) * e.gamma[:, d] + rho * softmax(score)
-        if update_prior:
-            mean = (e.gamma[:, d] * e.alpha[:, d] / e.rate[:, d]).sum(1)
-            mean_log = (e.gamma[:, d] * (np_digamma(e.alpha[:, d]) - np.log(e.rate[:, d]))).sum(1)
-            if rate_first:
-                e.rate0[:, d] = e.alpha0[:, d] / mean
-            e.alpha0[:, d] = np_inv_digamma(mean_log + np.log(e.rate0[:, d]))
-            if not rate_first:
-                e.rate0[:, d] = e.alpha0[:, d] / mean
+        effect_update(e, d, effect_counts(b, e, log_f, d), f_sum, rho, update_prior, rate_first)
 
 
 def effects_factor_stats(b: Batch, e: Effects, log_f: np.ndarray) -> np.ndarray:
@@ -174,18 +183,26 @@ def effects_factor_stats(b: Batch, e: Effects, log_f: np.ndarray) -> np.ndarray:
     return b.by_feature(weight, log_f.shape[1])
 
 
-def effects_bound(b: Batch, e: Effects, log_f: np.ndarray, f_sum: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Evidence bound of each sample, and the part of it that is minus the KL terms."""
-    K = e.gamma.shape[2]
+def effects_cells(b: Batch, e: Effects, log_f: np.ndarray) -> np.ndarray:
+    """The bound's part that comes from each sample's cells; adds up over parts of the features."""
     xi, elf = effect_shares(b, e, log_f)
     got = xi * b.y[:, None]
-    cells = (got * (elf + e.expected_log()[b.row])).sum(1) - (xlogx(xi) * b.y[:, None]).sum(1)
-    fit = b.by_row(cells) - (e.gamma * e.alpha / e.rate * f_sum).sum((1, 2))
+    return b.by_row((got * (elf + e.expected_log()[b.row])).sum(1) - (xlogx(xi) * b.y[:, None]).sum(1))
+
+
+def effects_bound_of(cells: np.ndarray, e: Effects, f_sum: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Evidence bound of each sample from effects_cells of all features, and the part of it that is minus the KL terms."""
+    K = e.gamma.shape[2]
+    fit = cells - (e.gamma * e.alpha / e.rate * f_sum).sum((1, 2))
     kl = xlogx(e.gamma).sum((1, 2)) + e.gamma.shape[1] * np.log(K)
     kl = kl + (e.gamma * gamma_kl(e.alpha, e.rate, e.alpha0[:, :, None], e.rate0[:, :, None])).sum((1, 2))
     return fit - kl, -kl
 
 
+def effects_bound(b: Batch, e: Effects, log_f: np.ndarray, f_sum: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return effects_bound_of(effects_cells(b, e, log_f), e, f_sum)
+
+
 # Mixtures of motifs. A component's factors are log_g (S x D x M), its exposure f (S x D).
 
 
@@ -214,14 +231,22 @@ def slot_counts(b: Batch, alpha: np.ndarray, p: Motifs, s: int) -> np.ndarray:
     return b.by_row(slot_shares(b, alpha, p, s)[0] * b.y[:, None])
 
 
-def slot_bound(b: Batch, xi: np.ndarray, elf: np.ndarray, mean_log: np.ndarray, alpha: np.ndarray, p: Motifs, s: int) -> np.ndarray:
-    got = xi * b.y[:, None]
-    cells = (got * elf).sum(1) - (b.y[:, None] * xi * np.log(np.maximum(xi, EPS))).sum(1)
+def slot_cells(b: Batch, xi: np.ndarray, elf: np.ndarray) -> np.ndarray:
+    """The bound's part that comes from each sample's cells, but for the expected log loadings; adds up over parts of the features."""
+    return b.by_row((xi * b.y[:, None] * elf).sum(1) - (b.y[:, None] * xi * np.log(np.maximum(xi, EPS))).sum(1))
+
+
+def slot_bound_of(cells: np.ndarray, got: np.ndarray, alpha: np.ndarray, p: Motifs, s: int) -> np.ndarray:
+    """Bound of each sample under component s from its cells' part and its counts by slot, of all features."""
     rate = p.rate[s]
-    out = b.by_row(cells) + (mean_log * b.by_row(got)).sum(1)
+    out = cells + ((np_digamma(alpha) - np.log(rate)) * got).sum(1)
     return out - (alpha / rate * p.scale[s] * p.exposure[s]).sum(1) - gamma_kl(alpha, rate, p.alpha0[s], p.rate0[s]).sum(1)
 
 
+def slot_bound(b: Batch, xi: np.ndarray, elf: np.ndarray, alpha: np.ndarray, p: Motifs, s: int) -> np.ndarray:
+    return slot_bound_of(slot_cells(b, xi, elf), b.by_row(xi * b.y[:, None]), alpha, p, s)
+
+
 def soft_components(b: Batch, alpha: np.ndarray, p: Motifs, inner: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """alpha (n x S x D) after inner + 1 rounds from the given one, each component's bound, and its shares."""
     S = len(p.alpha0)
@@ -230,8 +255,8 @@ def soft_components(b: Batch, alpha: np.ndarray, p: Motifs, inner: int) -> tuple
     for s in range(S):
         for _ in range(inner + 1):
             alpha[:, s] = p.alpha0[s] + slot_counts(b, alpha[:, s], p, s)
-        xi, elf, mean_log = slot_shares(b, alpha[:, s], p, s)
-        bound[:, s] = slot_bound(b, xi, elf, mean_log, alpha[:, s], p, s)
+        xi, elf, _ = slot_shares(b, alpha[:, s], p, s)
+        bound[:, s] = slot_bound(b, xi, elf, alpha[:, s], p, s)
         shares.append(xi)
     return alpha, bound, shares
 
@@ -249,7 +274,7 @@ def hard_components(b: Batch, p: Motifs, inner: int) -> tuple[np.ndarray, np.nda
             xi, elf, _ = slot_shares(b, a, p, s)
             a = p.alpha0[s] + b.by_row(xi * b.y[:, None])
         alpha[:, s] = a
-        bound[:, s] = slot_bound(b, xi, elf, np_digamma(a) - np.log(p.rate[s]), a, p, s)
+        bound[:, s] = slot_bound(b, xi, elf, a, p, s)
         shares.append(xi)
     return alpha, bound, shares
 

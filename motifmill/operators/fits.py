@@ -1,7 +1,7 @@
 """The model ladder: Poisson NMF, sum-of-single-effects Poisson factors, hard and soft mixtures of motifs.
 
-Global state (factors, motifs, priors) is small and lives on the driver; each sample's state lives next to its counts in written rows.
-An outer iteration is one pass over them.
+Motifs and priors are small and live on the driver, and so do factors of up to DRIVER_BYTES; each sample's state lives next to its counts in written
+rows, and an outer iteration is one pass over them. With more features the same updates run by blocks of features (blocked.py).
 """
 
 from __future__ import annotations
@@ -22,6 +22,13 @@ from . import batch as B
 from .cluster import motifs_from_scores
 
 EPS = B.EPS
+#: Bytes of a vector over all features that the driver and each task may hold.
+DRIVER_BYTES = 64 << 20
+
+
+def too_wide(counts: Counts, rows: int) -> bool:
+    """Whether sums of so many values a feature have to stay a table."""
+    return counts.n_features() * rows * 8 > DRIVER_BYTES
 
 
 def _long(spark: SparkSession, x: np.ndarray, names: tuple[str, ...], value: str) -> DataFrame:
@@ -62,10 +69,19 @@ class NMFFit(Fit):
         return unpack(self.samples, K, cells, "i long, k int, l double")
 
 
+def hashed_factors(m: np.ndarray, K: int) -> np.ndarray:
+    """K x len(m), not normalised: by integer arithmetic from the features' 1-based numbers, which SQL can repeat."""
+    return 1.0 + (np.arange(1, K + 1)[:, None] * 7919 + m[None] * 104729) % 1009
+
+
+def seeded_factors(m: np.ndarray, K: int, seed: int) -> np.ndarray:
+    """K x len(m) draws keyed by (seed, feature)."""
+    return exponential(seed + 11, m.astype(np.int64), K).T
+
+
 def hashed_init(K: int, M: int) -> tuple[np.ndarray, Callable]:
     """The integer-arithmetic start that SQL can repeat: factors, and loadings from ids and totals."""
-    k, m = np.arange(1, K + 1)[:, None], np.arange(1, M + 1)[None]
-    f = 1.0 + (k * 7919 + m * 104729) % 1009
+    f = hashed_factors(np.arange(1, M + 1), K)
 
     def loadings(ids: np.ndarray, total: np.ndarray) -> np.ndarray:
         w = 1.0 + (np.arange(1, K + 1) * 15485863 + ids[:, None] * 32452843) % 1013
@@ -75,7 +91,7 @@ def hashed_init(K: int, M: int) -> tuple[np.ndarray, Callable]:
 
 
 def seeded_init(K: int, M: int, seed: int) -> tuple[np.ndarray, Callable]:
-    f = normalize_rows(np.random.default_rng([seed, 11]).gamma(1.0, 1.0, (K, M)), EPS)
+    f = normalize_rows(seeded_factors(np.arange(1, M + 1), K, seed), EPS)
 
     def loadings(ids: np.ndarray, total: np.ndarray) -> np.ndarray:
         w = exponential(seed, ids, K)
@@ -86,6 +102,10 @@ def seeded_init(K: int, M: int, seed: int) -> tuple[np.ndarray, Callable]:
 
 def poisson_nmf(counts: Counts, K: int, max_iters: int = 200, seed: int | None = None) -> NMFFit:
     """KL-NMF by multiplicative updates from a seeded start, or from the hashed one without a seed. elbo has minus the deviance part of each iteration."""
+    if too_wide(counts, K):
+        from . import blocked
+
+        return blocked.poisson_nmf(counts, K, max_iters, seed)
     M = counts.n_features()
     F, start = hashed_init(K, M) if seed is None else seeded_init(K, M, seed)
     rows: DataFrame = counts.packed()
@@ -243,6 +263,11 @@ def mf_susie(counts: Counts, K: int, D: int, max_iters: int = 100, update_prior:
     The bound of an iteration needs its new factors, so the next pass computes it before anything else; a fit that stops there
     keeps the rows that pass started from.
     """
+    if factors is None and too_wide(counts, K):
+        from . import blocked
+
+        options = {k: v for k, v in locals().items() if k not in ("counts", "K", "D", "blocked", "factors", "given")}
+        return blocked.mf_susie(counts, K, D, **options)
     if init not in ("poisson_nmf", "random", "given"):
         raise ValueError("init must be poisson_nmf, random or given")
     if (init == "given") != (factors is not None) or (factors is None) != (given is None):
@@ -386,14 +411,23 @@ def prior_step(stats: dict[str, np.ndarray], alpha0: np.ndarray, rate0: np.ndarr
 
 
 def gamma_step(F: np.ndarray, gamma: np.ndarray, stats: dict[str, np.ndarray], scale: np.ndarray, rho: np.ndarray, step: float) -> np.ndarray:
-    log_f = np.log(np.maximum(F, EPS))
-    score = stats["C"] @ log_f.T - (scale * stats["mean"])[:, :, None] * F.sum(1) + np.log(np.maximum(rho, EPS))
+    return gamma_from(stats["C"] @ np.log(np.maximum(F, EPS)).T, F.sum(1), gamma, stats, scale, rho, step)
+
+
+def gamma_from(fit: np.ndarray, f_sum: np.ndarray, gamma: np.ndarray, stats: dict[str, np.ndarray], scale: np.ndarray, rho: np.ndarray, step: float) -> np.ndarray:
+    """fit: expected counts times log factors, S x D x K."""
+    score = fit - (scale * stats["mean"])[:, :, None] * f_sum + np.log(np.maximum(rho, EPS))
     return normalize_gamma((1 - step) * gamma + step * B.softmax(score))
 
 
 def scale_step(F: np.ndarray, gamma: np.ndarray, stats: dict[str, np.ndarray], scale: np.ndarray, step: float, low: float, high: float) -> np.ndarray:
-    exposure = stats["mean"] * (gamma @ F.sum(1))
-    new = (1 - step) * scale + step * stats["C"].sum(2) / np.maximum(exposure, EPS)
+    return scale_from(stats["C"].sum(2), F.sum(1), gamma, stats, scale, step, low, high)
+
+
+def scale_from(counts: np.ndarray, f_sum: np.ndarray, gamma: np.ndarray, stats: dict[str, np.ndarray], scale: np.ndarray, step: float, low: float, high: float) -> np.ndarray:
+    """counts: expected counts of each slot, S x D."""
+    exposure = stats["mean"] * (gamma @ f_sum)
+    new = (1 - step) * scale + step * counts / np.maximum(exposure, EPS)
     new = new / np.maximum(new.mean(1, keepdims=True), EPS)
     return np.clip(new, low, high)
 
@@ -485,11 +519,15 @@ def soft_mixture_fixed(counts: Counts | DataFrame, factors: np.ndarray, gamma: n
 
 def soft_mixture(counts: Counts, K: int, S: int, D: int, max_iters: int = 50, n_inner: int = 5, mf_max_iters: int = 60, mf_nmf_iters: int = 100, seed: int | None = None, gamma_init_floor: float = 0.05, motif_min_share: float = 0.10, surplus_slots: str = "repeat", update_F: bool = True, **options) -> MixtureFit:
     """The whole ladder: effects fit, clustered loading scores, peaked motifs, then the soft mixture."""
+    from . import blocked
+
+    wide = too_wide(counts, max(K, S * D))
     if surplus_slots not in ("repeat", "uniform"):
         raise ValueError("surplus_slots must be repeat or uniform")
-    mf = mf_susie(counts, K, D, mf_max_iters, seed=seed, nmf_iters=mf_nmf_iters, elbo_every=5, tol=5e-4, min_iters=15, patience=2)
+    mf = (blocked.mf_susie if wide else mf_susie)(counts, K, D, mf_max_iters, seed=seed, nmf_iters=mf_nmf_iters, elbo_every=5, tol=5e-4, min_iters=15, patience=2)
     motifs = motifs_from_scores(mf.scores(), S, D, 0 if seed is None else seed, motif_min_share)
-    fit = soft_mixture_fixed(counts, mf.factors, peaked_gamma(motifs, K, gamma_init_floor, surplus_slots), max_iters, n_inner, update_F=update_F, **options)
+    mix, factors = (blocked.soft_mixture_fixed, mf.blocks) if wide else (soft_mixture_fixed, mf.factors)
+    fit = mix(counts, factors, peaked_gamma(motifs, K, gamma_init_floor, surplus_slots), max_iters, n_inner, update_F=update_F, **options)
     fit.mf_fit = mf
     return fit
 
@@ -575,8 +613,12 @@ def hard_mixture_fixed(counts: Counts, factors: np.ndarray, motifs: np.ndarray,
 
 
 def hard_mixture(counts: Counts, K: int, S: int, D: int, max_iters: int = 50, n_inner: int = 8, mf_max_iters: int = 60, mf_nmf_iters: int = 100, seed: int | None = None, motif_min_share: float = 0.10, update_F: bool = True, update_motifs: bool = True, F_step_init: float = 0.2, F_step_ramp: int = 20, **options) -> MixtureFit:
-    mf = mf_susie(counts, K, D, mf_max_iters, seed=seed, nmf_iters=mf_nmf_iters, elbo_every=5, tol=5e-4, min_iters=15, patience=2)
+    from . import blocked
+
+    wide = too_wide(counts, max(K, S * D))
+    mf = (blocked.mf_susie if wide else mf_susie)(counts, K, D, mf_max_iters, seed=seed, nmf_iters=mf_nmf_iters, elbo_every=5, tol=5e-4, min_iters=15, patience=2)
     motifs = motifs_from_scores(mf.scores(), S, D, 0 if seed is None else seed, motif_min_share)
-    fit = hard_mixture_fixed(counts, mf.factors, motifs, max_iters, n_inner, update_F=update_F, update_motifs=update_motifs, motif_min_share=motif_min_share, F_step_init=F_step_init, F_step_ramp=F_step_ramp, **options)
+    mix, factors = (blocked.hard_mixture_fixed, mf.blocks) if wide else (hard_mixture_fixed, mf.factors)
+    fit = mix(counts, factors, motifs, max_iters, n_inner, update_F=update_F, update_motifs=update_motifs, motif_min_share=motif_min_share, F_step_init=F_step_init, F_step_ramp=F_step_ramp, **options)
     fit.mf_fit = mf
     return fit

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..plans.scan import row_numbers
 from ..plans.written import write
 
-#: Features that the driver and each executor may hold; wider matrices have to be pruned first (top_features).
-MAX_FEATURES = 1_000_000
+#: Names that one task puts in order; more are put in order by ranges.
+ONE_TASK = 1_000_000
 
 
 @dataclass
@@ -21,7 +22,7 @@ class Counts:
     samples: DataFrame  # i, total
 
     def packed(self) -> DataFrame:
-        """i, mi, y, total: one row for each sample, those without counts too. A row has a cell for each feature at most (MAX_FEATURES)."""
+        """i, mi, y, total: one row for each sample, those without counts too. A row has a cell for each feature of the sample; plans/blocks.py cuts them."""
         pairs = self.counts.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("m", "y"))).alias("c"))
         rows = self.samples.select("i", "total").join(pairs, "i", "left")
         return rows.select("i", F.coalesce("c.m", F.array().cast("array<int>")).alias("mi"), F.coalesce("c.y", F.array().cast("array<double>")).alias("y"), "total")
@@ -31,15 +32,17 @@ class Counts:
 
 
 def ranked_features(names: DataFrame) -> DataFrame:
-    """m (1-based rank of the name), name. The dimension is small by contract (MAX_FEATURES), so one ordered window ranks it."""
-    return names.select("name").distinct().select(F.row_number().over(W.orderBy("name")).alias("m"), "name")
+    """m (1-based rank of the name), name, of distinct names, whatever their number."""
+    if names.limit(ONE_TASK + 1).count() <= ONE_TASK:
+        return names.select(F.row_number().over(W.orderBy("name")).alias("m"), "name")
+    return row_numbers(names.select("name"), "name", name="m").select(F.col("m").cast("int").alias("m"), "name")
 
 
 def counts_from(df: DataFrame, sample: str | Column, feature: str | Column, value: str | Column | None = None, features: DataFrame | None = None, samples: DataFrame | None = None) -> Counts:
     """Count rows (or sum a value) by sample and feature. ``features`` (name) and ``samples`` (i) add members without counts.
 
     Rows with a null sample or feature are left out; sums that are not positive are not cells. The cells and the features' names are written once,
-    as fits and summaries read them again and again; more than MAX_FEATURES names are an error.
+    as fits and summaries read them again and again.
     """
     s = F.col(sample) if isinstance(sample, str) else sample
     f = F.col(feature) if isinstance(feature, str) else feature
@@ -47,10 +50,8 @@ def counts_from(df: DataFrame, sample: str | Column, feature: str | Column, valu
     cells = df.select(s.cast("long").alias("i"), f.alias("name"), y.alias("y")).where("i is not null and name is not null")
     cells, _ = write(cells.groupBy("i", "name").agg(F.sum("y").alias("y")).where("y > 0"), "cells")
     names, _ = write((cells if features is None else features).select("name").distinct(), "names")
-    if (n := names.count()) > MAX_FEATURES:
-        raise ValueError(f"{n} features, {MAX_FEATURES} at most: prune them first (top_features)")
     dim = ranked_features(names)
-    counts = cells.join(F.broadcast(dim), "name").select("i", "m", "y")
+    counts = cells.join(dim, "name").select("i", "m", "y")
     totals = cells.groupBy("i").agg(F.sum("y").alias("total"))
     if samples is not None:
         totals = samples.select(F.col("i").cast("long").alias("i")).distinct().join(totals, "i", "left").select("i", F.coalesce("total", F.lit(0.0)).alias("total"))

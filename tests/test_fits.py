@@ -190,13 +190,26 @@ def test_given_start_needs_factors_and_effects(spark):
         fits.mf_susie(sim.counts, 5, 2, 1, factors=sim.factors)
 
 
-def test_counts_are_read_once_and_bounded(spark, monkeypatch):
-    """The plan of packed counts has no join or aggregate of the source; too many features are an error."""
+def test_counts_are_read_once_and_numbered_by_ranges(spark, monkeypatch):
+    """The plan of packed counts has no join or aggregate of the source; many names are put in order by ranges."""
     from motifmill.sources import counts as C
 
     df = spark.createDataFrame([(i, f"f{m}") for i in range(5) for m in range(7)], "i long, f string")
     c = C.counts_from(df, "i", "f")
     assert "Scan ExistingRDD" not in c.packed()._jdf.queryExecution().executedPlan().toString()
-    monkeypatch.setattr(C, "MAX_FEATURES", 6)
-    with pytest.raises(ValueError, match="7 features"):
-        C.counts_from(df, "i", "f")
+    monkeypatch.setattr(C, "ONE_TASK", 6)
+    many = C.counts_from(df, "i", "f")
+    assert sorted(map(tuple, many.features.collect())) == sorted(map(tuple, c.features.collect())) == [(m + 1, f"f{m}") for m in range(7)]
+    assert many.features.dtypes == c.features.dtypes
+
+
+def test_wide_counts_go_by_blocks(spark, monkeypatch):
+    """The same fits, whatever the way."""
+    sim = simulate.block(spark, 24, 12, 3)
+    narrow = [fits.soft_mixture(sim.counts, 3, 2, 2, 1, 1, mf_max_iters=1, mf_nmf_iters=1, seed=1), fits.hard_mixture(sim.counts, 3, 2, 2, 1, 1, mf_max_iters=1, mf_nmf_iters=1, seed=1)]
+    monkeypatch.setattr(fits, "DRIVER_BYTES", 1)
+    wide = [fits.soft_mixture(sim.counts, 3, 2, 2, 1, 1, mf_max_iters=1, mf_nmf_iters=1, seed=1), fits.hard_mixture(sim.counts, 3, 2, 2, 1, 1, mf_max_iters=1, mf_nmf_iters=1, seed=1)]
+    for a, b in zip(narrow, wide, strict=True):
+        assert type(b).__name__ == "BlockMixture" and b.gamma == pytest.approx(a.gamma, rel=1e-6) and b.pi == pytest.approx(a.pi, rel=1e-6)
+        f = b.factors_df().toPandas().sort_values(["k", "m"]).f.to_numpy().reshape(3, -1)
+        assert f == pytest.approx(a.factors, rel=1e-6)
