@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .functions import arrays as A
 from .functions import special as X
-from .operators import blocked, figures, fits, matching
+from .operators import blocked, cluster, figures, fits, matching
 from .operators import longform as L
 from .operators import summaries as S
 from .plans import benchmark, studies
@@ -346,6 +346,34 @@ def gamma_cavi_step(p: Posterior) -> DataFrame:
 
 on_posterior("merge_symmetry_pairs", "select i, d1, d2 from (select a.i, a.d as d1, b.d as d2, sqrt(sum((a.p - b.p) ** 2)) as dist from effects a join effects b on a.i = b.i and a.k = b.k and a.d < b.d group by all) where dist < 0.2 and i not in (select i from effects group by i, d having sqrt(sum((p - 1.0/3) ** 2)) <= 0.2)")(lambda p: (x := L.merge_pairs(p.effects, K, 0.2)).select("i", *longs(x, "d1", "d2")))
 
+#: Four effects, of which those with slots of one parity are alike.
+D4, TOL = 4, 0.2
+ALIKE = f""", e4 as (select i, d, k, w / sum(w) over (partition by i, d) as p from (select i, d, k, (1 + (i * 11 + (d % 2) * 19 + k * 37) % 83 + (d // 2) * ((i + k) % 7)) ::double as w from samples, (select unnest(range(1, {D4 + 1})) as d), ks)),
+g4 as (select i, list(p order by k) as v, d from e4 group by i, d),
+s0 as (select i, list(v order by d) as g, list(list_distance(v, [1/3, 1/3, 1/3]) > {TOL} order by d) as active, 0 as t from g4 group by i)"""
+_uniform, _mean = "[1/3, 1/3, 1/3]", "list_transform(range(1, 4), lambda j: (g[{0}][j] + g[{1}][j]) / 2)"
+_contract = lambda keep, free: f"case when hit then list_transform(g, lambda v, d: case when d = {keep} then {_mean.format(keep, free)} when d = {free} then {_uniform} else v end) else g end, case when hit then list_transform(active, lambda x, d: x and d <> {free}) else active end"
+BY_SLOT = ALIKE + f""", steps as (select row_number() over (order by pass, a, b) - 1 as t, a, b from (select unnest(range({D4})) as pass), (select unnest(range(1, 5)) as a), (select unnest(range(1, 5)) as b) where a < b),
+run as (select * from s0 union all select i, {_contract("a", "b")}, t + 1 from (select r.*, a, b, active[a] and active[b] and list_distance(g[a], g[b]) < {TOL} as hit from run r join steps using (t)))
+"""
+CLOSEST = ALIKE + f""", run as (select * from s0 union all select i, {_contract("b", "a")}, t + 1 from (select *, m.a as a, m.b as b, m.gap < {TOL} as hit from (
+  select *, list_min(list_transform([[1, 2], [1, 3], [1, 4], [2, 3], [2, 4], [3, 4]], lambda p: {{'gap': case when active[p[1]] and active[p[2]] then list_distance(g[p[1]], g[p[2]]) else 'inf'::double end, 'a': p[1], 'b': p[2]}})) as m from run where t < {D4})))
+"""
+MERGED = "select i, d, k, round(g[d][k], 6) + 0.0 as p from (select i, g from run qualify t = max(t) over ()), (select unnest(range(1, 5)) as d), ks"
+
+
+def _merged(p: Posterior, closest: bool) -> DataFrame:
+    i, d, k = (F.col(x).cast("long") for x in "idk")
+    w = 1 + (i * 11 + (d % 2) * 19 + k * 37) % 83 + F.floor(d / 2) * ((i + k) % 7)
+    alike = _weight(grid(p.counts.samples.select("i"), d=D4, k=K), ["i", "d"], w, "p")
+    x = L.merged(alike, K, D4, TOL, closest)
+    return x.select("i", *longs(x, "d", "k"), *r6("p"))
+
+
+RECURSIVE = PRELUDE.replace("with cells", "with recursive cells")
+query("merge_by_slot", RECURSIVE + BY_SLOT + MERGED)(lambda s, d: _merged(posterior(s, d), False))
+query("merge_closest_first", RECURSIVE + CLOSEST + MERGED)(lambda s, d: _merged(posterior(s, d), True))
+
 # Fits.
 
 NMF = """,
@@ -865,13 +893,28 @@ def summarize_values(spark, sf_dir):
     return S.summarize_values(table(spark, sf_dir, "customer"), "c_acctbal", "c_mktsegment").select("c_mktsegment", *r6("mean", "sd", "median", "q25", "q75", digits=4), "max")
 
 
+def _packed_scores(p: Posterior) -> DataFrame:
+    return S.loading_scores(p.effects).groupBy("i").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "score"))), lambda x: x["score"]).alias("scores"))
+
+
 @query("kmeans_clusters")
 def kmeans_clusters(spark, sf_dir):
-    from .operators.cluster import kmeans
-
-    p = posterior(spark, sf_dir)
-    packed = S.loading_scores(p.effects).groupBy("i").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "score"))), lambda x: x["score"]).alias("scores"))
-    return kmeans(packed, S_, 1)[1]
+    return cluster.kmeans(_packed_scores(posterior(spark, sf_dir)), S_, 1)[1]
+
+
+@on_posterior("kmeans_step", SCORES + """,
+sh as (select i, k, greatest(score, 1e-12) / sum(greatest(score, 1e-12)) over (partition by i) as x from scores),
+c0 as (select s, k, w / sum(w) over (partition by s) as c from (select s, k, (1 + (s * 31 + k * 17) % 23)::double as w from ss, ks)),
+z as (select i, arg_min(s, (round(d, 12), s)) as s from (select i, s, sum((x - c) ** 2) as d from sh join c0 using (k) group by all) group by i)
+select s, k, round(avg(x), 6) + 0.0 as c, count(*) as n from sh join z using (i) group by all""")
+def kmeans_step(p: Posterior) -> DataFrame:
+    """Assignment to given centres, and the clusters' means."""
+    w = 1.0 + (np.arange(1, S_ + 1)[:, None] * 31 + np.arange(1, K + 1) * 17) % 23
+    centers = (w / w.sum(1, keepdims=True))[None]
+    ship(p.truth.sparkSession)
+    total = cluster.Rows(_packed_scores(p)).sums(centers)
+    rows = [(s + 1, k + 1, float(v), int(total[0, s, -2])) for (s, k), v in np.ndenumerate(cluster.moved(total, centers)[0]) if total[0, s, -2]]
+    return p.truth.sparkSession.createDataFrame(rows, "s long, k long, c double, n long").select("s", "k", *r6("c"), "n")
 
 
 @query("benchmark_one_seed")

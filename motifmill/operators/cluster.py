@@ -1,4 +1,8 @@
-"""k-means on normalised loading scores, with farthest-point starts and seeded restarts; distributed assignment steps."""
+"""k-means on normalised loading scores, one way at every size.
+
+Each start draws candidates in a few rounds over all rows, several at once and far rows first (k-means||); the candidates, weighted by the rows
+nearest to them, are clustered at the driver, and Lloyd steps over all rows follow. All starts share every pass.
+"""
 
 from __future__ import annotations
 
@@ -8,15 +12,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..plans.ship import ship
 from ..plans.written import write
 
 EPS = 1e-12
 STARTS = 20
+#: Rounds of candidates, and candidates of a round for each cluster.
+ROUNDS = 5
+OVERSAMPLING = 2
+#: Lloyd steps that all starts get; the best one goes on to STEPS.
+TRIAL_STEPS = 10
 STEPS = 50
-#: Up to so many rows the passes run at the driver; the algorithm and its bounds are the same beyond.
-DRIVER_ROWS = 20_000
+#: A centre that moves less stands still.
+STILL = 1e-12
 
 
 def normalized(x: np.ndarray) -> np.ndarray:
@@ -42,18 +52,15 @@ def _uniform(i: np.ndarray, seed: int, start: int, centre: int) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
 
 
-def _candidates(i: np.ndarray, x: np.ndarray, centers: np.ndarray, seed: int) -> list[tuple[float, int, np.ndarray]]:
-    """For each start the row of the next centre: key (the largest wins), -id, row. Start 0 takes the farthest row, the others draw by squared distance."""
+def _drawn(i: np.ndarray, x: np.ndarray, centers: list[np.ndarray], n: int, seed: int) -> list[tuple[int, float, int, np.ndarray]]:
+    """(start, key, id, row) of the n rows of each start with the largest keys: draws without replacement by squared distance to its centres."""
     out = []
     for r, c in enumerate(centers):
         d = assign(x, c)[1] if len(c) else np.ones(len(x))
-        if r == 0 and len(c):
-            key = d
-        else:
-            key = np.full(len(x), -np.inf)
-            np.divide(np.log(_uniform(i, seed, r, len(c))), d, out=key, where=d > 0)
-        k = np.lexsort((i, -key))[0]
-        out.append((float(key[k]), -int(i[k]), x[k]))
+        key = np.full(len(x), -np.inf)
+        np.divide(np.log(_uniform(i, seed, r, len(c))), d, out=key, where=d > 0)
+        best = np.lexsort((i, -key))[:n]
+        out += [(r, float(key[k]), int(i[k]), x[k]) for k in best if key[k] > -np.inf]
     return out
 
 
@@ -67,37 +74,36 @@ def _sums(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return total
 
 
-class _Local:
-    def __init__(self, scores: DataFrame):
-        rows = scores.orderBy("i").toPandas()
-        self.i, self.x = rows.i.to_numpy(np.int64), normalized(np.stack(rows.scores.to_numpy()))
-
-    def candidates(self, centers: np.ndarray, seed: int) -> np.ndarray:
-        return np.stack([x for _, _, x in _candidates(self.i, self.x, centers, seed)])
-
-    def sums(self, centers: np.ndarray) -> np.ndarray:
-        return _sums(self.x, centers)
-
-
-class _Spread:
-    """The same passes over all rows where they are; a task returns a row for each start, or its sums."""
+class Rows:
+    """Passes over packed rows (i, scores) where they are; a task returns a few rows of each start, or its sums."""
 
     def __init__(self, scores: DataFrame):
         self.scores = scores
 
-    def candidates(self, centers: np.ndarray, seed: int) -> np.ndarray:
+    def draw(self, centers: list[np.ndarray], n: int, seed: int) -> list[np.ndarray]:
+        """n new candidates of each start, fewer if no more rows lie apart from its centres. n rows a start come to the driver."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = None
+            best: list[tuple] = []
             for i, x in _blocks(batches):
-                got = _candidates(i, x, centers, seed)
-                best = got if best is None else [max(p, q, key=lambda t: t[:2]) for p, q in zip(best, got, strict=True)]
-            if best is not None:
-                key, back, rows = zip(*best, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(best)), pa.int64()), pa.array(key), pa.array(back, pa.int64()), pa.array([x.tolist() for x in rows])], names=["r", "key", "back", "x"])
-
-        got = self.scores.mapInArrow(run, "r long, key double, back long, x array<double>")
-        rows = got.groupBy("r").agg(F.max(F.struct("key", "back", "x")).alias("m")).orderBy("r").select("m.x").collect()
-        return np.array([r.x for r in rows])
+                best = sorted([*best, *_drawn(i, x, centers, n, seed)], key=lambda t: (t[0], -t[1], t[2]))
+                kept, count = [], dict.fromkeys(range(len(centers)), 0)
+                for t in best:
+                    count[t[0]] += 1
+                    if count[t[0]] <= n:
+                        kept.append(t)
+                best = kept
+            if best:
+                r, key, ids, rows = zip(*best, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(key), pa.array(ids, pa.int64()), pa.array([x.tolist() for x in rows])], names=["r", "key", "i", "x"])
+
+        got = self.scores.mapInArrow(run, "r long, key double, i long, x array<double>")
+        first = got.withColumn("nth", F.row_number().over(W.partitionBy("r").orderBy(F.desc("key"), "i"))).where(F.col("nth") <= n)  # n rows of each task and start
+        out: list[list] = [[] for _ in centers]
+        for row in first.orderBy("r", "nth").collect():
+            out[row.r].append(row.x)
+        K = next((len(x) for rows in out for x in rows), 0)
+        return [np.array(rows).reshape(len(rows), K) for rows in out]
 
     def sums(self, centers: np.ndarray) -> np.ndarray:
         R, S, K = centers.shape
@@ -120,37 +126,74 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
             yield b["i"].to_numpy(zero_copy_only=False).astype(np.int64), normalized(np.array(b["scores"].to_pylist()))
 
 
-def lloyd(rows: _Local | _Spread, S: int, seed: int, starts: int = STARTS, steps: int = STEPS) -> np.ndarray:
-    """Centres with the smallest within sum of squares; an empty cluster keeps its centre. All starts share each pass over the rows."""
-    centers = rows.candidates(np.zeros((starts, 0, 0)), seed)[:, None]
-    while centers.shape[1] < S:
-        centers = np.concatenate([centers, rows.candidates(centers, seed)[:, None]], 1)
-    moving = np.arange(starts)
-    for _ in range(steps):
-        total = rows.sums(centers[moving])
-        n = total[:, :, -2:-1]
-        new = np.where(n > 0, total[:, :, :-2] / np.maximum(n, 1), centers[moving])
-        moved = np.abs(new - centers[moving]).max((1, 2)) > 1e-12
-        centers[moving] = new
-        moving = moving[moved]
-        if not len(moving):
-            break
+def moved(total: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Means of the clusters; an empty one keeps its centre."""
+    n = total[..., -2:-1]
+    return np.where(n > 0, total[..., :-2] / np.maximum(n, 1), centers)
+
+
+def reclustered(x: np.ndarray, weight: np.ndarray, S: int, rng: np.random.Generator, tries: int = 5) -> np.ndarray:
+    """S centres of weighted candidates: seeded by weighted squared distance, then weighted Lloyd steps; the best of a few tries. S times ROUNDS times OVERSAMPLING rows."""
     best, least = None, np.inf
-    for c, within in zip(centers, rows.sums(centers)[:, :, -1].sum(1), strict=True):
+    for _ in range(tries):
+        c = x[[rng.choice(len(x), p=weight / weight.sum())]]
+        while len(c) < S:
+            far = weight * assign(x, c)[1]
+            at = rng.choice(len(x), p=far / far.sum()) if far.sum() > 0 else len(c) % len(x)
+            c = np.vstack([c, x[at]])
+        for _ in range(STEPS):
+            z, _ = assign(x, c)
+            mass = np.bincount(z, weight, S)[:, None]
+            new = np.where(mass > 0, np.stack([np.bincount(z, weight * x[:, k], S) for k in range(x.shape[1])], 1) / np.maximum(mass, EPS), c)
+            if np.abs(new - c).max() <= STILL:
+                break
+            c = new
+        within = float((weight * assign(x, c)[1]).sum())
         if within < least - 1e-12:
             best, least = c, within
     return best
 
 
+def starts_of(rows: Rows, S: int, seed: int, starts: int) -> np.ndarray:
+    """starts x S x K centres."""
+    found = rows.draw([np.zeros((0, 0))] * starts, 1, seed)
+    for _ in range(ROUNDS):
+        more = rows.draw(found, OVERSAMPLING * S, seed)
+        found = [np.vstack([a, b]) if len(b) else a for a, b in zip(found, more, strict=True)]
+    most = max(map(len, found))
+    # Candidates repeated to one length: the first of equal ones gets all rows, the others none.
+    padded = np.stack([np.vstack([c, np.repeat(c[:1], most - len(c), 0)]) for c in found])
+    weight = rows.sums(padded)[:, :, -2]
+    return np.stack([reclustered(c, w, S, np.random.default_rng([seed, r])) for r, (c, w) in enumerate(zip(padded, weight, strict=True))])
+
+
+def lloyd(rows: Rows, S: int, seed: int, starts: int = STARTS, steps: int = STEPS) -> np.ndarray:
+    """Centres with the smallest within sum of squares after TRIAL_STEPS, moved on until they stand still (``steps`` in all). All starts share each pass over the rows."""
+    centers = starts_of(rows, S, seed, starts)
+    for _ in range(min(TRIAL_STEPS, steps)):
+        new = moved(rows.sums(centers), centers)
+        still = np.abs(new - centers).max() <= STILL
+        centers = new
+        if still:
+            break
+    best, least = 0, np.inf
+    for r, within in enumerate(rows.sums(centers)[:, :, -1].sum(1)):
+        if within < least - 1e-12:
+            best, least = r, within
+    one = centers[best : best + 1]
+    for _ in range(steps - TRIAL_STEPS):
+        new = moved(rows.sums(one), one)
+        if np.abs(new - one).max() <= STILL:
+            break
+        one = new
+    return one[0]
+
+
 def kmeans(scores: DataFrame, S: int, seed: int = 0, steps: int = STEPS) -> tuple[np.ndarray, DataFrame]:
-    """Centres and (i, z 1-based) of packed scores (i, scores). Every start and step is over all rows, at any size."""
+    """Centres and (i, z 1-based) of packed scores (i, scores). Every start and step is over all rows."""
     ship(scores.sparkSession)
-    if scores.count() <= DRIVER_ROWS:
-        rows = _Local(scores)
-    else:
-        scores, _ = write(scores.select("i", "scores"), "kmeans-scores")
-        rows = _Spread(scores)
-    centers = lloyd(rows, S, seed, steps=steps)
+    scores, _ = write(scores.select("i", "scores"), "kmeans-scores")
+    centers = lloyd(Rows(scores), S, seed, steps=steps)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

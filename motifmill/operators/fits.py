@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.special import np_gamma_shape
+from ..plans.journal import Journal, restore
 from ..plans.schedule import Stopper, damping
 from ..plans.sweep import Passed, exponential, sweep, unpack
 from ..sources.counts import Counts
@@ -26,6 +27,10 @@ EPS = B.EPS
 DRIVER_BYTES = 64 << 20
 
 
+def _going_on(saved: tuple) -> Passed:
+    return Passed(saved[2], saved[3], np.zeros(0))
+
+
 def too_wide(counts: Counts, rows: int) -> bool:
     """Whether sums of so many values a feature have to stay a table."""
     return counts.n_features() * rows * 8 > DRIVER_BYTES
@@ -100,8 +105,11 @@ def seeded_init(K: int, M: int, seed: int) -> tuple[np.ndarray, Callable]:
     return f, loadings
 
 
-def poisson_nmf(counts: Counts, K: int, max_iters: int = 200, seed: int | None = None) -> NMFFit:
-    """KL-NMF by multiplicative updates from a seeded start, or from the hashed one without a seed. elbo has minus the deviance part of each iteration."""
+def poisson_nmf(counts: Counts, K: int, max_iters: int = 200, seed: int | None = None, resume: str | None = None) -> NMFFit:
+    """KL-NMF by multiplicative updates from a seeded start, or from the hashed one without a seed. elbo has minus the deviance part of each iteration.
+
+    ``resume``, here and in the other fits: a name under which passes are logged; a fit of that name goes on from its last one.
+    """
     if too_wide(counts, K):
         from . import blocked
 
@@ -111,8 +119,12 @@ def poisson_nmf(counts: Counts, K: int, max_iters: int = 200, seed: int | None =
     rows: DataFrame = counts.packed()
     scale = np.ones(K)
     last: Passed | None = None
-    history = []
-    for it in range(1, max_iters + 1):
+    history, begun = [], 0
+    log = Journal(counts.counts.sparkSession, resume, fit="nmf", K=K, M=M, seed=seed)
+    if saved := log.last():
+        begun, last = saved[0], _going_on(saved)
+        F, scale, history, rows = saved[1]["F"], saved[1]["scale"], restore(Stopper(None, 0, 0), saved[1]), last.samples()
+    for it in range(begun + 1, max_iters + 1):
 
         def step(ids, b, L, F=F, scale=scale):
             L = start(ids, b.total) if L is None else L * scale
@@ -121,16 +133,17 @@ def poisson_nmf(counts: Counts, K: int, max_iters: int = 200, seed: int | None =
             return L, np.concatenate([A.ravel(), total, [dev]])
 
         now = sweep(rows, step, None if last is None else K, K * M + K + 1)
-        if last is not None:
-            last.drop()
-        last, rows = now, now.samples()
         A, total = now.sums[: K * M].reshape(K, M), now.sums[K * M : -1]
         history.append((it, -now.sums[-1]))
         F = np.maximum(F * A / total[:, None], EPS)
         scale = F.sum(1)
         F = F / scale[:, None]
+        log.save(it, now.path, history=history, F=F, scale=scale)
+        if last is not None:
+            last.drop()
+        last, rows = now, now.samples()
     final = sweep(rows, lambda ids, b, L: ((start(ids, b.total) if L is None else L * scale), np.zeros(1)), None if last is None else K, 1)
-    if last is not None:
+    if last is not None and not resume:
         last.drop()
     return NMFFit(counts.counts.sparkSession, F, final.samples(), K, history, False, max_iters)
 
@@ -257,7 +270,7 @@ def mf_susie_fixed(counts: Counts, factors: np.ndarray, D: int, max_iters: int =
     return EffectsFit(counts.counts.sparkSession, F, done.samples(), B.Effects.width(D, K), history, converged, n_iter, D)
 
 
-def mf_susie(counts: Counts, K: int, D: int, max_iters: int = 100, update_prior: bool = True, break_symmetry: bool = False, tol_dist_sim: float = 1e-4, seed: int | None = None, prior_shape: float = 1.0, prior_rate: float = 1.0, init: str = "poisson_nmf", nmf_iters: int = 200, init_gamma_from_nmf: bool = True, gamma_init_floor: float = 1e-4, gamma_step_init: float = 0.1, gamma_step_ramp: int = 50, F_step_init: float = 0.05, F_step_ramp: int = 75, F_pseudocount: float = TINY, elbo_every: int = 1, tol: float | None = None, min_iters: int = 10, patience: int = 3, update_F: bool = True, factors: np.ndarray | None = None, given: Callable[[np.ndarray], B.Effects] | None = None) -> EffectsFit:
+def mf_susie(counts: Counts, K: int, D: int, max_iters: int = 100, update_prior: bool = True, break_symmetry: bool = False, tol_dist_sim: float = 1e-4, seed: int | None = None, prior_shape: float = 1.0, prior_rate: float = 1.0, init: str = "poisson_nmf", nmf_iters: int = 200, init_gamma_from_nmf: bool = True, gamma_init_floor: float = 1e-4, gamma_step_init: float = 0.1, gamma_step_ramp: int = 50, F_step_init: float = 0.05, F_step_ramp: int = 75, F_pseudocount: float = TINY, elbo_every: int = 1, tol: float | None = None, min_iters: int = 10, patience: int = 3, update_F: bool = True, factors: np.ndarray | None = None, given: Callable[[np.ndarray], B.Effects] | None = None, resume: str | None = None) -> EffectsFit:
     """Factors learned with the effects. ``init``: "poisson_nmf", "random" (which also draws the effects) or "given" (factors, and effects by ids).
 
     The bound of an iteration needs its new factors, so the next pass computes it before anything else; a fit that stops there
@@ -266,7 +279,7 @@ def mf_susie(counts: Counts, K: int, D: int, max_iters: int = 100, update_prior:
     if factors is None and too_wide(counts, K):
         from . import blocked
 
-        options = {k: v for k, v in locals().items() if k not in ("counts", "K", "D", "blocked", "factors", "given")}
+        options = {k: v for k, v in locals().items() if k not in ("counts", "K", "D", "blocked", "factors", "given", "resume")}
         return blocked.mf_susie(counts, K, D, **options)
     if init not in ("poisson_nmf", "random", "given"):
         raise ValueError("init must be poisson_nmf, random or given")
@@ -276,8 +289,12 @@ def mf_susie(counts: Counts, K: int, D: int, max_iters: int = 100, update_prior:
     spark = counts.counts.sparkSession
     s = 0 if seed is None else seed
     width = B.Effects.width(D, K)
-    if init == "poisson_nmf":
-        nmf = poisson_nmf(counts, K, nmf_iters, seed)
+    log = Journal(spark, resume, fit="effects", K=K, D=D, M=M, seed=seed, init=init)
+    saved = log.last()
+    if saved:
+        F, rows, before = saved[1]["F"], _going_on(saved).samples(), width
+    elif init == "poisson_nmf":
+        nmf = poisson_nmf(counts, K, nmf_iters, seed, resume and f"{resume}/nmf")
         F, rows, before = normalize_rows(nmf.factors), nmf.samples, K
     elif init == "given":
         F, rows, before = normalize_rows(factors), counts.packed(), None
@@ -289,7 +306,10 @@ def mf_susie(counts: Counts, K: int, D: int, max_iters: int = 100, update_prior:
     stop, history = Stopper(tol, min_iters, patience), []
     n_iter, converged = max_iters, False
     evaluated = lambda t: t == 1 or t == max_iters or t % max(elbo_every, 1) == 0
-    for it in range(1, max_iters + 2):
+    begun = 0
+    if saved:
+        begun, last, history = saved[0], _going_on(saved), restore(stop, saved[1])
+    for it in range(begun + 1, max_iters + 2):
         log_f, f_sum, rho = np.log(F), F.sum(1), damping(gamma_step_init, gamma_step_ramp, it)
         bound_due, ends = it > 1 and evaluated(it - 1), it > max_iters
 
@@ -314,12 +334,14 @@ def mf_susie(counts: Counts, K: int, D: int, max_iters: int = 100, update_prior:
                 converged, n_iter = True, it - 1
                 now.drop()
                 break
-        if last is not None:
-            last.drop()
-        last, rows = now, now.samples()
         if update_F and not ends:
             rho_f = damping(F_step_init, F_step_ramp, it)
             F = normalize_rows((1 - rho_f) * F + rho_f * normalize_rows(now.sums[:-1].reshape(K, M) + F_pseudocount))
+        if not ends:
+            log.save(it, now.path, stop, history, F=F)
+        if last is not None and not (ends and resume):
+            last.drop()
+        last, rows = now, now.samples()
     return EffectsFit(spark, F, rows, width, history, converged, n_iter, D)
 
 
@@ -459,7 +481,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x / x.sum()
 
 
-def soft_mixture_fixed(counts: Counts | DataFrame, factors: np.ndarray, gamma: np.ndarray, max_iters: int = 50, n_inner: int = 5, update_prior: bool = True, prior_shape: float = 1.0, prior_rate: float = 1.0, pi_init: np.ndarray | None = None, rho_prior: np.ndarray | None = None, tol: float | None = 1e-5, min_iters: int = 5, patience: int = 3, update_F: bool = False, update_gamma: bool = True, update_slot_scale: bool = False, slot_scale_init: np.ndarray | None = None, slot_scale_step_init: float = 0.2, slot_scale_step_ramp: int = 10, min_slot_scale: float = 1e-3, max_slot_scale: float = 1e3, gamma_step_init: float = 0.5, gamma_step_ramp: int = 10, F_step_init: float = 0.2, F_step_ramp: int = 20, F_pseudocount: float = TINY, omega_init: Callable | None = None) -> MixtureFit:
+def soft_mixture_fixed(counts: Counts | DataFrame, factors: np.ndarray, gamma: np.ndarray, max_iters: int = 50, n_inner: int = 5, update_prior: bool = True, prior_shape: float = 1.0, prior_rate: float = 1.0, pi_init: np.ndarray | None = None, rho_prior: np.ndarray | None = None, tol: float | None = 1e-5, min_iters: int = 5, patience: int = 3, update_F: bool = False, update_gamma: bool = True, update_slot_scale: bool = False, slot_scale_init: np.ndarray | None = None, slot_scale_step_init: float = 0.2, slot_scale_step_ramp: int = 10, min_slot_scale: float = 1e-3, max_slot_scale: float = 1e3, gamma_step_init: float = 0.5, gamma_step_ramp: int = 10, F_step_init: float = 0.2, F_step_ramp: int = 20, F_pseudocount: float = TINY, omega_init: Callable | None = None, resume: str | None = None) -> MixtureFit:
     """Soft motifs from given factors and gamma (S x D x K). Both component fits of an iteration, before and after the responsibilities, are one pass."""
     samples = counts.packed() if isinstance(counts, Counts) else counts
     F, gamma = normalize_rows(factors, EPS), normalize_gamma(gamma)
@@ -486,13 +508,16 @@ def soft_mixture_fixed(counts: Counts | DataFrame, factors: np.ndarray, gamma: n
     n = samples.count()
     rows, last = samples, None
     stop, history, gammas = Stopper(tol, min_iters, patience), [], []
-    n_iter, converged = max_iters, False
-    for it in range(1, max_iters + 1):
+    n_iter, converged, begun = max_iters, False, 0
+    log = Journal(samples.sparkSession, resume, fit="soft", S=S, D=D, K=K, M=M, n=n, n_inner=n_inner)
+    if saved := log.last():
+        v = saved[1]
+        begun, last, history, gammas, converged = saved[0], _going_on(saved), restore(stop, v), list(v["gammas"]), bool(v["converged"])
+        F, gamma, alpha0, rate0, scale, pi, rows = v["F"], v["gammas"][-1], v["alpha0"], v["rate0"], v["scale"], v["pi"], last.samples()
+        n_iter = begun if converged else max_iters
+    for it in range(begun + 1, 0 if converged else max_iters + 1):
         p = _soft_params(F, gamma, alpha0, rate0, scale)
         now = sweep(rows, one(p, pi, it == 1, n_inner, True), None if it == 1 else width, size)
-        if last is not None:
-            last.drop()
-        last, rows = now, now.samples()
         stats, log_z = _stats(now.sums, S, D, M)
         pi = _mix(stats["weight"] / n)
         if update_prior:
@@ -505,12 +530,17 @@ def soft_mixture_fixed(counts: Counts | DataFrame, factors: np.ndarray, gamma: n
             F = factor_step(F, np.einsum("sdk,sdm->km", gamma, stats["C"]), damping(F_step_init, F_step_ramp, it), F_pseudocount)
         history.append((it, log_z - gamma_kl(gamma, rho)))
         gammas.append(gamma)
-        if stop(it, history[-1][1]):
-            converged, n_iter = True, it
+        converged = stop(it, history[-1][1])
+        log.save(it, now.path, stop, history, F=F, gammas=np.stack(gammas), alpha0=alpha0, rate0=rate0, scale=scale, pi=pi, converged=converged)
+        if last is not None:
+            last.drop()
+        last, rows = now, now.samples()
+        if converged:
+            n_iter = it
             break
     p = _soft_params(F, gamma, alpha0, rate0, scale)
     final = sweep(rows, one(p, pi, last is None, n_inner, False), None if last is None else width, size)
-    if last is not None:
+    if last is not None and not resume:
         last.drop()
     stats, _ = _stats(final.sums, S, D, M)
     spark = samples.sparkSession
@@ -559,7 +589,7 @@ def recycled(share: np.ndarray, D: int, min_share: float) -> np.ndarray:
     return np.resize(active, D) + 1
 
 
-def hard_mixture_fixed(counts: Counts, factors: np.ndarray, motifs: np.ndarray, max_iters: int = 50, n_inner: int = 8, update_prior: bool = True, prior_shape: float = 1.0, prior_rate: float = 1.0, pi_init: np.ndarray | None = None, tol: float | None = 1e-5, min_iters: int = 5, patience: int = 3, update_F: bool = False, update_motifs: bool = False, motif_update_every: int = 1, motif_min_share: float = 0.10, motif_loading_iters: int = 50, F_step_init: float = 1.0, F_step_ramp: int = 1, F_pseudocount: float = TINY) -> MixtureFit:
+def hard_mixture_fixed(counts: Counts, factors: np.ndarray, motifs: np.ndarray, max_iters: int = 50, n_inner: int = 8, update_prior: bool = True, prior_shape: float = 1.0, prior_rate: float = 1.0, pi_init: np.ndarray | None = None, tol: float | None = 1e-5, min_iters: int = 5, patience: int = 3, update_F: bool = False, update_motifs: bool = False, motif_update_every: int = 1, motif_min_share: float = 0.10, motif_loading_iters: int = 50, F_step_init: float = 1.0, F_step_ramp: int = 1, F_pseudocount: float = TINY, resume: str | None = None) -> MixtureFit:
     """Hard motifs (S x D, 1-based) from given factors. Each iteration starts every sample's effects from the prior."""
     F, motifs = normalize_rows(factors, EPS), np.asarray(motifs)
     (S, D), (K, M) = motifs.shape, F.shape
@@ -581,12 +611,15 @@ def hard_mixture_fixed(counts: Counts, factors: np.ndarray, motifs: np.ndarray,
 
     last: Passed | None = None
     stop, history, seen = Stopper(tol, min_iters, patience), [], []
-    n_iter, converged = max_iters, False
-    for it in range(1, max_iters + 1):
+    n_iter, converged, begun = max_iters, False, 0
+    log = Journal(counts.counts.sparkSession, resume, fit="hard", S=S, D=D, K=K, M=M, n=n, n_inner=n_inner)
+    if saved := log.last():
+        v = saved[1]
+        begun, last, history, seen, converged = saved[0], _going_on(saved), restore(stop, v), list(v["seen"]), bool(v["converged"])
+        F, motifs, alpha0, rate0, pi, rows = v["F"], v["seen"][-1], v["alpha0"], v["rate0"], v["pi"], last.samples()
+        n_iter = begun if converged else max_iters
+    for it in range(begun + 1, 0 if converged else max_iters + 1):
         now = through(_hard_params(F, motifs, alpha0, rate0), pi, None if last is None else width, rows)
-        if last is not None:
-            last.drop()
-        last, rows = now, now.samples()
         stats, log_z = _stats(now.sums, S, D, M)
         pi = _mix(stats["weight"] / n)
         if update_prior:
@@ -599,12 +632,17 @@ def hard_mixture_fixed(counts: Counts, factors: np.ndarray, motifs: np.ndarray,
         if update_motifs and it % motif_update_every == 0:
             motifs = motif_step(F, motifs, stats["C"].sum(1), motif_min_share, motif_loading_iters)
         seen.append(motifs)
-        if stop(it, log_z):
-            converged, n_iter = True, it
+        converged = stop(it, log_z)
+        log.save(it, now.path, stop, history, F=F, seen=np.stack(seen), alpha0=alpha0, rate0=rate0, pi=pi, converged=converged)
+        if last is not None:
+            last.drop()
+        last, rows = now, now.samples()
+        if converged:
+            n_iter = it
             break
     p = _hard_params(F, motifs, alpha0, rate0)
     final = through(p, pi, None if last is None else width, rows)
-    if last is not None:
+    if last is not None and not resume:
         last.drop()
     stats, _ = _stats(final.sums, S, D, M)
     hard = np.zeros((S, D, K))

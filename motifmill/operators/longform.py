@@ -169,3 +169,41 @@ def merge_pairs(effects: DataFrame, K: int, tol: float) -> DataFrame:
     return a.join(b, "i").where("d1 < d2").where(near < tol).select("i", "d1", "d2")
 
 
+
+
+def merged(effects: DataFrame, K: int, D: int, tol: float, closest: bool = False) -> DataFrame:
+    """i, d, k, p: effects of a sample whose distributions are nearer than tol become one, again and again until none are.
+
+    Effects that start out within tol of uniform take no part. By slots, pairs go in their order, the mean goes to the first slot, and passes repeat (every
+    pass but the last frees a slot, so D of them are enough); closest first, one pair at a time, and the mean goes to the later slot. The freed
+    slot becomes uniform. A fold over each sample's own D x K numbers.
+    """
+    rows = effects.groupBy("i").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "k", "p"))), lambda x: x["p"]).alias("flat"))
+    g = F.transform(F.sequence(F.lit(0), F.lit(D - 1)), lambda d: F.slice("flat", d * K + 1, F.lit(K)))
+    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    distance = lambda a, b: length(F.zip_with(a, b, lambda x, y: x - y))
+    uniform = F.transform(F.sequence(F.lit(1), F.lit(K)), lambda _: F.lit(1.0 / K))
+    rows = rows.select("i", g.alias("g")).withColumn("s", F.struct("g", F.transform("g", lambda v: distance(v, uniform) > tol).alias("active")))
+
+    def joined(s: Column, keep: Column, free: Column, when: Column) -> Column:
+        """State with slots keep and free (from 0) merged if ``when``."""
+        mean = F.zip_with(F.get(s["g"], keep), F.get(s["g"], free), lambda x, y: (x + y) / 2)
+        new_g = F.transform(s["g"], lambda v, d: F.when(d == keep, mean).when(d == free, uniform).otherwise(v))
+        new_active = F.transform(s["active"], lambda a, d: a & (d != free))
+        return F.when(when, F.struct(new_g.alias("g"), new_active.alias("active"))).otherwise(s)
+
+    pairs = [(a, b) for a in range(D) for b in range(a + 1, D)]
+    pair = lambda a, b: F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"))
+    both_active = lambda s, p: F.get(s["active"], p["a"]) & F.get(s["active"], p["b"])
+    apart = lambda s, p: distance(F.get(s["g"], p["a"]), F.get(s["g"], p["b"]))
+    all_pairs = F.array(*(pair(a, b) for a, b in pairs))
+    if not closest:
+        steps = F.flatten(F.array_repeat(all_pairs, D))
+        state = F.aggregate(steps, F.col("s"), lambda s, p: joined(s, p["a"], p["b"], both_active(s, p) & (apart(s, p) < tol)))
+    else:
+        far = F.lit(float("inf"))
+        found = lambda s: F.array_min(F.transform(all_pairs, lambda p: F.struct(F.when(both_active(s, p), apart(s, p)).otherwise(far).alias("gap"), p["a"].alias("a"), p["b"].alias("b"))))
+        one = lambda s: F.element_at(F.transform(F.array(found(s)), lambda m: joined(s, m["b"], m["a"], m["gap"] < tol)), 1)
+        state = F.aggregate(F.sequence(F.lit(1), F.lit(D)), F.col("s"), lambda s, _: one(s))
+    out = rows.select("i", F.posexplode(state["g"]).alias("d", "v")).select("i", (F.col("d") + 1).alias("d"), F.posexplode("v").alias("k", "p"))
+    return out.select("i", "d", (F.col("k") + 1).alias("k"), "p")

@@ -35,8 +35,13 @@ def write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def drop(path: str) -> None:
-    spark = _made.pop(path)
+def keep(path: str) -> None:
+    """Leave a written table when this process ends."""
+    _made.pop(path, None)
+
+
+def drop(path: str, spark: SparkSession | None = None) -> None:
+    spark = _made.pop(path, None) or spark or SparkSession.getActiveSession()
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
