@@ -626,6 +626,82 @@ def hard_mixture_t1_blocks(spark, sf_dir):
     c = C.customer_by(spark, sf_dir, "p_brand")
     return _f6(blocked.hard_mixture_fixed(c, _block_factors(spark, c.n_features()), np.array([[1, 2], [2, 3], [3, 1]]), max_iters=1, n_inner=2, update_F=True, F_step_init=0.2, F_step_ramp=20, **BLOCKED).factors_df())
 
+# Several starts side by side.
+
+SHIFTS = (0, 311, 622)
+
+
+@query("nmf_three_starts", " union all ".join(f"(select {n} as start, * from ({PRELUDE.replace('m * 104729) % 1009', f'm * 104729 + {shift}) % 1009')}{NMF}select k, m, round(f, 6) + 0.0 as f from f1))" for n, shift in enumerate(SHIFTS, 1)))
+def nmf_three_starts(spark, sf_dir):
+    """Three fits in the passes of one."""
+    c = C.customer_by(spark, sf_dir, "p_brand")
+    out = None
+    for n, fit in enumerate(fits.poisson_nmf_many(c, K, 1, [fits.hashed_init(K, c.n_features(), shift) for shift in SHIFTS]), 1):
+        x = fit.factors_df()
+        x = x.select(F.lit(n).cast("long").alias("start"), *longs(x, "k", "m"), *r6("f"))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+# Summaries of motifs that a fit has learned from the table.
+
+LEARNED = PRELUDE + SOFT_T1.rsplit("\nselect ", 1)[0] + """,
+learned as (select s, d, k, greatest(q, 1e-12) / sum(greatest(q, 1e-12)) over (partition by s, d) as p from q),
+lent as (select s, d, sum(-p * ln(p)) / ln(3) as gamma_entropy, max(p) as top_gamma from learned group by all)
+"""
+
+
+def learned_fit(spark: SparkSession, sf_dir: str) -> fits.MixtureFit:
+    c, f, g = hashed_state(spark, sf_dir)
+    return fits.soft_mixture_fixed(c, f, g, max_iters=1, n_inner=1, update_F=True)
+
+
+def on_learned(name: str, sql: str):
+    return lambda f: query(name, LEARNED + sql)(lambda spark, sf_dir: f(learned_fit(spark, sf_dir).motifs_df()))
+
+
+on_learned("motif_entropy_learned", "select s, d, round(gamma_entropy, 6) + 0.0 as gamma_entropy, round(top_gamma, 6) + 0.0 as top_gamma from lent")(lambda m: (x := S.motif_entropy(m)).select(*longs(x, "s", "d"), *r6("gamma_entropy", "top_gamma")))
+on_learned("gamma_uncertainty_learned", "select round(avg(gamma_entropy), 6) + 0.0 as mean_gamma_entropy, round(max(gamma_entropy), 6) + 0.0 as max_gamma_entropy, round(avg(top_gamma), 6) + 0.0 as mean_top_gamma, round(min(top_gamma), 6) + 0.0 as min_top_gamma from lent")(lambda m: S.gamma_uncertainty(m).select(*r6("mean_gamma_entropy", "max_gamma_entropy", "mean_top_gamma", "min_top_gamma")))
+on_learned("top_two_gap_learned", "select s, d, t[1].k as top_factor, round(t[1].p, 6) + 0.0 as top_gamma, t[2].k as second_factor, round(t[2].p, 6) + 0.0 as second_gamma, round(t[1].p - t[2].p, 6) + 0.0 as gap from (select s, d, list({'k': k, 'p': p} order by p desc, k) as t from learned group by all)")(lambda m: (x := S.top_two(m)).select(*longs(x, "s", "d", "top_factor", "second_factor"), *r6("top_gamma", "second_gamma", "gap")))
+on_learned("pair_split_learned", "select s, d, round(p1 + p2, 6) + 0.0 as mass, round(2 * least(p1, p2) / (p1 + p2), 6) + 0.0 as split, round((p1 + p2) * 2 * least(p1, p2), 6) + 0.0 as targeted from (select s, d, sum(p) filter (k = 1) as p1, sum(p) filter (k = 2) as p2 from learned group by all)")(lambda m: (x := S.pair_split(m, 1, 2)).select(*longs(x, "s", "d"), *r6("mass", "split", "targeted")))
+# The bound of the first iteration: responsibilities' part at a uniform mixture, less the divergence of the motifs that follow from flat ones.
+query("soft_mixture_bound", LEARNED + f"""select round((select sum(z) from (select i, max(x) + ln(sum(exp(x - t))) as z from (select i, x, max(x) over (partition by i) as t from (select i, data - cost - ln({S_}) as x from b1 join b2 using (i, s))) group by i))
+  - (select sum(p * (ln(greatest(p, 1e-12)) - ln(1.0 / {K}))) from learned), 3) as elbo""")(lambda s, d: learned_fit(s, d).history_df().select(*r6("elbo", digits=3)))
+
+MOTIFS = RECURSIVE + MOTIF_STEP.rsplit("\nselect ", 1)[0] + f""",
+hm as (select s, d, ks[(d - 1) % least(len(ks), {D}) + 1]::bigint as k from act, ds)
+"""
+
+
+def on_motifs(name: str, sql: str):
+    return lambda f: query(name, MOTIFS + sql)(lambda spark, sf_dir: f(hard_motif_step(spark, sf_dir)))
+
+
+on_motifs("motif_table_learned", "select s, string_agg(distinct k::varchar, ',' order by k::varchar) as label from hm group by s")(lambda h: S.motif_table(h))
+on_motifs("translate_motifs_learned", "select s, d, case k when 1 then 3 when 2 then 1 else -1 end as k from hm")(lambda h: S.translate_motifs(h, h.sparkSession.createDataFrame([(1, 3), (2, 1), (3, None)], "k int, true_k int")).select("s", "d", F.coalesce("k", F.lit(-1)).cast("long").alias("k")))
+on_motifs("slot_changes_learned", "select count(*) filter (k <> (s + d - 2) % 3 + 1) as n_changed, count(*) as n from hm")(lambda h: S.slot_changes(h.withColumn("k", (F.col("s") + F.col("d") - 2) % 3 + 1), h))
+on_motifs("gamma_from_motifs", f"select s, d, ks.k, round(0.05 / {K} + case when hm.k = ks.k then 0.95 else 0 end, 6) as p from hm, ks")(lambda h: peaked_from(h))
+
+
+def peaked_from(hard: DataFrame) -> DataFrame:
+    motifs = np.zeros((S_, D), int)
+    for r in hard.collect():  # components times slots
+        motifs[r.s - 1, r.d - 1] = r.k
+    x = fits._long(hard.sparkSession, fits.peaked_gamma(motifs, K, 0.05), ("s", "d", "k"), "p")
+    return x.select(*longs(x, "s", "d", "k"), *r6("p"))
+
+
+def _bound_parts(j: int, shared: bool) -> tuple[str, str]:
+    """Tables of the bound at e{j}, under names of their own, and its value; shared: the next sweep has the shares already."""
+    tables, value = bound_sql(j, "f0").rsplit("\nselect ", 1)
+    for name in ("zb", "ze", "zk"):
+        tables, value = tables.replace(f"{name} as", f"{name}{j} as"), value.replace(f"from {name})", f"from {name}{j})")
+    return tables.removeprefix(shares_sql(j, "f0")) if shared else tables, value.removesuffix(" as elbo")
+
+
+_one, _two = _bound_parts(D, True), _bound_parts(2 * D, False)
+query("elbo_curve", PRELUDE + sweeps_sql([0.5, 0.75]) + _one[0] + _two[0] + f"\nselect 1::bigint as iter, {_one[1]} as elbo, null::double as gain union all select 2, {_two[1]}, round({_two[1]} - {_one[1]}, 1)")(lambda s, d: figures.elbo_curve(_fixed(s, d, 2).history_df()).select(F.col("iter").cast("long").alias("iter"), F.round("elbo", 2).alias("elbo"), F.round(F.col("gain"), 1).alias("gain")))
+
 
 query("damping_schedule", "select it, round(least(1.0, 0.1 + 0.9 * (it - 1) / 49), 6) as step from (select unnest(range(1, 61)) as it)")(lambda s, d: s.createDataFrame([(t, damping(0.1, 50, t)) for t in range(1, 61)], "it long, step double").select("it", *r6("step")))
 

@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as C
 
 from ..functions.special import np_gamma_shape
 from ..plans.journal import Journal, restore
@@ -74,9 +75,9 @@ class NMFFit(Fit):
         return unpack(self.samples, K, cells, "i long, k int, l double")
 
 
-def hashed_factors(m: np.ndarray, K: int) -> np.ndarray:
+def hashed_factors(m: np.ndarray, K: int, shift: int = 0) -> np.ndarray:
     """K x len(m), not normalised: by integer arithmetic from the features' 1-based numbers, which SQL can repeat."""
-    return 1.0 + (np.arange(1, K + 1)[:, None] * 7919 + m[None] * 104729) % 1009
+    return 1.0 + (np.arange(1, K + 1)[:, None] * 7919 + m[None] * 104729 + shift) % 1009
 
 
 def seeded_factors(m: np.ndarray, K: int, seed: int) -> np.ndarray:
@@ -84,9 +85,9 @@ def seeded_factors(m: np.ndarray, K: int, seed: int) -> np.ndarray:
     return exponential(seed + 11, m.astype(np.int64), K).T
 
 
-def hashed_init(K: int, M: int) -> tuple[np.ndarray, Callable]:
-    """The integer-arithmetic start that SQL can repeat: factors, and loadings from ids and totals."""
-    f = hashed_factors(np.arange(1, M + 1), K)
+def hashed_init(K: int, M: int, shift: int = 0) -> tuple[np.ndarray, Callable]:
+    """The integer-arithmetic start that SQL can repeat: factors, and loadings from ids and totals. shift gives others."""
+    f = hashed_factors(np.arange(1, M + 1), K, shift)
 
     def loadings(ids: np.ndarray, total: np.ndarray) -> np.ndarray:
         w = 1.0 + (np.arange(1, K + 1) * 15485863 + ids[:, None] * 32452843) % 1013
@@ -148,6 +149,54 @@ def poisson_nmf(counts: Counts, K: int, max_iters: int = 200, seed: int | None =
     return NMFFit(counts.counts.sparkSession, F, final.samples(), K, history, False, max_iters)
 
 
+def poisson_nmf_many(counts: Counts, K: int, max_iters: int, starts: list[tuple[np.ndarray, Callable]]) -> list[NMFFit]:
+    """One fit for each start (factors, and loadings by ids and totals), all in the passes of a single one: a row's state has the loadings of every fit."""
+    M, R = counts.n_features(), len(starts)
+    size = K * M + K + 1
+    if too_wide(counts, K * R):
+        raise ValueError("too many features for fits side by side: run them one by one")
+    Fs, scales = [f for f, _ in starts], [np.ones(K)] * R
+    rows: DataFrame = counts.packed()
+    last: Passed | None = None
+    history: list[list[tuple[int, float]]] = [[] for _ in starts]
+
+    def loads(ids, b, state, r, scale):
+        return starts[r][1](ids, b.total) if state is None else state[:, r * K : (r + 1) * K] * scale
+
+    for it in range(1, max_iters + 1):
+
+        def step(ids, b, state, Fs=Fs, scales=scales):
+            new, sums = [], []
+            for r in range(R):
+                L = B.nmf_loadings(b, loads(ids, b, state, r, scales[r]), Fs[r])
+                A, total, dev = B.nmf_factor_stats(b, L, Fs[r])
+                new.append(L)
+                sums.append(np.concatenate([A.ravel(), total, [dev]]))
+            return np.hstack(new), np.concatenate(sums)
+
+        now = sweep(rows, step, None if last is None else R * K, R * size)
+        if last is not None:
+            last.drop()
+        last, rows = now, now.samples()
+        Fs, scales = list(Fs), list(scales)
+        for r, sums in enumerate(now.sums.reshape(R, size)):
+            history[r].append((it, -sums[-1]))
+            raw = np.maximum(Fs[r] * sums[: K * M].reshape(K, M) / sums[K * M : -1][:, None], EPS)
+            scales[r] = raw.sum(1)
+            Fs[r] = raw / scales[r][:, None]
+    final = sweep(rows, lambda ids, b, state: (np.hstack([loads(ids, b, state, r, scales[r]) for r in range(R)]), np.zeros(1)), None if last is None else R * K, 1)
+    if last is not None:
+        last.drop()
+    own = lambda r: final.samples().withColumn("state", C.substring("state", r * K * 8 + 1, K * 8))
+    return [NMFFit(counts.counts.sparkSession, Fs[r], own(r), K, history[r], False, max_iters) for r in range(R)]
+
+
+def poisson_nmf_seeds(counts: Counts, K: int, max_iters: int, seeds: list[int]) -> dict[int, NMFFit]:
+    """Each seed's fit is the one that poisson_nmf gives for it."""
+    M = counts.n_features()
+    return dict(zip(seeds, poisson_nmf_many(counts, K, max_iters, [seeded_init(K, M, s) for s in seeds]), strict=True))
+
+
 # Sum-of-single-effects.
 
 

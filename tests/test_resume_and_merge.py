@@ -86,3 +86,18 @@ def test_merged_effects_equal_the_kernel(spark, closest, slots):
     want = B.merge_equal(g, 0.12, closest)
     assert np.allclose(got, want) and not np.allclose(want, g)
     assert df.where(F.lit(False)).count() == 0 and L.merged(df.limit(0), K, slots, 0.12, closest).count() == 0
+
+
+def test_seeds_side_by_side_equal_single_runs(counts, monkeypatch):
+    """Three fits in as many passes as one."""
+    passes, sweep = [], fits.sweep
+    monkeypatch.setattr(fits, "sweep", lambda *a: passes.append(1) or sweep(*a))
+    seeds = [1, 2, 5]
+    together = fits.poisson_nmf_seeds(counts, K, 3, seeds)
+    assert len(passes) == 4
+    for s in seeds:
+        one = fits.poisson_nmf(counts, K, 3, s)
+        assert np.allclose(together[s].factors, one.factors, rtol=1e-12) and np.allclose([v for _, v in together[s].elbo], [v for _, v in one.elbo])
+        key = ["i", "k"]
+        a, b = (x.loadings_df().toPandas().sort_values(key).l.to_numpy() for x in (together[s], one))
+        assert np.allclose(a, b, rtol=1e-9)
