@@ -45,7 +45,7 @@ def _width(kind: T.DataType, c: Column) -> Column:
 
 def row_bytes(df: DataFrame) -> int:
     """Bytes of an (already written) table's rows in memory."""
-    each = sum((_width(f.dataType, F.col(f"`{f.name}`")) for f in df.schema.fields), F.lit(ROW_BYTES).cast("long"))
+    each = sum((_width(f.dataType, quoted(f.name)) for f in df.schema.fields), F.lit(ROW_BYTES).cast("long"))
     return df.agg(F.sum(each)).collect()[0][0] or 0
 
 
@@ -54,6 +54,11 @@ def small(df: DataFrame, most: int | None = None) -> DataFrame:
     return F.broadcast(df) if row_bytes(df) <= (BROADCAST_BYTES if most is None else most) else df
 
 
+def quoted(name: str, of: str = "") -> Column:
+    """The column of exactly this name (of an alias), whatever is in it."""
+    return F.col(of + "`" + name.replace("`", "``") + "`")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df does not have, in any case."""
     taken = {c.lower() for c in df.columns}

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import discard, free_name, materialise, small
+from .common import discard, free_name, materialise, quoted, small
 
 MIN_WORDS = 50
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -147,7 +147,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     left = docs.withColumns({own_id: F.col(id_col), own_hash: F.xxhash64(text_col)}).alias("l")
     on = F.col(f"l.{own_id}").eqNullSafe(F.col(f"r.{_KEY[0]}")) & (F.col(f"l.{own_hash}") == F.col(f"r.{_KEY[1]}"))
     joined = left.join(small(cuts).alias("r"), on, "left")
-    kept = (_kept(F.col(f"l.`{c}`"), F.col("r.cuts")).alias(c) if c == text_col else F.col(f"l.`{c}`") for c in docs.columns)
+    kept = (_kept(quoted(c, "l."), F.col("r.cuts")).alias(c) if c == text_col else quoted(c, "l.") for c in docs.columns)
     return joined.select(*kept, F.col("r.cuts").alias(free_name(docs, "_mm_cuts")))
 
 
