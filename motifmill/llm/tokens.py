@@ -48,7 +48,7 @@ def word_piece(blanks: str, rest: str) -> str | None:
 class Encoder(dict):
     """A tokenizer file, without special tokens added; a special token's string in a text is that token. Holds the ids of known chunks."""
 
-    def __init__(self, path: str, piece: Callable[[str, str], str | None]):
+    def __init__(self, path: str, piece: Callable[[str, str], str | None], known: int = KNOWN):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -56,6 +56,7 @@ class Encoder(dict):
         self.file = Tokenizer.from_file(path)
         self.model = self.file.model
         self.piece = piece
+        self.known = known
         special = [t.content for t in self.file.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join([_OTHER_BLANK, *map(re.escape, special)]))
 
@@ -68,7 +69,7 @@ class Encoder(dict):
             ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_CHARS))]
         out = np.array(ids, "<u4").tobytes()
         if len(chunk) <= KNOWN_CHARS:
-            if len(self) >= KNOWN:
+            if len(self) >= self.known:
                 self.clear()
             self[chunk] = out
         return out
@@ -82,8 +83,9 @@ class Encoder(dict):
 _open: dict[str, Encoder] = {}
 
 
-def opened(path: str, piece: Callable[[str, str], str | None]) -> Encoder:
-    """One for each worker process."""
+def opened(path: str, piece: Callable[[str, str], str | None], known: int = KNOWN) -> Encoder:
+    """One for each worker process, which remembers ``known`` chunks at a time."""
     if path not in _open:
-        _open[path] = Encoder(path, piece)
+        _open[path] = Encoder(path, piece, known)
+    _open[path].known = known
     return _open[path]
