@@ -15,6 +15,8 @@ from motifmill.llm import jaccard_join, line_dedup, mixing, packing, quality
 from motifmill.llm import queries as Q
 from motifmill.llm.common import discard, documents, free_name, materialise, quoted, small
 
+#: Chunks whose ids a worker remembers in packing; workers of the stages before still hold memory then.
+KNOWN_CHUNKS = 1 << 17
 #: Share of the remaining tokens that the mixture is cut to.
 BUDGET_SHARE = 0.9
 
@@ -96,7 +98,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences with their ids. A null or empty text is its end id alone; repeated rows and rows without an id each get their own pieces."""
-    return packing.pack(docs, Q.byte_bpe(), end_id=0, seed=Q.SEED, with_ids=True)
+    return packing.pack(docs, Q.byte_bpe(KNOWN_CHUNKS), end_id=0, seed=Q.SEED, with_ids=True)
 
 
 STAGES = [
