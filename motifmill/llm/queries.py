@@ -83,14 +83,14 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), count("assign"), count("access"), count("hex"), base, secrets.as_text(F.sort_array(F.concat("base", "added"))).alias("spans"))
 
 
-def encoder(name: str, piece, known: int = tokens.KNOWN):
+def encoder(name: str, piece, known: int | None = None):
     import public_tokenizers as public
 
     path = public.path(name)
     return lambda texts: [tokens.opened(path, piece, known).encode(t) for t in texts]
 
 
-def byte_bpe(known: int = tokens.KNOWN):
+def byte_bpe(known: int | None = None):
     return encoder("byte_bpe_50k.json", tokens.byte_piece, known)
 
 

@@ -48,7 +48,7 @@ def word_piece(blanks: str, rest: str) -> str | None:
 class Encoder(dict):
     """A tokenizer file, without special tokens added; a special token's string in a text is that token. Holds the ids of known chunks."""
 
-    def __init__(self, path: str, piece: Callable[[str, str], str | None], known: int = KNOWN):
+    def __init__(self, path: str, piece: Callable[[str, str], str | None], known: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -69,7 +69,7 @@ class Encoder(dict):
             ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_CHARS))]
         out = np.array(ids, "<u4").tobytes()
         if len(chunk) <= KNOWN_CHARS:
-            if len(self) >= self.known:
+            if len(self) >= (self.known or KNOWN):
                 self.clear()
             self[chunk] = out
         return out
@@ -83,8 +83,8 @@ class Encoder(dict):
 _open: dict[str, Encoder] = {}
 
 
-def opened(path: str, piece: Callable[[str, str], str | None], known: int = KNOWN) -> Encoder:
-    """One for each worker process, which remembers ``known`` chunks at a time."""
+def opened(path: str, piece: Callable[[str, str], str | None], known: int | None = None) -> Encoder:
+    """One for each worker process, which remembers ``known`` chunks at a time (KNOWN without it)."""
     if path not in _open:
         _open[path] = Encoder(path, piece, known)
     _open[path].known = known
