@@ -14,6 +14,8 @@ _made: dict[str, SparkSession] = {}
 def shared_dir(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:  # tests and single machines
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="motifmill-"))
         at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
