@@ -1,15 +1,15 @@
-"""Line dedup by winnowing over line hashes, in DataFrame operations only.
+"""Line dedup by winnowing over hashes, in DataFrame operations only.
 
-A run is a sequence of lines with words. From each line starts the shortest run of min_words words or more; its smallest line hash is
-its fingerprint, so two equal runs always choose the same line. Only runs whose fingerprint was chosen at more than one position
-are compared in full.
+What is hashed are runs of a few words and not lines, as a repeated passage need not hold a complete line. The smallest hash in each window
+of min_words words is the window's fingerprint (the leftmost of equal ones), so two equal windows always choose the same place in them. A place is a chosen
+fingerprint with all the windows next to each other that chose it; the words of these windows are its context.
 
-A shorter line that occurs elsewhere is a fingerprint as well: its matches are extended by words, over and into the lines before and
-after, and count from min_words words on. Of a match of min_words words at least half of those outside the line are on one side of it, so only lines
-that share such a side with another position of the same line get the windows of min_words words around them compared.
+Places are joined by fingerprint and context: of places with equal contexts all windows of all but the first are later repeats, which is the
+match extended both ways to the ends of the context. Where a fingerprint has several contexts, the windows of the first place of each
+are compared one by one, which finds the matches that end inside a context.
 
-Runs and windows that occurred earlier (by id, then position) are later repeats; those that overlap or touch join to the maximal
-repeated passage, whose words are deleted.
+Windows that occurred earlier (by id, then position) are later repeats; those that overlap or touch join to the maximal repeated passage,
+whose words are deleted.
 """
 
 from __future__ import annotations
@@ -21,89 +21,105 @@ from pyspark.sql import Window as W
 from .common import discard, free_name, materialise, quoted, small
 
 MIN_WORDS = 50
+#: Words of a hashed run, if min_words allows.
+RUN_WORDS = 8
+#: Windows of a text that are looked at together; a longer text is several blocks.
+BLOCK = 1 << 16
+#: Bits of a chosen value that hold its position in the block, which has BLOCK + min_words words.
+_PLACE = (1 << 20) - 1
 _WORD = r"[^\x20\x09-\x0D]+"
 #: A word with the blanks before it.
 _PIECE = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 _KEY = ("_mm_id", "_mm_text_hash")
+_CONTEXT = ["fp", "off", "span", "d1", "d2"]
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.withColumns({"_mm_id": F.col(id_col), "_mm_text_hash": F.xxhash64(text_col)})
 
 
-def lines_of(docs: DataFrame, text_col: str) -> DataFrame:
-    """A row for each line with a word: line number, hash pair, words, number of its first word. Rows that repeat (id and text) count once."""
-    line = F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("ln", "line")
-    rows = docs.select(*_KEY, line).where(F.col("line").rlike(_WORD))
-    rows = rows.select(*_KEY, "ln", F.xxhash64("line").alias("h"), F.crc32(F.encode("line", "UTF-8")).alias("h2"), F.regexp_count("line", F.lit(_WORD)).alias("words"))
-    rows = rows.repartition(*_KEY).dropDuplicates([*_KEY, "ln"])
-    order = W.partitionBy(*_KEY).orderBy("ln")
-    return rows.withColumn("at", F.sum("words").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("words"))
+def word_hashes(text_col: str) -> Column:
+    return F.transform(F.regexp_extract_all(text_col, F.lit(_WORD), F.lit(0)), lambda w: F.xxhash64(w))
 
 
-def runs_of(lines: DataFrame, min_words: int) -> DataFrame:
-    """A row for each line from which a run of min_words starts: first word, end of the last, fingerprint, content digest."""
-    run = W.partitionBy(*_KEY).orderBy("at").rangeBetween(0, min_words - 1)
-    run_lines = F.collect_list(F.struct("h", "h2")).over(run)
-    runs = lines.select(*_KEY, "at", F.sum("words").over(run).alias("total"), F.min(F.struct("h", F.negative("ln").alias("back"))).over(run).alias("low"), run_lines.alias("lines"))
-    end = F.col("at") + F.col("total")
-    return runs.where(F.col("total") >= min_words).select(*_KEY, "at", end.alias("end"), F.col("low.h").alias("fp"), F.negative("low.back").alias("fp_ln"), F.xxhash64("lines").alias("d1"), F.xxhash64(F.lit(11), "lines").alias("d2"))
+def _run_hash(at: Column, run: int) -> Column:
+    return F.xxhash64(*(F.get("hashes", at + k) for k in range(run)))
 
 
-def _shared(rows: DataFrame, by: list[str], place: Column, name: str) -> DataFrame:
-    """The values of by found at two places or more. min and max are kept before the shuffle, so a hot one is one row a task."""
-    return materialise(rows.groupBy(*by).agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select(*by), name)
+def _least_of(low: str, step: int) -> Column:
+    """Each value or the one step places further, whichever is less; there is none behind the end."""
+    return F.transform(low, lambda x, i: F.least(x, F.get(low, i + step)))
 
 
-def _later(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Stretches (at, end) whose content occurred at an earlier place."""
+def _digests(words: Column) -> tuple[Column, Column]:
+    return F.xxhash64(words).alias("d1"), F.xxhash64(F.lit(11), words).alias("d2")
+
+
+def places_of(texts: DataFrame, text_col: str, min_words: int, block: int = BLOCK) -> DataFrame:
+    """A row for each chosen fingerprint of a block: fp, at (the first window that chose it), off (of the fingerprint from there), span (windows after the first), digests of the context."""
+    run = min(RUN_WORDS, (min_words + 1) // 2)
+    rows = texts.select(*_KEY, word_hashes(text_col).alias("all"))
+    starts = F.when(F.size("all") >= min_words, F.sequence(F.lit(0), F.size("all") - min_words, F.lit(block)))
+    blocks = F.transform(starts, lambda b: F.struct(b.alias("base"), F.slice("all", b + 1, block + min_words - 1).alias("hashes")))
+    rows = rows.select(*_KEY, F.inline(blocks))
+    chosen = lambda h, i: _run_hash(i, run).bitwiseAND(F.lit(~_PLACE)).bitwiseOR(i.cast("long"))
+    rows = rows.withColumn("low", F.transform(F.slice("hashes", F.lit(1), F.size("hashes") - (run - 1)), chosen))
+    wide, covered = min_words - run + 1, 1
+    while covered < wide:
+        step = min(covered, wide - covered)
+        rows = rows.withColumn("low", _least_of("low", step))
+        covered += step
+    last = F.size("hashes") - min_words
+    rows = rows.withColumn("opens", F.filter(F.sequence(F.lit(0), last), lambda i: (i == 0) | (F.get("low", i) != F.get("low", i - 1))))
+
+    def place(o: Column, j: Column) -> Column:
+        at = F.get("low", o).bitwiseAND(F.lit(_PLACE)).cast("int")
+        span = F.coalesce(F.get("opens", j + 1) - 1, last) - o
+        context = F.slice("hashes", o + 1, span + min_words)
+        return F.struct(_run_hash(at, run).alias("fp"), (F.col("base") + o).cast("long").alias("at"), (at - o).alias("off"), span.alias("span"), *_digests(context))
+
+    return rows.select(*_KEY, F.inline(F.transform("opens", place)))
+
+
+def _firsts(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, first and last place of each content. Both are kept before the shuffle, so a hot one is one row a task."""
     place = F.struct(*_KEY, "at")
-    first = rows.groupBy(*by).agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select(*by, F.col("a").alias("first"))
-    return rows.join(first, by).where(place != F.col("first")).select(*_KEY, "at", "end")
+    return rows.groupBy(*by).agg(F.min(place).alias("first"), F.max(place).alias("last"))
 
 
-def repeated_runs(runs: DataFrame) -> DataFrame:
-    shared = _shared(runs, ["fp"], F.struct(*_KEY, "fp_ln"), "shared-fingerprints")
-    return _later(runs.join(small(shared), "fp", "left_semi"), ["fp", "d1", "d2"])
+def _later(rows: DataFrame, firsts: DataFrame, by: list[str], length: Column) -> DataFrame:
+    """Stretches (at, end) of rows whose content occurred at an earlier place."""
+    return rows.join(firsts.select(*by, "first"), by).where(F.struct(*_KEY, "at") != F.col("first")).select(*_KEY, "at", (F.col("at") + length).alias("end")).distinct()
 
 
-def _around(texts: DataFrame, spots: DataFrame, text_col: str) -> DataFrame:
-    """A row for each spot (a struct of at and others) with the hashes of its document's words."""
-    spots = materialise(spots.groupBy(*_KEY).agg(F.collect_list("spot").alias("spots")), "spots")
+def _windows(texts: DataFrame, spots: DataFrame, text_col: str, min_words: int) -> DataFrame:
+    """The windows of each place in spots (fp, at, off, span): fp, where it is in the window, digests of the window's words."""
+    spots = materialise(spots.groupBy(*_KEY).agg(F.collect_list(F.struct("fp", "at", "off", "span")).alias("spots")), "spots")
     on = F.col("l._mm_id").eqNullSafe(F.col("r._mm_id")) & (F.col("l._mm_text_hash") == F.col("r._mm_text_hash"))
-    words = F.transform(F.regexp_extract_all(text_col, F.lit(_WORD), F.lit(0)), lambda w: F.xxhash64(w))
-    both = texts.alias("l").join(small(spots).alias("r"), on).select(*(F.col(f"l.{k}") for k in _KEY), words.alias("hashes"), "spots")
-    return both.select(*_KEY, "hashes", F.explode("spots").alias("spot")).select(*_KEY, "hashes", "spot.*")
-
-
-def repeated_windows(lines: DataFrame, texts: DataFrame, text_col: str, min_words: int) -> DataFrame:
-    """Windows of min_words words with a complete shorter line that occurred earlier with the same line at the same place in them."""
-    short = lines.where(F.col("words") < min_words)
-    shared = _shared(short, ["h", "h2"], F.struct(*_KEY, "at"), "shared-lines")
-    spot = F.struct("at", "words", "h", "h2")
-    met = short.join(small(shared), ["h", "h2"], "left_semi").select(*_KEY, spot.alias("spot"))
-    wide = F.lit(min_words) - F.col("words")
-    half = F.ceil(wide / 2).cast("int")
-    end = F.col("at") + F.col("words")
-    left = F.when(F.col("at") >= half, F.xxhash64(F.slice("hashes", (F.col("at") - half + 1).cast("int"), half)))
-    right = F.when(end + half <= F.size("hashes"), F.xxhash64(F.slice("hashes", (end + 1).cast("int"), half)))
-    sides = F.explode(F.array(F.struct(F.lit(True).alias("before"), left.alias("side")), F.struct(F.lit(False).alias("before"), right.alias("side")))).alias("x")
-    sides = _around(texts, met, text_col).select(*_KEY, "at", "words", "h", "h2", sides).select(*_KEY, "at", "words", "h", "h2", "x.*").where("side is not null")
-    sides = materialise(sides, "line-sides")
-    by = ["h", "h2", "before", "side"]
-    both = sides.join(small(_shared(sides, by, F.struct(*_KEY, "at"), "shared-sides")), by, "left_semi")
-    near = both.groupBy(*_KEY, "at", "words", "h", "h2").agg(F.max("before").alias("l"), F.max(~F.col("before")).alias("r"))
-    near = near.select(*_KEY, F.struct("at", "words", "h", "h2", "l", "r").alias("spot"))
-    lo = F.greatest(F.when(F.col("r"), 0).otherwise(half), end + wide - F.size("hashes"))
-    hi = F.least(F.when(F.col("l"), wide).otherwise(wide - half), F.col("at"))
-    offsets = F.when(lo <= hi, F.sequence(lo.cast("int"), hi.cast("int")))
-    windows = _around(texts, near, text_col).select(*_KEY, "hashes", "at", "h", "h2", F.explode(offsets).alias("before"))
-    body = F.slice("hashes", (F.col("at") - F.col("before") + 1).cast("int"), min_words)
-    start = F.col("at") - F.col("before")
-    windows = windows.select(*_KEY, start.alias("at"), (start + min_words).alias("end"), "h", "h2", "before", F.xxhash64(body).alias("d1"), F.xxhash64(F.lit(11), body).alias("d2"))
-    windows = materialise(windows, "line-windows")
-    out = materialise(_later(windows, ["h", "h2", "before", "d1", "d2"]), "later-windows")
-    discard(windows, sides)
+    both = texts.alias("l").join(small(spots).alias("r"), on).select(*(F.col(f"l.{k}") for k in _KEY), word_hashes(text_col).alias("hashes"), "spots")
+
+    def window(s: Column, k: Column) -> Column:
+        return F.struct(s["fp"].alias("fp"), (s["at"] + k).alias("at"), (s["off"] - k).alias("off"), *_digests(F.slice("hashes", (s["at"] + k + 1).cast("int"), min_words)))
+
+    windows = F.flatten(F.transform("spots", lambda s: F.transform(F.sequence(F.lit(0), s["span"]), lambda k: window(s, k))))
+    return both.select(*_KEY, F.inline(windows))
+
+
+def repeats(texts: DataFrame, text_col: str, min_words: int, block: int = BLOCK) -> DataFrame:
+    """Stretches (at, end) of words that are covered by windows of min_words words which occurred earlier."""
+    places = materialise(places_of(texts, text_col, min_words, block), "places")
+    contexts = materialise(_firsts(places, _CONTEXT), "contexts")
+    again = materialise(contexts.where("first != last").select(*_CONTEXT, "first"), "repeated-contexts")
+    same = _later(places, small(again), _CONTEXT, F.col("span") + min_words)
+    context = F.struct(*_CONTEXT[1:])
+    several = contexts.groupBy("fp").agg(F.min(context).alias("a"), F.max(context).alias("b")).where("a != b").select("fp")
+    several = materialise(several, "fingerprints-in-contexts")
+    spots = contexts.join(small(several), "fp", "left_semi").select("first.*", "fp", "off", "span")
+    windows = materialise(_windows(texts, spots, text_col, min_words), "windows")
+    by = ["fp", "off", "d1", "d2"]
+    inside = _later(windows, _firsts(windows, by).where("first != last"), by, F.lit(min_words))
+    out = materialise(same.union(inside), "later-stretches")
+    discard(places, contexts, again, several, windows)
     return out
 
 
@@ -131,18 +147,13 @@ def _kept(text: Column, cuts: Column) -> Column:
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the words of later repeated passages deleted from the text, and _mm_cuts: array of (from, to) word numbers, or null.
 
-    Lines are what \\n separates; a passage has a complete line, equal with its blanks, and other words at its ends that may belong to lines which differ elsewhere. A repeat
-    within one line, or one that holds no complete line, stays. A word goes with the blanks before it. A null or
-    empty text has no lines and stays as it is. Of equal passages the first stays by id (null first), then position. A row repeated with the same id
-    and text is the same document and gets the same result; rows that share an id but not a text are ordered by the text's hash.
+    A passage is words covered by windows of min_words words that occurred earlier, wherever lines begin and end in it; blanks between words don't count.
+    A word goes with the blanks before it. A text with fewer words, a null or an empty one stays as it is. Of equal passages the first stays by id (null first),
+    then position, also within one text. A row repeated with the same id and text is the same document and gets the same result; rows that share an id but not a text are ordered by the text's hash.
     All other columns are kept, whatever their names; the last one is called _mm_cuts, with underscores behind it if docs has one of that name.
     """
     texts = keyed(docs, id_col, text_col).select(*_KEY, text_col)
-    lines = materialise(lines_of(texts, text_col), "lines")
-    runs = materialise(runs_of(lines, min_words), "line-runs")
-    cuts = passages(repeated_runs(runs).union(repeated_windows(lines, texts, text_col, min_words)))
-    cuts = materialise(cuts, "line-cuts")
-    discard(runs, lines)
+    cuts = materialise(passages(repeats(texts, text_col, min_words)), "line-cuts")
     own_id, own_hash = (free_name(docs, k) for k in _KEY)
     left = docs.withColumns({own_id: F.col(id_col), own_hash: F.xxhash64(text_col)}).alias("l")
     on = F.col(f"l.{own_id}").eqNullSafe(F.col(f"r.{_KEY[0]}")) & (F.col(f"l.{own_hash}") == F.col(f"r.{_KEY[1]}"))

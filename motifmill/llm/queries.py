@@ -326,31 +326,12 @@ from d
 with docs as (
   select doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') as pieces from documents where text is not null
 ),
-lines as (
-  select doc_id, ln, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as words
-  from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as ln from docs)
-),
-placed as (
-  select *, sum(words) over (partition by doc_id order by ln) - words as wat from lines where words > 0
-),
-runs as (
-  select doc_id, wat, sum(words) over w as total, list(line) over w as body from placed
-  window w as (partition by doc_id order by wat range between current row and 49 following)
-),
-spots as (
-  select * from (select *, count(*) over (partition by line) as times from placed where words < 50) where times > 1
-),
 windows as (
-  select s.doc_id, s.line, s.l, s.wat - s.l as wat, md5(array_to_string(list_slice(d.w, (s.wat - s.l + 1)::bigint, (s.wat - s.l + 50)::bigint), ' ')) as body
-  from (
-    select s.*, unnest(range(greatest(0, s.wat + 50 - len(d.w))::bigint, least(s.wat, 50 - s.words)::bigint + 1)) as l
-    from spots s join docs d on s.doc_id = d.doc_id
-  ) s join docs d on s.doc_id = d.doc_id
+  select doc_id, unnest(bodies) as body, generate_subscripts(bodies, 1) - 1 as wat
+  from (select doc_id, list_transform(range(len(w) - 49), lambda i: md5(array_to_string(list_slice(w, i + 1, i + 50), ' '))) as bodies from docs where len(w) >= 50)
 ),
 later as (
-  select doc_id, wat, wat + total as stop from (select *, row_number() over (partition by body order by doc_id, wat) as nth from runs where total >= 50) where nth > 1
-  union all
-  select doc_id, wat, wat + 50 from (select *, row_number() over (partition by line, l, body order by doc_id, wat) as nth from windows) where nth > 1
+  select doc_id, wat, wat + 50 as stop from (select *, row_number() over (partition by body order by doc_id, wat) as nth from windows) where nth > 1
 ),
 joined as (
   select doc_id, min(wat) as wat, max(stop) as stop from (

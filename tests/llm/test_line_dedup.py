@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -8,22 +9,10 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def stretches(text, least):
-    """(content, first word, end) of whole-line runs, and of the windows of ``least`` words around each shorter line."""
+    """(content, first word, end) of each window of ``least`` words."""
     words = WORD.findall(text or "")
-    lines, n = [], 0
-    for x in (text or "").split("\n"):
-        k = len(WORD.findall(x))
-        if k:
-            lines.append((x, n, n + k))
-        n += k
-    for s in range(len(lines)):
-        for e in range(s, len(lines)):
-            if lines[e][2] - lines[s][1] >= least:
-                yield ("run", *(x for x, _, _ in lines[s : e + 1])), lines[s][1], lines[e][2]
-                break
-    for x, a, b in lines:
-        for s in range(max(0, b - least), min(a, len(words) - least) + 1):
-            yield ("window", x, a - s, *words[s : s + least]), s, s + least
+    for s in range(len(words) - least + 1):
+        yield tuple(words[s : s + least]), s, s + least
 
 
 def brute(rows, least):
@@ -64,16 +53,45 @@ def test_passage_stays_once(edge):
     assert "word5 word6" in texts[7] and "word5 word6" not in texts[8] + texts[9]
 
 
-def test_match_goes_on_into_bordering_lines(spark):
+def test_passage_goes_wherever_lines_begin(spark):
     w = [f"p{k}" for k in range(60)]
     passage = f"{' '.join(w[:20])}\n{' '.join(w[20:35])}\n{' '.join(w[35:])}"
     alone = " ".join(w[20:35])
-    rows = [(1, f"own words {passage} of the first"), (2, f"  {alone}\nthe same line elsewhere"), (3, f"a head {passage} and\ta tail\n"), (4, f"{passage}\nrest"), (5, " ".join(w))]
+    rows = [(1, f"own words {passage} of the first"), (2, f"  {alone}\nthe same line elsewhere"), (3, f"a head {passage} and\ta tail\n"), (4, f"{passage}\nrest"), (5, " ".join(w)), (6, "x " + " ".join(w[5:54]))]
     got = {r.doc_id: r for r in L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert {i: got[i].text for i in got} == {1: rows[0][1], 2: rows[1][1], 3: "a head and\ta tail\n", 4: "rest", 5: rows[4][1]}
+    assert {i: got[i].text for i in got} == {1: rows[0][1], 2: rows[1][1], 3: "a head and\ta tail\n", 4: "rest", 5: "", 6: rows[5][1]}
     assert [(c["from"], c["to"]) for c in got[3]["_mm_cuts"]] == [(2, 61)]
 
 
+@pytest.mark.parametrize("least", [50, 20])
+def test_passages_at_any_offset_of_one_line(spark, least):
+    """Repeats of all lengths about the least one, in texts without a line break, between documents and within one; periodic texts."""
+    rng = random.Random(5)
+    fresh = lambda n: [f"f{rng.random()}" for _ in range(n)]
+    source = fresh(300)
+    rows = [(0, " ".join(source))]
+    for i in range(1, 60):
+        words = fresh(rng.randrange(30))
+        for _ in range(rng.randrange(4)):
+            a, n = rng.randrange(250), rng.randrange(least - 4, least + 40)
+            words += source[a : a + n] + fresh(rng.randrange(1, 20))
+        rows.append((i, " ".join(words)))
+    own = fresh(80)
+    rows += [(90, " ".join(own + ["mid"] + own[10:75])), (91, "a b " * 70), (92, "a b " * 40 + "c"), (93, "b " + "a b " * 33)]
+    got = [(r.doc_id, r.text) for r in L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_words=least).collect()]
+    assert sorted(got, key=repr) == brute(rows, least)
+
+
+@pytest.mark.parametrize("block", [1, 7, 64])
+def test_blocks_of_long_texts_change_nothing(spark, block):
+    rng = random.Random(block)
+    source = [f"s{rng.randrange(40)}" for _ in range(400)]
+    rows = [(i, " ".join(source[a : a + rng.randrange(20, 200)])) for i in range(12) for a in [rng.randrange(300)]]
+    texts = L.keyed(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    cut = lambda b: sorted((r["_mm_id"], c["from"], c["to"]) for r in L.passages(L.repeats(texts, "text", 12, b)).collect() for c in r.cuts)
+    assert cut(block) == cut(L.BLOCK) != []
+
+
 def test_line_shared_by_all_with_a_match_of_only_some(spark):
     line = "common line of six words here"
     rows = [(k, f"{' '.join(f'x{k}y{j}' for j in range(30))}\n{line}\n{' '.join(f'{k % 7 if k < 28 else k}z{j}' for j in range(46))}") for k in range(60)]
