@@ -42,13 +42,24 @@ def word_hashes(text_col: str) -> Column:
     return F.transform(F.regexp_extract_all(text_col, F.lit(_WORD), F.lit(0)), lambda w: F.xxhash64(w))
 
 
-def _run_hash(at: Column, run: int) -> Column:
-    return F.xxhash64(*(F.get("hashes", at + k) for k in range(run)))
+def _joined(values: str, step: int) -> Column:
+    """The hash of each value and the one step places further, as far as there is one."""
+    return F.zip_with(F.slice(values, F.lit(1), F.size(values) - step), F.slice(values, F.lit(1 + step), F.size(values) - step), lambda a, b: F.xxhash64(a, b))
 
 
-def _least_of(low: str, step: int) -> Column:
-    """Each value or the one step places further, whichever is less; there is none behind the end."""
-    return F.transform(low, lambda x, i: F.least(x, F.get(low, i + step)))
+def _least(values: str, step: int) -> Column:
+    """Each value or the one step places further, whichever is less, as far as there is one."""
+    return F.zip_with(F.slice(values, F.lit(1), F.size(values) - step), F.slice(values, F.lit(1 + step), F.size(values) - step), lambda a, b: F.least(a, b))
+
+
+def _doubled(rows: DataFrame, name: str, wide: int, step_of) -> DataFrame:
+    """name's values put together over each wide places next to each other, in steps that double."""
+    covered = 1
+    while covered < wide:
+        step = min(covered, wide - covered)
+        rows = rows.withColumn(name, step_of(name, step))
+        covered += step
+    return rows
 
 
 def _digests(words: Column) -> tuple[Column, Column]:
@@ -56,29 +67,32 @@ def _digests(words: Column) -> tuple[Column, Column]:
 
 
 def places_of(texts: DataFrame, text_col: str, min_words: int, block: int = BLOCK) -> DataFrame:
-    """A row for each chosen fingerprint of a block: fp, at (the first window that chose it), off (of the fingerprint from there), span (windows after the first), digests of the context."""
+    """A row for each chosen fingerprint of a block: fp, at (the first window that chose it), off (of the fingerprint from there), span (windows after the first), digests of the context
+    by the runs that cover it, one after the other and the last one."""
     run = min(RUN_WORDS, (min_words + 1) // 2)
     rows = texts.select(*_KEY, word_hashes(text_col).alias("all"))
     starts = F.when(F.size("all") >= min_words, F.sequence(F.lit(0), F.size("all") - min_words, F.lit(block)))
     blocks = F.transform(starts, lambda b: F.struct(b.alias("base"), F.slice("all", b + 1, block + min_words - 1).alias("hashes")))
     rows = rows.select(*_KEY, F.inline(blocks))
-    chosen = lambda h, i: _run_hash(i, run).bitwiseAND(F.lit(~_PLACE)).bitwiseOR(i.cast("long"))
-    rows = rows.withColumn("low", F.transform(F.slice("hashes", F.lit(1), F.size("hashes") - (run - 1)), chosen))
-    wide, covered = min_words - run + 1, 1
-    while covered < wide:
-        step = min(covered, wide - covered)
-        rows = rows.withColumn("low", _least_of("low", step))
-        covered += step
-    last = F.size("hashes") - min_words
-    rows = rows.withColumn("opens", F.filter(F.sequence(F.lit(0), last), lambda i: (i == 0) | (F.get("low", i) != F.get("low", i - 1))))
-
-    def place(o: Column, j: Column) -> Column:
-        at = F.get("low", o).bitwiseAND(F.lit(_PLACE)).cast("int")
-        span = F.coalesce(F.get("opens", j + 1) - 1, last) - o
-        context = F.slice("hashes", o + 1, span + min_words)
-        return F.struct(_run_hash(at, run).alias("fp"), (F.col("base") + o).cast("long").alias("at"), (at - o).alias("off"), span.alias("span"), *_digests(context))
-
-    return rows.select(*_KEY, F.inline(F.transform("opens", place)))
+    wide = min_words - run + 1
+    rows = _doubled(rows.withColumn("runs", F.col("hashes")), "runs", run, _joined)
+    rows = rows.withColumn("low", F.transform("runs", lambda h, i: h.bitwiseAND(F.lit(~_PLACE)).bitwiseOR(i.cast("long"))))
+    rows = _doubled(rows, "low", wide, _least)
+    rows = rows.select(*_KEY, "base", "runs", F.array_distinct("low").alias("chosen"), (F.size("low") - 1).alias("last"))
+    at_of = lambda c: c.bitwiseAND(F.lit(_PLACE)).cast("int")
+    # a fingerprint takes over when it comes into the window, if it is smaller, or else when the one before has left
+    entry = lambda c, before: F.when(c < before, at_of(c) - (wide - 1)).otherwise(at_of(before) + 1)
+    opens = F.transform("chosen", lambda c, j: F.when(j == 0, 0).otherwise(entry(c, F.get("chosen", j - 1))))
+    rows = rows.withColumn("opens", opens)
+
+    def place(c: Column, j: Column) -> Column:
+        o = F.get("opens", j)
+        span = F.coalesce(F.get("opens", j + 1) - 1, F.col("last")) - o
+        end = o + span + (min_words - run)
+        context = F.concat(F.transform(F.sequence(o, end, F.lit(run)), lambda i: F.get("runs", i)), F.array(F.get("runs", end)))
+        return F.struct(F.get("runs", at_of(c)).alias("fp"), (F.col("base") + o).cast("long").alias("at"), (at_of(c) - o).alias("off"), span.alias("span"), *_digests(context))
+
+    return rows.select(*_KEY, F.inline(F.transform("chosen", place)))
 
 
 def _firsts(rows: DataFrame, by: list[str]) -> DataFrame:
