@@ -28,6 +28,8 @@ LEAST_LENGTH = 6
 LEAST_COUNT = 5
 FACTOR = 5
 BANDS = 3
+#: Bytes of rows of forms that a round of roots() broadcasts.
+ROOT_BYTES = 16 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -102,7 +104,8 @@ def _sides() -> tuple[Column, Column]:
 def near_pairs(masked: DataFrame) -> DataFrame:
     """a, a_n, b, b_n: each pair of words that differ by one inserted, deleted or replaced letter, once.
 
-    A plain equi-join, so Spark can split a bucket that many words share; only verified pairs leave it.
+    A plain equi-join, so Spark can split a bucket that many words share; only verified pairs leave it. It is always a shuffle: Spark takes the
+    signatures, eight or so a word, for hardly larger than the words' small file, and would collect all of them at the driver to broadcast them.
     """
     left, right = _sides()
     key = ("case", "x", "y", "size")
@@ -110,7 +113,7 @@ def near_pairs(masked: DataFrame) -> DataFrame:
     flips = F.bit_count(F.col("a_r1").bitwiseXOR(F.col("b_r1"))) + F.bit_count(F.col("a_r2").bitwiseXOR(F.col("b_r2"))) == 2
     once = (F.col("a_case") >= BANDS + 1) | (F.col("a_word") < F.col("b_word"))
     on = [F.col(f"a_{c}") == F.col(f"b_{c}") for c in key]
-    pairs = side(left, "a").join(side(right, "b"), [*on, flips, once, F.levenshtein("a_word", "b_word", 1) == 1])
+    pairs = side(left, "a").join(side(right, "b").hint("merge"), [*on, flips, once, F.levenshtein("a_word", "b_word", 1) == 1])
     return pairs.select(F.col("a_word").alias("a"), "a_n", F.col("b_word").alias("b"), "b_n")
 
 
@@ -119,7 +122,7 @@ def roots(forms: DataFrame) -> DataFrame:
     now = materialise(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         up = now.select(F.col("word").alias("via"), F.col("root").alias("next"))
-        step = materialise(now.join(small(up), now.root == up.via, "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        step = materialise(now.join(small(up, ROOT_BYTES), now.root == up.via, "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         discard(now)
         now = step
         if not now.where("moved").limit(1).count():

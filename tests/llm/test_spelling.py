@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from motifmill.llm import spelling as S
+from motifmill.llm.common import materialise
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -101,3 +102,9 @@ def test_edge_rows(spark, edge):
 
 def test_empty_table(empty):
     assert got(empty) == {}
+
+
+def test_signatures_are_never_broadcast(spark):
+    words = vocabulary(spark, dict.fromkeys(("walken", "walked", "walker"), 5))
+    plan = S.near_pairs(materialise(S.masks(words), "masks"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
