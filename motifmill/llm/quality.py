@@ -18,14 +18,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from ..operators.quantiles import quantiles
+from ..plans.scan import AT, PART, in_ranges, row_numbers
 from . import textkernel as K
-from .common import kernel
+from .common import discard, kernel, materialise, small
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
-#: Trusted rows the target may be fitted on; beyond it, those with the smallest hash.
-TRUSTED_ROWS = 200_000
+#: Labelled rows whose thresholds are found at the driver; of more, by passes over all of them. Both give the same.
+AT_DRIVER = 400_000
 BUCKETS = 1 << 18
 WIDTH = 4
 #: Counts added to each bucket at the target's scale: of the target, and of the raw corpus.
@@ -111,22 +114,23 @@ def _inside(joined: K.Joined, width: int) -> np.ndarray:
     return np.cumsum(ok)[:-1] > 0
 
 
-def _bounded(ids: DataFrame, id_col: str) -> DataFrame:
-    """id: at most TRUSTED_ROWS of them, about, by hash."""
-    ids = ids.select(F.col(id_col).alias("id")).where("id is not null").distinct()
-    n = ids.count()
-    return ids if n <= TRUSTED_ROWS else ids.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * TRUSTED_ROWS / n * 0.99))
+def _labels(trusted: DataFrame, rejected: DataFrame | None, id_col: str) -> DataFrame:
+    """id, good of every labelled id, written; an id in both is good."""
+    ids = lambda df, good: df.select(F.col(id_col).alias("id"), F.lit(good).alias("good")).where("id is not null")
+    rows = ids(trusted, True) if rejected is None else ids(trusted, True).union(ids(rejected, False))
+    return materialise(rows.groupBy("id").agg(F.max("good").alias("good")), "labelled-ids")
 
 
-def fit(docs: DataFrame, trusted: DataFrame, rejected: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> Ratio:
+def fit(docs: DataFrame, trusted: DataFrame, rejected: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", at_driver: int = AT_DRIVER) -> Ratio:
     """Counts of n-grams and of documents with a word over all of docs, and over those whose id is in trusted; thresholds from the rows of trusted and rejected.
 
-    Both are bounded sets (TRUSTED_ROWS by hash); an id in both is trusted. Without trusted rows every ratio is 0, and all that the base keeps stays. Without
+    All labelled rows count; an id in both sets is trusted. Without trusted rows every ratio is 0, and all that the base keeps stays. Without
     rejected ones the score's threshold is THRESHOLD. Rows with a null id count for the raw corpus only, rows with a null text for nothing but its documents.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    good = _bounded(trusted, id_col).withColumn("good", F.lit(True))
-    flagged = rows.join(F.broadcast(good), "id", "left")
+    labels = _labels(trusted, rejected, id_col)
+    known = small(labels)
+    flagged = rows.join(known, "id", "left")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = BUCKETS + WORD_BUCKETS + 1  # n-grams, words, documents
@@ -152,11 +156,14 @@ def fit(docs: DataFrame, trusted: DataFrame, rejected: DataFrame | None = None,
     ratio = Ratio(tally.log_ratio(slice(None)).astype(np.float32), tally.word_log_ratio(slice(None)).astype(np.float32))
     if not target[-1]:
         return ratio
-    if rejected is not None:
-        good = good.union(_bounded(rejected, id_col).join(good, "id", "left_anti").withColumn("good", F.lit(False)))
-    # A row for each labelled document comes to the driver: twice TRUSTED_ROWS at most, but for ids that repeat.
-    judged = kernel(rows.join(F.broadcast(good), "id").select("text", "good"), _judge(tally, ratio), "good boolean, total double, grams long, low double").toPandas()
-    return _with_thresholds(ratio, judged[judged.good], judged[~judged.good])
+    judged = materialise(kernel(rows.join(known, "id").select("text", "good"), _judge(tally, ratio), "good boolean, total double, grams long, low double"), "judged")
+    if judged.count() > at_driver:
+        ratio = _thresholds_by_passes(ratio, judged)
+    else:
+        local = judged.toPandas()
+        ratio = _with_thresholds(ratio, local[local.good], local[~local.good])
+    discard(labels, judged)
+    return ratio
 
 
 def _judge(tally: Tally, ratio: Ratio):
@@ -202,6 +209,34 @@ def _with_thresholds(ratio: Ratio, good, bad) -> Ratio:
     return ratio
 
 
+def _thresholds_by_passes(ratio: Ratio, judged: DataFrame) -> Ratio:
+    """As _with_thresholds, of any number of rows: only the mean, the counts and the thresholds reach the driver."""
+    middle = quantiles(judged.where("good and grams > 0").select((F.col("total") / F.col("grams")).alias("x")), "x", {"mean": 0.5}).collect()
+    if not middle:
+        return ratio
+    ratio.mean = float(middle[0]["mean"])
+    scored = materialise(judged.select("good", "low", ((F.col("total") + PRIOR_GRAMS * ratio.mean) / (F.col("grams") + PRIOR_GRAMS)).alias("v")), "scored")
+    n_good, n_bad = scored.where("good").count(), scored.where("not good").count()
+    if n_bad:
+        # Errors of a threshold below each score: good rows before it and bad ones from it on.
+        count = lambda c: F.sum(c.cast("long"))
+        ranged = in_ranges(scored.groupBy("v").agg(count(F.col("good")).alias("ok"), count(~F.col("good")).alias("no")), "v")
+        along, here = W.orderBy(PART), W.partitionBy(PART).orderBy(AT)
+        earlier = along.rowsBetween(W.unboundedPreceding, -1)
+        ranges = ranged.groupBy(PART).agg(F.sum("ok").alias("ok"), F.sum("no").alias("no"), F.max("v").alias("last"))  # one row a range
+        carry = ranges.select(PART, F.sum("ok").over(earlier).alias("ok_before"), F.sum("no").over(earlier).alias("no_before"), F.lag("last").over(along).alias("last"))
+        before = lambda c: F.coalesce(f"{c}_before", F.lit(0)) + F.sum(c).over(here) - F.col(c)
+        at = F.coalesce((F.coalesce(F.lag("v").over(here), "last") + F.col("v")) / 2, F.col("v") - 1.0)
+        errors = materialise(ranged.join(F.broadcast(carry), PART).select(at.alias("at"), (before("ok") / n_good + 1 - before("no") / n_bad).alias("errors")), "errors")
+        least = errors.agg(F.min("errors")).collect()[0][0]
+        ratio.threshold = max(THRESHOLD, float(errors.where(F.col("errors") <= least + 1e-12).agg(F.max("at")).collect()[0][0]))
+        discard(errors)
+    nth = row_numbers(scored.where("good").select("low", "v"), "low", "v").where(F.col("n") == int(WORD_LOSS * n_good) + 1)
+    ratio.word_threshold = min(WORD_THRESHOLD, float(nth.collect()[0]["low"]))
+    discard(scored)
+    return ratio
+
+
 def score_docs(docs: DataFrame, ratio: Ratio, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the base counts, base_failed, kept, llr and word_llr (the lowest ratio of its words, 0 without any) of each row.
 

@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from motifmill.llm import quality as Q
 
@@ -151,3 +152,27 @@ def test_words_that_the_target_lacks(spark):
     assert [k for k, r in got.items() if not r.kept] == [k for k in got if k % 10 == 9]
     n, n_good = 300, 150
     assert got[9].word_llr == pytest.approx(np.log(Q.WORD_SMOOTH / (n_good * 30 / n + Q.WORD_SMOOTH)))
+
+
+def test_all_labelled_rows_count(spark):
+    """More trusted rows than a bounded sample of ids used to hold: each counts in the target."""
+    n = 230_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("abcd").alias("text"))
+    assert n > 200_000 and Q._labels(docs, docs.limit(3), "doc_id").where("good").count() == n
+    ratio = Q.fit(docs, docs)
+    raw = target = 0.0 + n
+    assert ratio.log_ratio.max() == pytest.approx(np.log((target + Q.SMOOTH) / (n * raw / n + Q.RAW_SMOOTH)), abs=1e-7)
+
+
+def test_thresholds_by_passes_are_those_at_the_driver(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    sets = labels.where("quality = 1 and toxic = 0").select("doc_id"), labels.where("quality = 0").select("doc_id")
+    for bad in (sets[1], None):
+        here, there = (Q.fit(docs, sets[0], bad, at_driver=n) for n in (1 << 40, 0))
+        assert (there.mean, there.threshold, there.word_threshold) == pytest.approx((here.mean, here.threshold, here.word_threshold), rel=1e-12)
+    rng = np.random.default_rng(7)
+    rows = [(bool(k % 3), float(rng.integers(-9, 9)), int(rng.integers(0, 4)), float(-rng.integers(0, 5))) for k in range(3000)]
+    local = pd.DataFrame(rows, columns=["good", "total", "grams", "low"])
+    here = Q._with_thresholds(Q.Ratio(np.zeros(1), np.zeros(1)), local[local.good], local[~local.good])
+    there = Q._thresholds_by_passes(Q.Ratio(np.zeros(1), np.zeros(1)), spark.createDataFrame(rows, "good boolean, total double, grams long, low double"))
+    assert (there.mean, there.threshold, there.word_threshold) == pytest.approx((here.mean, here.threshold, here.word_threshold), rel=1e-12)
