@@ -87,3 +87,24 @@ def test_pieces_and_slices(counts):
     assert b.M == M + 2 and b.pieces.select(F.max(F.size("mi"))).first()[0] <= 5
     n = {r.blk: r["count"] for r in b.pieces.groupBy("blk").count().collect()}
     assert {r.blk: r.n for r in b.slices.collect()} == {blk: -(-c // 7) for blk, c in n.items()}
+
+
+def test_pieces_carry_only_what_the_kernel_takes(spark):
+    """The kernel gets the columns taken; a sample's parts are added up over any number of batches, samples without parts stay."""
+    cells = [(i, m, float(i + m)) for i in (1, 2, 3) for m in range(1, 13)]
+    c = C.counts_from(spark.createDataFrame(cells, "i long, m int, y double"), "i", "m", "y", samples=spark.createDataFrame([(4,), (1,)], "i long"))
+    b = blocks.cut(c, 2, 2)
+    state = blocks.first_state(b.samples.union(spark.createDataFrame([(4, 0.0)], "i long, total double")).dropDuplicates(["i"]), lambda ids, total: np.arange(5.0) + 10 * ids[:, None])
+    f = blocks.factors_by(spark, b.M, 1, 2, lambda m: np.ones((1, len(m))))
+    met = b.meet(state, 5, f, lambda c, st, f: (np.hstack([st, c.by_row(c.y[:, None])]), None), [(0, 1), (3, 5)])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for rows in ("2", "3", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+            out = b.update(state, 5, met, 4, lambda ids, total, st, got: np.hstack([st, got])).toPandas().set_index("i")
+            for i, raw in out.state.items():
+                n = 6 if i in (1, 2, 3) and i in {x[0] for x in cells} and out.total[i] > 0 else 0
+                want = [10 * i + k for k in range(5)] + [n * (10 * i + k) for k in (0, 3, 4)] + [sum(y for j, _, y in cells if j == i) if n else 0]
+                assert np.frombuffer(raw).tolist() == pytest.approx(want)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
