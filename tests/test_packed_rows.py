@@ -65,7 +65,7 @@ def test_full_mixtures_pack_their_cells_once(spark, monkeypatch):
     packs = []
     packed = C.Counts.packed
     monkeypatch.setattr(C.Counts, "packed", lambda self: packs.append(1) or packed(self))
-    for fit in (fits.hard_mixture,):
+    for fit in (fits.soft_mixture, fits.hard_mixture):
         packs.clear()
         fit(C.counts_from(rows, "i", "name"), 2, 2, 2, 1, 1, 1, 1, seed=1)
         assert len(packs) == 1
