@@ -19,7 +19,7 @@ _REST = f"(?![^{_BLANK}{_LETTER}{_MARK}])"
 _CHUNK = re.compile(f"[{_BLANK}]*+(?:[{_LETTER}]++{_REST}|[{_MARK}]++{_REST}|[^{_BLANK}]++)|[{_BLANK}]++")
 _PIECE = re.compile(f"([{_BLANK}]*)([{_LETTER}]+|[{_MARK}]+)")
 #: Blanks to the library that end no chunk here.
-_OTHER_BLANK = "[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_OTHER_BLANKS = ("\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000")
 #: Chunks remembered by a worker at a time, and characters of one that is.
 KNOWN = 1 << 19
 KNOWN_CHARS = 32
@@ -57,8 +57,7 @@ class Encoder(dict):
         self.model = self.file.model
         self.piece = piece
         self.known = known
-        special = [t.content for t in self.file.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([_OTHER_BLANK, *map(re.escape, special)]))
+        self.special = [t.content for t in self.file.get_added_tokens_decoder().values()]
 
     def __missing__(self, chunk: str) -> bytes:
         m = _PIECE.fullmatch(chunk) if len(chunk) <= KNOWN_CHARS else None
@@ -74,9 +73,13 @@ class Encoder(dict):
             self[chunk] = out
         return out
 
+    def uncut(self, text: str) -> bool:
+        """Whether chunks could fail for the text. Searches for fixed strings take a small part of a pattern's time."""
+        return any(map(text.__contains__, self.special)) or not text.isascii() and any(map(text.__contains__, _OTHER_BLANKS))
+
     def encode(self, text: str) -> np.ndarray:
         """Ids as unsigned 32-bit integers."""
-        chunks = [text] if self.whole.search(text) else _CHUNK.findall(text)
+        chunks = [text] if self.uncut(text) else _CHUNK.findall(text)
         return np.frombuffer(b"".join(map(self.__getitem__, chunks)), "<u4")
 
 

@@ -104,3 +104,13 @@ def test_selective_reads_and_encodings(spark, sample, tmp_path):
 def test_empty(spark, empty, tmp_path):
     T.write_ids(empty, str(tmp_path / "ids"), Q.word_bpe(), 1)
     assert T.checked(spark, str(tmp_path / "ids")).count() == 0
+
+
+def test_texts_that_stay_whole_are_told_without_a_pattern(both):
+    """Every character that Unicode calls a blank, and every special token, at any width of the text's characters."""
+    blanks = [chr(c) for c in range(0x110000) if chr(c).isspace() and c not in (0x20, *range(9, 14), *range(0x1C, 0x20))]
+    for t, _ in both:
+        for part in [*blanks, *t.special]:
+            for other in ("a", "é", "日", "😀"):
+                assert t.uncut(f"{other} b{part}c")
+        assert not any(t.uncut(x) for x in ("", "a b\n", "é <|", "日\x1c\t本", "😀 <|endoftext"))
