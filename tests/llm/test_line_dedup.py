@@ -102,3 +102,47 @@ def test_line_shared_by_all_with_a_match_of_only_some(spark):
 
 def test_empty(empty):
     assert L.line_dedup(empty).count() == 0
+
+
+def test_only_zones_with_repeats_are_winnowed(spark, monkeypatch):
+    rng = random.Random(3)
+    fresh = lambda n: [f"{rng.choice('adhteo')}{rng.random()}" for _ in range(n)]
+    passage = fresh(60)
+    rows = [(i, " ".join(fresh(400))) for i in range(40)]
+    rows += [(50, " ".join(fresh(300) + passage + fresh(300))), (51, " ".join(fresh(200) + passage)), (52, rows[0][1]), (53, f"{rows[0][1]}\n")]
+    seen, places_of = [], L.places_of
+
+    def watched(texts, *more):
+        seen.extend((r["_mm_id"], sum(z["to"] - z["from"] for z in r["zones"])) for r in texts.collect())
+        return places_of(texts, *more)
+
+    monkeypatch.setattr(L, "places_of", watched)
+    got = [(r.doc_id, r.text) for r in L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=repr) == brute(rows, 50)
+    zones = dict(seen)
+    assert set(zones) == {0, 50, 51, 53} and zones[50] < 120 and zones[51] < 120
+
+
+@pytest.mark.parametrize("least", [50, 20, 7, 2])
+def test_passages_across_pieces_of_all_lengths(spark, least):
+    """Stretches with and without the letters that texts are cut at, so that passages begin and end in short pieces, in parts of long ones and among single words."""
+    rng = random.Random(least)
+
+    def fresh(n):
+        words, of = [], "t"
+        for _ in range(n):
+            of = rng.choice(["adhteo", "e" + "t" * 5, "t", "ttttttta", of, of]) if rng.random() < 0.08 else of
+            words.append(f"{rng.choice(of)}{rng.randrange(10**6)}")
+        return words
+
+    source = fresh(1500)
+    rows = [(0, " ".join(source))]
+    for i in range(1, 150):
+        words = fresh(rng.randrange(2 * least))
+        for _ in range(rng.randrange(1, 5)):
+            a, n = rng.randrange(1400), rng.randrange(max(1, least - 2), least + 30)
+            words += source[a : a + n] + fresh(rng.randrange(least))
+        rows.append((i, "".join(w + rng.choice([" ", " ", " ", "\n", "\t", " \r\n"]) for w in words)))
+    rows += [(200, ""), (201, " \n"), (202, None), (203, rows[5][1]), (204, rows[5][1]), (None, rows[6][1]), (205, "\n\n" + rows[7][1])]
+    got = [(r.doc_id, r.text) for r in L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_words=least).collect()]
+    assert sorted(got, key=repr) == brute(rows, least)
